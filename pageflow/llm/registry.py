@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> (module, function).
 QUERIES = {
+    "op1_pii": ("pii", "op1_query"),
     "op9_decontaminate": ("decontaminate", "op9_query"),
     "op10_language_id": ("langid", "op10_query"),
 }

@@ -23,3 +23,28 @@ def decontaminate(docs, items, window=13):
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(d - 9 if d > 9 else d for d in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits)))) % 10 == 0
+
+
+def pii(text):
+    out = []
+    for place, (kind, pattern) in enumerate(PII.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), place, kind, m.end()))
+    out.sort()
+    joined = ",".join(f"{k}:{s}:{e}" for s, _, k, e in out)
+    return [sum(x[2] == k for x in out) for k in PII], hashlib.sha256(joined.encode()).hexdigest(), joined
