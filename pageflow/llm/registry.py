@@ -7,6 +7,7 @@ import importlib
 #: Query name -> (module, function).
 QUERIES = {
     "op1_pii": ("pii", "op1_query"),
+    "op2_mix": ("mix", "op2_query"),
     "op9_decontaminate": ("decontaminate", "op9_query"),
     "op10_language_id": ("langid", "op10_query"),
 }
