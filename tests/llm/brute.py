@@ -48,3 +48,33 @@ def pii(text):
     out.sort()
     joined = ",".join(f"{k}:{s}:{e}" for s, _, k, e in out)
     return [sum(x[2] == k for x in out) for k in PII], hashlib.sha256(joined.encode()).hexdigest(), joined
+
+
+def shingle_sets(docs, k=4):
+    out = []
+    for _, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        out.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    return out
+
+
+def jaccard_components(docs, k=4, percent=85):
+    sets, root = shingle_sets(docs, k), list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)):
+                common = len(a & b)
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(docs):
+        if doc is not None:
+            least[find(i)] = min(doc, least.get(find(i), doc))
+    return [(doc, len(sets[i]), least.get(find(i)) if sets[i] else doc) for i, (doc, _) in enumerate(docs)]
