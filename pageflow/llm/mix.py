@@ -167,7 +167,8 @@ class Mix:
         rows = self.placed()
         first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
         cut_up = rows.withColumn("block", F.explode(F.sequence(first, last)))
-        return cut_up.join(self.slot_table(), ["source_no", "block"]).select(
+        slots = self.slot_table().hint("merge")  # its size is not seen before it runs, and it grows with the mix
+        return cut_up.join(slots, ["source_no", "block"]).select(
             "doc_id", "source_no", "text_hash", "size", "start", "shard", "slot",
             F.greatest(F.col("block") * b - F.col("start"), F.lit(0)).alias("from_word"),
             F.least((F.col("block") + 1) * b - F.col("start"), F.col("size")).alias("to_word"),
