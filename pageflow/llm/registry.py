@@ -10,6 +10,7 @@ QUERIES = {
     "op2_mix": ("mix", "op2_query"),
     "op3_ngram_jaccard": ("jaccard", "op3_query"),
     "op6_lm_score": ("lm", "op6_query"),
+    "op7_ann": ("ann", "op7_query"),
     "op8_shard": ("shard", "op8_query"),
     "op9_decontaminate": ("decontaminate", "op9_query"),
     "op10_language_id": ("langid", "op10_query"),
