@@ -9,6 +9,7 @@ QUERIES = {
     "op1_pii": ("pii", "op1_query"),
     "op2_mix": ("mix", "op2_query"),
     "op3_ngram_jaccard": ("jaccard", "op3_query"),
+    "op4_line_dedup": ("line_dedup", "op4_query"),
     "op5_token_count": ("token_count", "op5_query"),
     "op6_lm_score": ("lm", "op6_query"),
     "op7_ann": ("ann", "op7_query"),
