@@ -54,7 +54,8 @@ def pending_inputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def merged_path(path: Column) -> Column:
     """``x_paged.md`` becomes ``x_merged.md``, any other ``x.ext`` ``x_merged.ext``."""
-    return F.when(path.endswith("_paged.md"), F.regexp_replace(path, r"_paged\.md\z", "_merged.md")).otherwise(F.regexp_replace(path, r"(?s)^(.*?)(\.[^./]*)?\z", "$1_merged$2"))
+    other = F.regexp_replace(path, r"(?s)^(.*?)(\.[^./]*)?\z", "$1_merged$2")
+    return F.when(path.endswith("_paged.md"), F.regexp_replace(path, r"_paged\.md\z", "_merged.md")).otherwise(other)
 
 
 def check_split_defs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
