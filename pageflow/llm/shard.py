@@ -7,6 +7,7 @@ from histograms that are refined around the wanted weight; the driver sees a row
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +49,11 @@ def _keys(docs: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def _small(rows: DataFrame, table: list[tuple], schema: str) -> DataFrame:
-    """A driver-made table of one row a node, small enough for each task."""
-    return F.broadcast(rows.sparkSession.createDataFrame(table, schema))
+    """A driver-made table of one row a node, small enough for each task; Arrow brings it to the JVM directly."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = {n: pa.array([r[i] for r in table], kinds[t]) for i, (n, t) in enumerate(fields)}
+    return F.broadcast(rows.sparkSession.createDataFrame(pa.table(columns)))
 
 
 def _quantiles(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, int]:
