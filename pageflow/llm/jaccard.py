@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 
 from pageflow.llm.common import cut, stored
 from pageflow.llm.components import connected_components
+from pageflow.llm.hashing import WordHasher, sorted_distinct
+from pageflow.llm.lm import pack, unpack
 
 WORD_SEED_A, WORD_SEED_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Tokens sent to every task as frequent ones; an order of tokens is right with any choice of them.
-MOST_FREQUENT = 1_000_000
+#: Tokens sent to every task as frequent ones, the most frequent first; an order is right with any choice of them.
+MOST_FREQUENT = 2_000_000
+#: Tokens are counted without so many of their 64 bits; the counts only serve the order.
+CUT_BITS = np.uint64(16)
 #: So many ids are sent to all executors at most; more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
@@ -31,28 +35,20 @@ class Shingler:
     """Sets of hashed word shingles. Lower-cases A-Z; words are parted by blank, \\t, \\n, \\v, \\f and \\r."""
 
     def __init__(self, k: int):
-        import xxhash
-
-        self.k, self.digest, self.known = k, xxhash.xxh3_64_intdigest, {}
+        self.k, self.hasher = k, WordHasher()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingles; with fewer than k words the whole sequence is one."""
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.digest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        h = self.hasher(text)
+        if not len(h):
+            return h
         k = min(self.k, len(h))
         out = np.full(len(h) - k + 1, k, dtype=np.uint64)
         for i in range(k):
             out = (out * WORD_SEED_A) ^ h[i : len(h) - k + 1 + i]
             out ^= out >> np.uint64(31)
             out *= WORD_SEED_B
-        return np.unique(out)
+        return sorted_distinct(out)
 
 
 def at_least(n: int | np.ndarray, percent: int):
@@ -70,8 +66,9 @@ def prefix(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray
     order = tokens * WORD_SEED_A  # another order than that of the buckets
     order >>= np.uint64(1)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        order |= (frequent[at] == tokens).astype(np.uint64) << np.uint64(63)
+        short = tokens >> CUT_BITS
+        at = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
+        order |= (frequent[at] == short).astype(np.uint64) << np.uint64(63)
     n = len(tokens)
     size = n - at_least(n, percent) + 1
     return tokens[np.argsort(order, kind="stable")[:size]] if size < n else tokens
@@ -88,20 +85,20 @@ def _slices(keys: np.ndarray, n: int):
         yield int(b), slice(edges[b], edges[b + 1])
 
 
-def _first_pass(k: int, percent: int, buckets: int, flush: int = 3_000_000):
-    """Rows of sets (doc_id, n, class) and, by bucket, prefix tokens with the number of sets here that hold them."""
+def _first_pass(k: int, buckets: int, flush: int = 4_000_000):
+    """Rows of sets (doc_id, n, class) and, by bucket, all tokens with the number of sets here that hold them."""
     names = ["doc_id", "n", "class", "bucket", "tokens", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, none, held, waiting = Shingler(k), np.zeros(0, dtype=np.uint64), [], 0
+        sets, held, waiting = Shingler(k), [], 0
 
         def counted():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            for b, s in _slices(keys, buckets):
-                row = [[None], [None], [None], [b], [keys[s].tobytes()], [counts[s].astype(np.uint32).tobytes()]]
+            keys, counts = run_lengths(np.sort(np.concatenate(held)))
+            for b, s in _slices(keys << CUT_BITS, buckets):
+                row = [[None], [None], [None], [b], [pack(keys[s])], [pack(counts[s])]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
 
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             n, key = [], []
             for text in batch.column(1):
@@ -109,8 +106,8 @@ def _first_pass(k: int, percent: int, buckets: int, flush: int = 3_000_000):
                 n.append(len(tokens))
                 key.append(class_key(tokens))
                 if len(tokens):
-                    held.append(prefix(tokens, percent, none))
-                    waiting += len(held[-1])
+                    held.append(tokens >> CUT_BITS)
+                    waiting += len(tokens)
                 if waiting > flush:
                     yield from counted()
                     held, waiting = [], 0
@@ -123,12 +120,19 @@ def _first_pass(k: int, percent: int, buckets: int, flush: int = 3_000_000):
     return run
 
 
+def run_lengths(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array and how often each occurs."""
+    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
+    return a[starts], np.diff(starts, append=len(a))
+
+
 def _count_bucket(least: int):
     def run(table: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
-        keys, at = np.unique(tokens, return_inverse=True)
-        total = np.bincount(at, counts).astype(np.int64)
+        tokens = np.concatenate([unpack(x.as_py()) for x in table.column("tokens")])
+        counts = np.concatenate([unpack(x.as_py()) for x in table.column("counts")]).astype(np.int64)
+        order = np.argsort(tokens)
+        keys, lengths = run_lengths(tokens[order])
+        total = np.add.reduceat(counts[order], np.cumsum(lengths) - lengths)
         many = total > least
         return pa.table({"token": keys[many].view(np.int64), "n": total[many]})
 
@@ -279,7 +283,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stored(source.mapInArrow(_first_pass(k, percent, buckets), "doc_id long, n long, class long, bucket int, tokens binary, counts binary"), "jaccard-first")
+    first = stored(source.mapInArrow(_first_pass(k, buckets), "doc_id long, n long, class long, bucket int, tokens binary, counts binary"), "jaccard-first")
     sets = first.where(F.col("bucket").isNull()).select("doc_id", "n", "class")
     classes = sets.where(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("representative"))
 
