@@ -36,25 +36,25 @@ def fit_dictionaries(
     """Learn one dictionary a language from a bounded sample of labelled rows.
 
     The sample takes at most ``rows_per_language`` texts of at most ``max_chars`` characters (longer texts
-    don't enter the sample) for each language, lowest hash of the text first; equal texts count once. A
+    don't enter the sample) for each language, drawn by the hash of the text; equal texts count once. A
     dictionary is their whole texts up to ``dictionary_bytes``, each given an equal share at least. More
     than ``max_languages`` languages raise an error, since dictionaries are sent to every task.
     """
+    sizes = {r["lang"]: r["count"] for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not sizes:
+        return {}
+    # A share of the hashes that leaves about four times the wanted texts, so that a language's ranking stays small.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * rows_per_language / n))])
     fit = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
-    ranked = fit.select("lang", "text", F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = (
-        ranked.select("lang", "h", F.col("text"))
-        .withColumn("r", F.rank().over(order))
-        .where(F.col("r") <= rows_per_language)
-        .dropDuplicates(["lang", "h"])
-        .orderBy("lang", "h")
-    )
+    hashed = fit.select("lang", "text", F.xxhash64("text").alias("h"))
+    drawn = hashed.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    sample = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_language).orderBy("lang", "h")
     texts: dict[str, list[bytes]] = {}
     for row in sample.toLocalIterator():
         texts.setdefault(row["lang"], []).append(encoded(row["text"]))
-        if len(texts) > max_languages:
-            raise ValueError(f"more than {max_languages} languages")
     made = {}
     for lang, parts in sorted(texts.items()):
         share = max(64, dictionary_bytes // len(parts))
