@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist inputs)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +59,7 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str, rows_a_bucket: int = 20_000) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str, rows_a_bucket: int = 2_000) -> DataFrame:
     """Add ``out``: the sum of ``amount`` over the rows of the same ``keys`` that come before this one.
 
     No task holds a whole key: the rows of a key are dealt to buckets by a hash of ``order``, the buckets'
