@@ -68,6 +68,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]*\z", "")
 
 
+def candidate_paths(path: Column) -> Column:
+    """Files that may hold a document's text: itself and its outputs, without repeats, in order."""
+    return F.array_distinct(F.array(path, *[F.concat(stem(path), F.lit(s)) for s in OUTPUTS]))
+
+
 def companion_files(docs: DataFrame, files: DataFrame) -> DataFrame:
     """(doc_id, path, kind, output): the outputs that exist for each document. ``files`` have path."""
     every = docs.select("doc_id", "path", F.posexplode(F.array(*[F.lit(s) for s in OUTPUTS])).alias("kind", "suffix"))

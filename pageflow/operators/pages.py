@@ -169,6 +169,11 @@ def head_tail(pages: DataFrame, front: int = 4, back: int = 4) -> DataFrame:
     return ranked.where((F.col("_r") <= front) | (F.col("_r") > F.col("_n") - back)).drop("_r", "_n")
 
 
+def order_pages(pages: DataFrame) -> DataFrame:
+    """Add place: the rank of a page by number, and by position where numbers are equal."""
+    return pages.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "pos")))
+
+
 def outline(pages: DataFrame) -> DataFrame:
     """(doc_id, page_num, line_no, level, heading): headings of legal style by level, and layout blocks."""
     levels = [("article", r"^第[0-9]+"), ("number", r"^[0-9]+[ .　]"), ("paren", r"^\([0-9]+\)"), ("kana", r"^[ア-ン][ 　]"), ("paren_kana", r"^\([ア-ン]\)"), ("letter", r"^[a-z][ .　]"), ("paren_letter", r"^\([a-z]\)"), ("block", r"^### --")]

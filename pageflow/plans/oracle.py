@@ -169,4 +169,9 @@ ORACLE = {
     "check_split_defs": f"""WITH {DEFS}, x AS (SELECT d, e, CASE WHEN d % 10 = 0 AND e = 1 THEN 'FIELD_MISSING' WHEN d % 10 = 1 AND e = 0 THEN 'NOT_A_NUMBER' WHEN d % 10 = 2 AND e = 0 THEN 'START_AFTER_END' END AS r FROM defs)
         SELECT d AS set_id, e AS entry_no, coalesce(r, CASE WHEN bool_or(r IS NOT NULL) OVER (PARTITION BY d) THEN 'SET_REFUSED' ELSE 'VALID' END) AS reason FROM x""",
     "request_lines": f"""WITH {BATCHES} SELECT '{{"key":"request-' || b || '","request":{{"n":' || n || '}}}}' AS value, count(*) AS n FROM batches GROUP BY b, batches.n""",
+    "candidate_paths": f"WITH {FILES} SELECT doc_id, concat_ws(',', path, base || '_paged.md', base || '_ERROR_paged.md', base || '_merged.md', base || '_ERROR_merged.md') AS candidates FROM files",
+    "order_pages": f"WITH {FAULTY} SELECT d AS doc_id, pos, p AS page_num, row_number() OVER (PARTITION BY d ORDER BY p, pos) AS place FROM pages",
+    "infer": f"""WITH {BATCHES}, t AS (SELECT d, b, string_agg({NL} || '### -- Begin Page ' || (i + 1) || ' --' || {NL} || coalesce(nullif(raw, ''), '[未検出]') || {NL} || '### -- End --' || {NL}, '' ORDER BY i) AS t FROM inb GROUP BY d, b),
+        r AS (SELECT d, b, (d + b) % 19 = 0 AS bad, CASE WHEN (d + b) % 19 <> 0 THEN array_to_string(list_reverse(regexp_extract_all(t, '(?s).')), '') END AS t FROM t)
+        SELECT d AS doc_id, b AS batch_no, CASE WHEN bad THEN 'unavailable' END AS error, CASE WHEN bad THEN 2 ELSE 1 END::BIGINT AS round, {md('t', 'text')} FROM r""",
 }

@@ -443,3 +443,31 @@ def check_split_defs(spark, sf_dir):
 def request_lines(spark, sf_dir):
     made = batches(spark, sf_dir).select(F.col("batch_no").alias("request_no"), "doc_id", F.concat(F.lit('{"n":'), F.col("num_pages").cast("string"), F.lit("}")).alias("body"))
     return io.request_lines(made).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query
+def candidate_paths(spark, sf_dir):
+    """Where to look for a document's text: its path and its outputs, each once, in order."""
+    docs = table(spark, sf_dir, "documents")
+    return fx.file_list(docs).select("doc_id", F.array_join(naming.candidate_paths(F.col("path")), ",").alias("candidates"))
+
+
+@query
+def order_pages(spark, sf_dir):
+    """Places of the faulty documents' pages by number."""
+    return number(pages.order_pages(faulty(spark, sf_dir)).select("doc_id", "pos", "page_num", "place"))
+
+
+def shaky(doc: int, no: int, payload: str, attempt: int) -> str:
+    """A stand-in for a service: some requests fail at first, some always."""
+    if (doc + no) % 19 == 0 or ((doc + no) % 7 == 0 and attempt < 3):
+        raise RuntimeError("unavailable")
+    return payload[::-1]
+
+
+@query
+def infer(spark, sf_dir):
+    """Inference with retries; only requests that fail go to the next round."""
+    requests = batch.request_text(batches(spark, sf_dir), fx.page_numbers(documents(spark, sf_dir)))
+    done = batch.infer(requests, shaky, io.new_folder(spark, "infer"), rounds=2, delay=0)
+    return number(digest(done, "text", "text"))

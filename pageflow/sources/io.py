@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -22,6 +24,15 @@ MEDIA = {
 }
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An unused path in the folder that all executors share: ``spark.checkpoint.dir``, or a temporary one in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_paged(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of a folder's paged Markdown: ``*_paged.md`` if there are any, else ``*.md``; never merged ones. Not recursive."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), F.col("value").alias("content"))
