@@ -92,11 +92,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingl
         tokens = F.broadcast(tokens)
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words_of(F.col("text")).alias("w"))
-    # The outer form keeps Spark from testing the whole array in a filter of its own before it is exploded.
+    # Hashes alone are the join's key; the words are compared after it, by ``between`` so that the comparison
+    # doesn't become a part of the key. The outer form keeps Spark from testing the whole array in a filter of its own before it is exploded.
     found = [
         source.select("doc_id", "text_hash", "w", F.posexplode_outer(_hashes(F.col("w"), k)).alias("pos", "hash"))
         .join(tokens.where(F.col("k") == k), "hash")
-        .where(F.concat_ws(" ", *_at(F.col("w"), F.col("pos"), k)) == F.col("token"))
+        .where(F.concat_ws(" ", *_at(F.col("w"), F.col("pos"), k)).between(F.col("token"), F.col("token")))
         .select("doc_id", "text_hash", "pos", "token")
         for k in lengths
     ]
@@ -152,10 +153,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
     rest = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated", "_hash", "_id")
-    keyed = rest.withColumn("_hash2", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = rest.withColumn("_hash2", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("n_words", n_words_of(F.col("text")))
     return (
         keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash2") == F.col("_hash")), "left")
-        .withColumn("n_words", n_words_of(F.col("text")))
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
         .withColumn("n_items", F.size("items").cast("long"))
