@@ -271,6 +271,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame, k: int, per
         spark.conf.set(setting, before)
 
 
+def _matrix(postings: DataFrame, links: DataFrame, group_size: int) -> tuple[DataFrame, DataFrame]:
+    """Postings with their class's component, its size and the class's part, and the parts of components.
+
+    A group is a part of a component of ``links``: similar classes, about ``group_size`` of them.
+    """
+    found = connected_components(links).withColumnRenamed("id", "class")
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    placed = cut(found.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / group_size)).cast("int")))
+    spread = (
+        postings.join(placed, "class", "left")
+        .withColumn("component", F.coalesce("component", "class")).withColumn("members", F.coalesce("members", F.lit(1))).withColumn("part", F.coalesce("part", F.lit(0)))
+    )
+    several = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
+    spread = stored(spread.join(several, "token"), "jaccard-open")
+    return spread, spread.select("component", "part").distinct()
+
+
+def _qualified(spread: DataFrame, percent: int) -> DataFrame:
+    """(q, component, part): queries whose prefix overlap with a component's union is enough, and one of its groups.
+
+    Of two components the smaller one asks. The matrix has a row for each token and component.
+    """
+    matrix = spread.groupBy("token", "component", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min_by("part", F.xxhash64("class")).alias("part"))
+    q, g = spread.alias("q"), matrix.alias("g")
+    smaller = F.struct("q.members", "q.component") < F.struct("g.members", "g.component")
+    low = F.greatest(F.col("g.lo"), F.ceil(F.lit(percent) * F.col("q.n") / 100 - 1e-9))
+    high = F.least(F.col("g.hi"), F.floor(F.lit(100) * F.col("q.n") / percent + 1e-9))
+    return (
+        q.join(g, F.col("q.token") == F.col("g.token"))
+        .where(smaller & (low <= high))
+        .groupBy(F.col("q.class").alias("q"), F.col("q.n").alias("n"), F.col("g.component").alias("component"))
+        .agg(F.count("*").alias("common"), F.min(low).alias("lo"), F.max(high).alias("hi"), F.min("g.part").alias("part"))
+        .where(F.col("common") >= F.least(_needed(F.col("n"), F.col("lo"), percent), _needed(F.col("n"), F.col("hi"), percent)))
+        .select("q", "component", "part")
+    )
+
+
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_above: int = 16, group_size: int = 32) -> DataFrame:
     """(doc_id, n_shingles, class, component_id) for each row of ``docs``.
 
@@ -293,9 +330,12 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_
     packed = source.select("text").mapInArrow(_second_pass(k, percent, buckets, frequent), "bucket int, tokens binary, classes binary, sizes binary")
     postings = stored(packed.groupBy("bucket").applyInArrow(_shared_in_bucket, "token long, class long, n long"), "jaccard-postings")
 
-    # Groups: each class is compared with one centre, the class with which it shares most prefix tokens among
-    # those that are first for a token.
-    centre = postings.groupBy("token").agg(F.min(F.struct("class", "n")).alias("c")).select("token", F.col("c.class").alias("centre"), F.col("c.n").alias("m"))
+    # Groups: each class is compared with one centre. A token's centre is the class that shares most of its own
+    # prefix tokens: of a family of copies, one that was changed least. A class takes the centre of most of its tokens.
+    weight = postings.groupBy("class").agg(F.count("*").alias("shared"))
+    weighed = postings.join(weight, "class")
+    centre = weighed.groupBy("token").agg(F.max(F.struct(F.col("shared") / F.col("n"), "class", "n")).alias("c"))
+    centre = centre.select("token", F.col("c.class").alias("centre"), F.col("c.n").alias("m"))
     stars = (
         postings.join(centre, "token").where(F.col("class") != F.col("centre"))
         .groupBy("class", "n", "centre", "m").agg(F.count("*").alias("common"))
@@ -307,38 +347,19 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_
     alone = stars.select(F.col("centre").alias("group"), F.col("centre").alias("class")).distinct()
     star_links = _verified(stars.select(F.col("class").alias("q"), F.col("centre").alias("group")), star_texts, alone, k, percent, records=1000)
 
-    # The matrix: groups are parts of the components that the stars give.
-    parts = connected_components(star_links).withColumnRenamed("id", "class")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
-    placed = cut(parts.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / group_size)).cast("int")))
-    spread = (
-        postings.join(placed, "class", "left")
-        .withColumn("component", F.coalesce("component", "class")).withColumn("members", F.coalesce("members", F.lit(1))).withColumn("part", F.coalesce("part", F.lit(0)))
-    )
-    several = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
-    open_ = stored(spread.join(several, "token"), "jaccard-open")
-    extent = open_.select("component", "part", "n", "class").distinct().groupBy("component", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = open_.select("token", "component", "part", "members").distinct().join(extent, ["component", "part"])
-    q, g = open_.alias("q"), matrix.alias("g")
-    smaller = F.struct("q.members", "q.component") < F.struct("g.members", "g.component")
-    low = F.greatest(F.col("g.lo"), F.ceil(F.lit(percent) * F.col("q.n") / 100 - 1e-9))
-    high = F.least(F.col("g.hi"), F.floor(F.lit(100) * F.col("q.n") / percent + 1e-9))
-    candidates = (
-        q.join(g, F.col("q.token") == F.col("g.token"))
-        .where(smaller & (F.col("q.component") != F.col("g.component")) & (low <= high))
-        .groupBy(F.col("q.class").alias("q"), F.col("q.n").alias("n"), F.col("g.component").alias("component"), F.col("g.part").alias("part"), low.alias("lo"), high.alias("hi"))
-        .agg(F.count("*").alias("common"))
-        .where(F.col("common") >= F.least(_needed(F.col("n"), F.col("lo"), percent), _needed(F.col("n"), F.col("hi"), percent)))
-        .select("q", "component", "part")
-    )
-    candidates = cut(candidates)
-    name = F.concat_ws(":", "component", "part")
-    held = open_.select("class", "component", "part").distinct().unionByName(placed.select("class", "component", "part")).distinct()
-    groups = cut(held.join(candidates.select("component", "part").distinct(), ["component", "part"]).select(name.alias("group"), "class"))
-    rest_texts = _texts(source, classes, candidates.select(F.col("q").alias("class")).unionByName(groups.select("class")), k)
-    links = _verified(candidates.select("q", name.alias("group")), rest_texts, groups, k, percent)
-
-    joined = connected_components(star_links.unionByName(links)).withColumnRenamed("id", "class")
+    # Queries against one group of each component that they may belong to, then what is left against all groups.
+    links = star_links
+    for probe in (True, False):
+        spread, parts = _matrix(postings, links, group_size)
+        candidates = cut(_qualified(spread, percent))
+        wanted = candidates.select("q", "component", "part") if probe else candidates.select("q", "component").join(parts, "component")
+        name = F.concat_ws(":", "component", "part")
+        members = spread.select("class", "component", "part").distinct().join(wanted.select("component", "part").distinct(), ["component", "part"])
+        groups = cut(members.select(name.alias("group"), "class"))
+        texts = _texts(source, classes, candidates.select(F.col("q").alias("class")).unionByName(groups.select("class")), k)
+        links = cut(links.unionByName(_verified(wanted.select("q", name.alias("group")), texts, groups, k, percent)))
+
+    joined = connected_components(links).withColumnRenamed("id", "class")
     least = joined.join(classes, "class").groupBy("component").agg(F.min("representative").alias("component_id"))
     known = classes.join(joined.join(least, "component").select("class", F.col("component_id").alias("reached")), "class", "left")
     known = known.select("class", F.coalesce("reached", "representative").alias("component_id"))
