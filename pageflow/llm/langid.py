@@ -35,35 +35,41 @@ def fit_dictionaries(
 ) -> dict[str, bytes]:
     """Learn one dictionary a language from a bounded sample of labelled rows.
 
-    The sample takes at most ``rows_per_language`` texts of at most ``max_chars`` characters (longer texts
-    don't enter the sample) for each language, drawn by the hash of the text; equal texts count once. A
-    dictionary is their whole texts up to ``dictionary_bytes``, each given an equal share at least. More
-    than ``max_languages`` languages raise an error, since dictionaries are sent to every task.
+    The sample takes at most ``rows_per_language`` texts for each language, drawn by the hash of the text; equal
+    texts count once, and a language with fewer distinct texts gives all of them. Of a text longer than
+    ``max_chars`` a run of so many characters is taken, at a place that its hash tells. A dictionary has up to
+    ``dictionary_bytes``, of which each text is given an equal share at least: whole texts that fit their share, else a
+    slice at a place that the hash tells, so that slices come from all over the texts. More than ``max_languages``
+    languages raise an error, since dictionaries are sent to every task.
     """
-    sizes = {r["lang"]: r["count"] for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().limit(max_languages + 1).collect()}
+    fit = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    hashed = fit.select("lang", "text", F.xxhash64("text").alias("h"))
+    # The draw acts on distinct texts, so they are what is counted: copies would make the share too small.
+    sizes = {r["lang"]: r["count"] for r in hashed.select("lang", "h").distinct().groupBy("lang").count().limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not sizes:
         return {}
     # A share of the hashes that leaves about four times the wanted texts, so that a language's ranking stays small.
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * rows_per_language / n))])
-    fit = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
-    hashed = fit.select("lang", "text", F.xxhash64("text").alias("h"))
-    drawn = hashed.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    start = F.when(F.length("text") > max_chars, F.pmod("h", F.length("text") - max_chars + 1)).otherwise(0).cast("int")
+    piece = F.substring("text", start + 1, F.lit(max_chars))
+    drawn = hashed.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).groupBy("lang", "h").agg(F.first(piece).alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
     sample = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows_per_language).orderBy("lang", "h")
-    texts: dict[str, list[bytes]] = {}
+    texts: dict[str, list[tuple[int, bytes]]] = {}
     for row in sample.toLocalIterator():
-        texts.setdefault(row["lang"], []).append(encoded(row["text"]))
+        texts.setdefault(row["lang"], []).append((row["h"], encoded(row["text"])))
     made = {}
     for lang, parts in sorted(texts.items()):
         share = max(64, dictionary_bytes // len(parts))
-        spare = max(0, dictionary_bytes - sum(min(share, len(p)) for p in parts))
+        spare = max(0, dictionary_bytes - sum(min(share, len(p)) for _, p in parts))
         content = []
-        for part in parts:
+        for h, part in parts:
             take = min(len(part), share + spare)
             spare -= max(0, take - share)
-            content.append(part[:take])
+            start = (h >> 30) % (len(part) - take + 1)
+            content.append(part[start : start + take])
         made[lang] = b"".join(content)[-dictionary_bytes:]
     return made
 

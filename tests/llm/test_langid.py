@@ -18,3 +18,16 @@ def test_odd_rows(spark):
     assert [(r["lang_pred"], r["rejected"]) for r in out if r["doc_id"] == 4] == [("en", False)] * 2
     assert langid.identify_language(docs.limit(0), coded).count() == 0
     assert {r["lang_pred"] for r in langid.identify_language(docs, {}).collect()} == {"und"}
+
+
+def test_few_texts_among_many_copies(spark):
+    """A language of few distinct texts keeps them all, however many rows are copies or have no text."""
+    own = spark.range(30).selectExpr("'xx' lang", "concat('alpha', id, repeat(' quux', 3)) text")
+    copies = spark.range(60_000).selectExpr("'xx' lang", "if(id % 3 = 0, null, 'same text') text")
+    made = langid.fit_dictionaries(own.unionByName(copies), rows_per_language=40)
+    assert made["xx"].count(b"quux") == 90 and made["xx"].count(b"same text") == 1
+    long = spark.createDataFrame([("yy", "wort " * 100)], "lang string, text string")
+    assert 40 <= len(langid.fit_dictionaries(long, max_chars=50)["yy"].strip()) <= 50
+    marked = spark.createDataFrame([("zz", f"{'head ' * 40}{'tail ' * 40}{i}") for i in range(40)], "lang string, text string")
+    made = langid.fit_dictionaries(marked, dictionary_bytes=4000)
+    assert made["zz"].count(b"head") > 100 and made["zz"].count(b"tail") > 100
