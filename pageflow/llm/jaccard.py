@@ -194,6 +194,16 @@ def _needed(x: Column, y: Column, percent: int) -> Column:
     return overlap - F.ceil(F.lit(percent) * F.greatest(x, y) / F.lit(100) + 1e-9) + 1
 
 
+def _least_needed(n: Column, lo: Column, hi: Column, percent: int) -> Column:
+    """The least of ``_needed`` for partners of every size from ``lo`` to ``hi``.
+
+    Up to ``n`` the need never falls with the partner's size. Above, its two rounded parts fall behind each other
+    by percent^2 / (100 * (100 + percent)) a size, less than one before the end only for the last few sizes.
+    """
+    last = -(-100 * (100 + percent) // percent**2)
+    return F.least(_needed(n, lo, percent), *[_needed(n, F.greatest(lo, hi - i), percent) for i in range(last + 1)])
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
@@ -303,7 +313,7 @@ def _qualified(spread: DataFrame, percent: int) -> DataFrame:
         .where(smaller & (low <= high))
         .groupBy(F.col("q.class").alias("q"), F.col("q.n").alias("n"), F.col("g.component").alias("component"))
         .agg(F.count("*").alias("common"), F.min(low).alias("lo"), F.max(high).alias("hi"), F.min("g.part").alias("part"))
-        .where(F.col("common") >= F.least(_needed(F.col("n"), F.col("lo"), percent), _needed(F.col("n"), F.col("hi"), percent)))
+        .where(F.col("common") >= _least_needed(F.col("n"), F.col("lo"), F.col("hi"), percent))
         .select("q", "component", "part")
     )
 

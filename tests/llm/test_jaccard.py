@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pageflow.llm import jaccard
 from tests.llm import brute
@@ -55,3 +56,24 @@ def test_prefix_bound():
             x, y = len(a), len(b)
             need = -(-85 * (x + y) // 185) - -(-85 * max(x, y) // 100) + 1
             assert len(np.intersect1d(jaccard.prefix(a, 85, none), jaccard.prefix(b, 85, none))) >= max(1, need)
+
+
+def test_count_filter_over_a_range_of_sizes(spark):
+    """The count filter asks for no more than the least need over all partner sizes of the range."""
+    sizes = spark.range(1, 61).select(F.col("id").alias("n"))
+    for percent in (85, 80, 60):
+        ends = sizes.withColumn("lo", F.explode(F.sequence(F.ceil(F.col("n") * percent / 100 - 1e-9), F.floor(F.col("n") * 100 / percent + 1e-9))))
+        ends = ends.withColumn("hi", F.explode(F.sequence(F.col("lo"), F.floor(F.col("n") * 100 / percent + 1e-9))))
+        each = ends.withColumn("m", F.explode(F.sequence("lo", "hi"))).withColumn("need", jaccard._needed(F.col("n"), F.col("m"), percent))
+        least = each.groupBy("n", "lo", "hi").agg(F.min("need").alias("least"))
+        wrong = least.where(jaccard._least_needed(F.col("n"), F.col("lo"), F.col("hi"), percent) != F.col("least"))
+        assert wrong.count() == 0
+
+
+def test_link_to_a_component_of_larger_sets(spark):
+    """A (24) links with B (26) only, whose component holds sets of 24 to 27: the need isn't least at an end."""
+    sets = jaccard.Shingler(1)
+    words = sorted((f"w{i}" for i in range(28)), key=lambda w: int((sets(w) * jaccard.WORD_SEED_A)[0] >> np.uint64(1)))
+    z, b, c, a = words[:1], words[1:4], words[4:27], words[27:]
+    docs = [(1, c + a), (2, b + c), (3, b + c[:21]), (4, z + b + c)]
+    check(spark, [(i, " ".join(x)) for i, x in docs], k=1)
