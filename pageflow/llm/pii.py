@@ -1,9 +1,9 @@
 """Operator 1: information-theoretic sanitisation of personal data.
 
-Protected entities are the values that the base patterns find. Over the corpus, each term near an entity is
+Protected entities are the values that the base patterns find. Over the corpus, each term of an entity's documents is
 judged by how much of the entity's information it gives away: PMI(entity; term) / IC(entity), with probabilities
-estimated from document counts. Terms over the thresholds are generalised or removed beside the entities
-themselves. All steps are DataFrame functions.
+estimated from document counts. Terms over the thresholds are generalised or removed wherever they stand in documents
+that hold the entity. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -25,8 +25,13 @@ KINDS = {
 }
 IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"
 TERM = r"\p{L}{3,}"
+#: What stands for a letter at a base span's end in ``_bare_terms``, so that a run of letters into the span is no term.
+EDGE = "\uffff"
+BARE_TERM = rf"(?<![\p{{L}}{EDGE}])\p{{L}}{{3,}}+(?!{EDGE})"
 #: So many candidate terms are sent to all executors at most; more are joined by shuffling.
 BROADCAST_TERMS = 2_000_000
+#: So many documents with risky terms are sent to all executors at most.
+BROADCAST_DOCS = 100_000
 
 
 def _digits(value: Column) -> Column:
@@ -97,74 +102,104 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return found.withColumn("base", F.when(none, empty).otherwise(F.array_sort(F.concat(*kept)))).drop(*[f"_m_{k}" for k in KINDS])
 
 
-def _near_terms(text: Column, span: Column, base: Column, reach: Column | int) -> Column:
-    """Whole terms within ``reach`` code points of a span that no base span covers."""
-    low = F.greatest(span["start"] - reach, F.lit(0))
-    context = F.lower(F.substring(text, low + 1, span["end"] + reach - low))
-    matches = F.regexp_extract_all(context, F.lit(TERM), F.lit(0))
-    cut_off = F.length(context) == span["end"] + reach - low
-    whole = F.filter(located(context, TERM, matches), lambda t: ((low == 0) | (t["start"] > 0)) & (~cut_off | (t["end"] < F.length(context))))
-    placed = F.transform(whole, lambda t: F.struct((t["start"] + low).alias("start"), (t["end"] + low).alias("end"), t["value"].alias("term")))
-    return F.filter(placed, lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+def _terms(text: Column, pattern: str = TERM) -> Column:
+    """Distinct terms in lower case. Terms are found before, as lower case may have other lengths."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.lower(t)))
 
 
-def disclosures(docs: DataFrame, reach: int = 100, generalise_at: float = 0.85, remove_at: float = 0.98, min_support: int = 2) -> DataFrame:
+def _bare_terms(text: Column, base: Column) -> Column:
+    """Distinct terms that stand somewhere without a base span over them."""
+    edge = lambda c: F.when(c.rlike(r"^\p{L}"), EDGE).otherwise(" ")
+    hidden = lambda s: F.concat(edge(F.substring(s["value"], 1, 1)), edge(F.substring(s["value"], -1, 1)))
+    rebuilt = F.aggregate(
+        base,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.when(s["end"] > a["at"], hidden(s)).otherwise("")).alias("out"),
+        ),
+        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+    )
+    return _terms(rebuilt, BARE_TERM)
+
+
+def _marked(text: Column, base: Column, risky: Column) -> Column:
+    """All places of the terms in ``risky`` (a map to actions) that no base span covers, in order."""
+    matches = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    between = F.split(text, TERM, -1)
+    kind = "array<struct<start:int,place:int,kind:string,end:int,action:string>>"
+
+    def step(a, x):
+        start = a["at"] + F.length(x["b"])
+        end = start + F.length(x["m"])
+        action = F.try_element_at(risky, F.lower(x["m"]))
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("place"), F.lit("term").alias("kind"), end.alias("end"), action.alias("action"))
+        free = action.isNotNull() & ~F.exists(base, lambda s: (start < s["end"]) & (s["start"] < end))
+        return F.struct(end.alias("at"), F.when(free, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    pieces = F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("b"))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+
+
+def disclosures(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.98, min_support: int = 2) -> DataFrame:
     """Spans to sanitise: a row (doc_id, text_hash, base, added) for each row of ``docs``.
 
-    ``base`` holds the personal data, ``added`` the terms that disclose it: those within ``reach`` code points
-    of an entity in at least ``min_support`` documents whose share of the entity's information,
+    ``base`` holds the personal data, ``added`` the terms that disclose it: those that stand in at least
+    ``min_support`` documents of an entity and whose share of the entity's information,
     PMI(entity; term) / IC(entity), is at least ``generalise_at`` (action ``generalise``) or ``remove_at``
-    (``remove``). Entities are compared in lower case by kind and value. Document counts cover all documents;
-    rows equal in doc_id and text count as one document. Null and empty texts have no spans and count as
+    (``remove``), at every place in all documents of the entity, however far from it. Terms under a base span are
+    no terms of an entity's document. Entities are compared in lower case by kind and value. Document counts cover all
+    documents; rows equal in doc_id and text count as one document. Null and empty texts have no spans and count as
     documents. An entity in every document carries no information and discloses nothing. Ties and repeated
     rows get equal results; an empty table gives an empty one; other columns of ``docs`` play no part.
     """
     source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     found = base_spans(source)
-    near = F.flatten(
-        F.transform(
-            "base",
-            lambda s: F.transform(
-                _near_terms(F.col("text"), s, F.col("base"), reach),
-                lambda t: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")),
-            ),
-        )
-    )
-    kept = stored(found.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, near).alias("near")), "pii-spans")
+    kept = stored(found.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, _bare_terms(F.col("text"), F.col("base"))).alias("terms")), "pii-spans")
 
     key = ["doc_id", "text_hash"]
-    seen = kept.where(F.size("near") > 0).select(*key, F.explode("near").alias("n")).select(*key, "n.*").distinct()
-    entities = (
-        kept.where(F.size("base") > 0)
-        .select(*key, F.explode(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))).alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count("*").alias("n_entity"))
-    )
-    together = seen.select(*key, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_support)
-    together = cut(together)
-    wanted = together.select("term").distinct()
-    terms = source.select(*key, F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:
-        counted = terms.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        counted = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
-    total = docs.count()
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
+    total = float(max(docs.count(), 1))
+    holders = kept.where(F.size("base") > 0).select(*key, "base", "terms", F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))).alias("entities"))
+    # An entity of fewer documents than the support asks for can't have a term with that support.
+    pairs = holders.select(*key, F.explode("entities").alias("entity")).distinct()
+    entities = pairs.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = cut(entities.where((F.col("n_entity") >= min_support) & (F.col("n_entity") < total)))
+    held = pairs.join(entities, "entity")
+    held = cut(held.groupBy(*key).agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities")))
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    carried = holders.drop("entities").alias("h").join(held.alias("e"), same("h", "e")).select("h.*", "e.entities")
+    carried = stored(carried.dropDuplicates(key), "pii-holders")
+    # PMI is at most log2(total / max(n_entity, n_term)): that leaves out the many frequent terms and no risky one.
+    log = lambda n: F.log2(F.lit(total) / n)
+    possible = lambda n_entity, n_term: log(F.greatest(n_entity, n_term)) >= generalise_at * log(n_entity) - 1e-9
+    most = entities.agg(F.max("n_entity")).first()[0] or 1
+    wanted = carried.select(F.explode("terms").alias("term")).distinct()
+    counted = source.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = counted.where((F.col("n_term") >= min_support) & possible(F.lit(most), F.col("n_term")))
+    counted = cut(counted.join(wanted, "term", "left_semi"))
+    near = carried.select(*key, "entities", F.explode("terms").alias("term"))
+    near = near.join(F.broadcast(counted) if counted.count() <= BROADCAST_TERMS else counted, "term")
+    seen = near.select(*key, "term", "n_term", F.explode("entities").alias("e")).where(possible(F.col("e.n_entity"), F.col("n_term")))
+    seen = stored(seen.select(*key, "term", "n_term", "e.*"), "pii-seen")
+    information = log(F.col("n_entity"))
+    mutual = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
     risky = (
-        together.join(counted, "term").join(entities, "entity")
+        seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+        .where(F.col("n_both") >= min_support)
         .withColumn("share", F.when(information > 0, mutual / information).otherwise(0.0))
         .where(F.col("share") >= generalise_at)
         .select("entity", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
     )
-    spans = (
+    flagged = (
         seen.join(risky, ["entity", "term"])
-        .groupBy(*key, "start", "end")
-        .agg(F.max("action").alias("action"))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("place"), F.lit("term").alias("kind"), "end", "action"))).alias("added"))
+        .groupBy(*key, "term").agg(F.max("action").alias("action"))
+        .groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("risky"))
     )
+    flagged = cut(flagged.alias("f").join(carried.alias("c"), same("f", "c")).select("f.*", "c.base"))
+    if flagged.count() <= BROADCAST_DOCS:
+        flagged = F.broadcast(flagged)
+    spotted = source.alias("s").join(flagged.alias("f"), same("s", "f")).select("s.*", "f.risky", "f.base")
+    spans = spotted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), _marked(F.col("text"), F.col("base"), F.col("risky")).alias("added")).dropDuplicates(["_id", "_hash"])
     none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int,action:string>>")
     return (
         kept.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")

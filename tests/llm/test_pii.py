@@ -50,3 +50,15 @@ def test_empty_and_extra_columns(spark):
     assert pii.sanitise(docs).count() == 0
     twice = spark.createDataFrame([(None, "x@y.zz", 1), (None, "x@y.zz", 2)], "doc_id long, text string, base int")
     assert [r["sanitised"] for r in pii.sanitise(twice).collect()] == ["[EMAIL]"] * 2
+
+
+def test_terms_far_from_the_entity(spark):
+    """Document counts decide, not the distance: every place of a risky term in the entity's documents is marked."""
+    filler = "and so on " * 50
+    texts = [f"İzmir zyx wrote {filler} A@b.cd {filler} Zyx qqq {i}" for i in (1, 2)] + [f"wrote and izmir on {i}" for i in range(60)] + ["far qqqq@rrr.de", "éqqq@rrr.de éqqq"]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    for i in (0, 1):
+        marked = [(texts[i][s["start"] : s["end"]], s["action"]) for s in out[i]["spans"] if s["kind"] == "term"]
+        assert [m for m in marked if m[0] != "İzmir"] == [("zyx", "remove"), ("Zyx", "remove"), ("qqq", "remove")]
+    assert out[2]["sanitised"] == texts[2]
