@@ -1,10 +1,10 @@
 """Operator 3: exact n-gram Jaccard join with a token-group matrix.
 
-Documents become sets of word shingles. Equal sets form one class. Classes are partitioned into groups of similar
-ones; the matrix says which tokens a group's union holds, and it is stored by token for the tokens that the
-prefix principle needs: two sets as similar as asked share one of the first few tokens in a common order, which
-puts frequent tokens last. A query's tokens are looked up in the matrix, its overlap with a group is bounded,
-first from the prefixes and then from the whole union, and only groups that qualify are opened and compared exactly.
+Documents become sets of word shingles. Equal sets form one class. Classes are partitioned into groups: classes that
+are similar to one centre and near each other in size. The matrix says which tokens a group holds, for the tokens that
+the prefix principle needs: in a common order, which puts frequent tokens last, the first token that two similar
+sets share stands early in both. A query's tokens are looked up in the matrix; of the groups found, the union of
+tokens, stored once a group, bounds the overlap, and only groups that qualify are opened and compared exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import cut, stored
+from pageflow.llm.common import cut, delete_folder, new_folder, stored
 from pageflow.llm.components import connected_components
 from pageflow.llm.hashing import WordHasher, sorted_distinct
 from pageflow.llm.lm import pack, unpack
@@ -29,6 +29,10 @@ MOST_FREQUENT = 2_000_000
 CUT_BITS = np.uint64(16)
 #: So many ids are sent to all executors at most; more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
+#: Bytes of text whose tokens meet in one bucket.
+BUCKET_BYTES = 4_000_000
+#: Queries that meet one group in one row.
+CHUNK = 64
 
 
 class Shingler:
@@ -85,19 +89,23 @@ def _slices(keys: np.ndarray, n: int):
         yield int(b), slice(edges[b], edges[b + 1])
 
 
-def _first_pass(k: int, buckets: int, flush: int = 4_000_000):
-    """Rows of sets (doc_id, n, class) and, by bucket, all tokens with the number of sets here that hold them."""
-    names = ["doc_id", "n", "class", "bucket", "tokens", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+def _first_pass(k: int, buckets: int, flush: int = 1_000_000):
+    """Rows of sets (doc_id, n, class) and, by bucket, all tokens with the number of sets here that hold them.
+
+    A bucket's row holds one token at least, so there are never more rows than tokens.
+    """
+    names = ["doc_id", "n", "class", "counted", "bucket", "tokens", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held, waiting = Shingler(k), [], 0
 
         def counted():
             keys, counts = run_lengths(np.sort(np.concatenate(held)))
-            for b, s in _slices(keys << CUT_BITS, buckets):
-                row = [[None], [None], [None], [b], [pack(keys[s])], [pack(counts[s])]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
+            rows = [(b, pack(keys[s]), pack(counts[s])) for b, s in _slices(keys << CUT_BITS, buckets)]
+            none = [None] * len(rows)
+            columns = [none, none, none, [True] * len(rows), *zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
             n, key = [], []
@@ -109,13 +117,13 @@ def _first_pass(k: int, buckets: int, flush: int = 4_000_000):
                     held.append(tokens >> CUT_BITS)
                     waiting += len(tokens)
                 if waiting > flush:
-                    yield from counted()
+                    yield counted()
                     held, waiting = [], 0
-            empty = [None] * len(n)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(empty, pa.int32()), pa.array(empty, pa.binary()), pa.array(empty, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            none = [None] * len(n)
+            columns = [batch.column(0), n, key, [False] * len(n), none, none, none]
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns, types, strict=True)], names)
         if held:
-            yield from counted()
+            yield counted()
 
     return run
 
@@ -139,9 +147,25 @@ def _count_bucket(least: int):
     return run
 
 
-def _second_pass(k: int, percent: int, buckets: int, frequent, flush: int = 3_000_000):
-    """By bucket: prefix tokens in the final order with the classes that hold them."""
-    names = ["bucket", "tokens", "classes", "sizes"]
+def _most_frequent(counts: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
+    """Sorted tokens of ``counts`` (token, n): all, or those above the least count that leaves ``most`` at most."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).orderBy(F.desc("level")).collect()  # at most 64 * 16 rows
+    total, least = 0, None
+    for row in levels:
+        total += row["tokens"]
+        if total > most:
+            break
+        least = row["level"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64)
+    kept = counts.where(level >= least).select("token").toArrow().column("token").to_numpy()
+    return np.sort(kept.view(np.uint64))
+
+
+def _second_pass(k: int, percent: int, buckets: int, frequent, flush: int = 1_000_000):
+    """By bucket: prefix tokens in the final order with the classes that hold them, their sizes and the token's place."""
+    names = ["bucket", "tokens", "classes", "sizes", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, late, waiting = Shingler(k), frequent.value, 0
@@ -153,11 +177,12 @@ def _second_pass(k: int, percent: int, buckets: int, frequent, flush: int = 3_00
             lengths = [len(x) for x in held.values()]
             classes = np.repeat(np.fromiter(held, np.int64, len(held)), lengths)
             sizes = np.repeat(np.fromiter((size[c] for c in held), np.int64, len(held)), lengths)
+            places = np.concatenate([np.arange(x) for x in lengths])
             order = np.argsort(keys)
-            keys, classes, sizes = keys[order], classes[order], sizes[order]
-            for b, s in _slices(keys, buckets):
-                row = [pa.array([b], pa.int32())] + [pa.array([x[s].tobytes()], pa.binary()) for x in (keys, classes, sizes.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays(row, names)
+            keys, classes, sizes, places = keys[order], classes[order], sizes[order], places[order]
+            rows = [(b, pack(keys[s]), classes[s].tobytes(), planes(sizes[s]), planes(places[s])) for b, s in _slices(keys, buckets)]
+            types = [pa.int32()] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
         for batch in batches:
             for text in batch.column(0):
@@ -166,26 +191,41 @@ def _second_pass(k: int, percent: int, buckets: int, frequent, flush: int = 3_00
                     held[c], size[c] = prefix(tokens, percent, late), len(tokens)
                     waiting += len(held[c])
                 if waiting > flush:
-                    yield from packed()
+                    yield packed()
                     held, size, waiting = {}, {}, 0
         if held:
-            yield from packed()
+            yield packed()
 
     return run
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Numbers below 2^32 as compressed byte planes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T
+    return np.ascontiguousarray(raw).view(np.uint32).ravel().astype(np.int64)
+
+
 def _shared_in_bucket(table: pa.Table) -> pa.Table:
-    """(token, class, n) of the tokens that two classes at least hold."""
-    tokens, classes, sizes = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in (("tokens", np.uint64), ("classes", np.int64), ("sizes", np.uint32)))
+    """(token, class, n, place) of the tokens that two classes at least hold."""
+    read = {"tokens": unpack, "classes": lambda x: np.frombuffer(x, np.int64), "sizes": from_planes, "places": from_planes}
+    tokens, classes, sizes, places = (np.concatenate([f(x.as_py()) for x in table.column(c)]) for c, f in read.items())
     order = np.lexsort((classes, tokens))
-    tokens, classes, sizes = tokens[order], classes[order], sizes[order]
+    tokens, classes, sizes, places = tokens[order], classes[order], sizes[order], places[order]
     new = np.ones(len(tokens), dtype=bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-    tokens, classes, sizes = tokens[new], classes[new], sizes[new]
+    tokens, classes, sizes, places = tokens[new], classes[new], sizes[new], places[new]
     same = np.zeros(len(tokens) + 1, dtype=bool)
     same[1:-1] = tokens[1:] == tokens[:-1]
     shared = same[1:] | same[:-1]
-    return pa.table({"token": tokens[shared].view(np.int64), "class": classes[shared], "n": sizes[shared].astype(np.int64)})
+    return pa.table({"token": tokens[shared].view(np.int64), "class": classes[shared], "n": sizes[shared], "place": places[shared]})
 
 
 def _needed(x: Column, y: Column, percent: int) -> Column:
@@ -194,16 +234,6 @@ def _needed(x: Column, y: Column, percent: int) -> Column:
     return overlap - F.ceil(F.lit(percent) * F.greatest(x, y) / F.lit(100) + 1e-9) + 1
 
 
-def _least_needed(n: Column, lo: Column, hi: Column, percent: int) -> Column:
-    """The least of ``_needed`` for partners of every size from ``lo`` to ``hi``.
-
-    Up to ``n`` the need never falls with the partner's size. Above, its two rounded parts fall behind each other
-    by percent^2 / (100 * (100 + percent)) a size, less than one before the end only for the last few sizes.
-    """
-    last = -(-100 * (100 + percent) // percent**2)
-    return F.least(_needed(n, lo, percent), *[_needed(n, F.greatest(lo, hi - i), percent) for i in range(last + 1)])
-
-
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
@@ -234,88 +264,138 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> Da
     return stored(rows.mapInArrow(run, "class long, packed binary").dropDuplicates(["class"]), "jaccard-texts")
 
 
-def _compare(k: int, percent: int):
-    """Rows (q, packed, group, members: array of (class, packed)) -> links (a, b): opens groups that qualify."""
+def _opener(k: int):
+    """Packed text -> set."""
+    import zstandard
+
+    sets, unpack = Shingler(k), zstandard.ZstdDecompressor().decompress
+    return lambda packed: sets(unpack(packed).decode("utf-8", "surrogatepass"))
+
+
+def _united(k: int):
+    """Adds to a group's row its union: the upper halves of all members' tokens, sorted and distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        tokens = _opener(k)
+        for batch in batches:
+            unions = []
+            for members in batch.column(3).to_pylist():
+                held = np.concatenate([tokens(m["packed"]) >> np.uint64(32) for m in members])
+                unions.append(pack(sorted_distinct(held)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unions, pa.binary())], ["component", "part", "least", "members", "union"])
+
+    return run
 
-        sets, unpack = Shingler(k), zstandard.ZstdDecompressor().decompress
-        tokens = lambda packed: sets(unpack(packed).decode("utf-8", "surrogatepass"))
-        last, members, union = None, [], None
+
+def _compare(k: int, percent: int):
+    """Rows (members, union, least, queries) -> links (a, b): the union bounds each query's overlap, groups that qualify are opened.
+
+    Equal upper halves of unequal tokens only raise the bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _opener(k)
         for batch in batches:
             a, b = [], []
             for i in range(batch.num_rows):
-                q, group = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                if group != last:
-                    members = [(m["class"], tokens(m["packed"])) for m in batch.column(3)[i].as_py()]
-                    union = np.unique(np.concatenate([t for _, t in members]))
-                    last = group
-                own = tokens(batch.column(1)[i].as_py())
-                if len(members) > 1 and len(np.intersect1d(own, union, assume_unique=True)) * 100 < percent * len(own):
-                    continue
-                for other, t in members:
-                    if _similar(own, t, percent):  # one link joins the query to all that the group is linked to
-                        a.append(q)
-                        b.append(other)
-                        break
+                union, least, members = unpack(batch.column(1)[i].as_py()), batch.column(2)[i].as_py(), None
+                for query in batch.column(3)[i].as_py():
+                    own = tokens(query["packed"])
+                    halves = own >> np.uint64(32)
+                    at = np.minimum(np.searchsorted(union, halves), len(union) - 1)
+                    bound = int((union[at] == halves).sum())
+                    if bound * 100 < percent * len(own) or bound * (100 + percent) < percent * (len(own) + least):
+                        continue
+                    if members is None:
+                        members = [(m["class"], tokens(m["packed"])) for m in batch.column(0)[i].as_py()]
+                    for other, t in members:
+                        if _similar(own, t, percent):  # one link joins the query to all that the group is linked to
+                            a.append(query["q"])
+                            b.append(other)
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame, k: int, percent: int, records: int = 64) -> DataFrame:
-    """Links found among (q, group) pairs; ``groups`` has (group, class)."""
+def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, k: int, percent: int, records: int = 32) -> DataFrame:
+    """Links found among the pairs (q, component, part); ``members`` has (component, part, class, n).
+
+    A group's members and union are stored once and sent along with ``CHUNK`` queries at a time, so that a group that very
+    many ask is opened in many tasks.
+    """
     spark = pairs.sparkSession
-    members = (
-        groups.join(pairs.select("group").distinct(), "group").join(texts, "class")
-        .groupBy("group").agg(F.collect_list(F.struct("class", "packed")).alias("members"))
-    )
-    rows = pairs.join(texts.withColumnRenamed("class", "q"), "q").join(members, "group").select("q", "packed", "group", "members")
+    key = ["component", "part"]
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting, "10000")
     spark.conf.set(setting, str(records))
     try:
+        gathered = members.join(texts, "class").groupBy(*key).agg(F.min("n").alias("least"), F.collect_list(F.struct("class", "packed")).alias("members"))
+        schema = "component long, part long, least long, members array<struct<class: long, packed: binary>>, union binary"
+        united = stored(gathered.mapInArrow(_united(k), schema), "jaccard-groups")
+        asked = pairs.groupBy(*key).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        dealt = pairs.join(asked, key).withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks")))
+        queries = (
+            dealt.join(texts.withColumnRenamed("class", "q"), "q")
+            .groupBy(*key, "chunk").agg(F.collect_list(F.struct("q", "packed")).alias("queries"))
+        )
+        rows = queries.join(united, key).select("members", "union", "least", "queries")
         return cut(rows.mapInArrow(_compare(k, percent), "a long, b long").distinct())
     finally:
         spark.conf.set(setting, before)
 
 
-def _matrix(postings: DataFrame, links: DataFrame, group_size: int) -> tuple[DataFrame, DataFrame]:
-    """Postings with their class's component, its size and the class's part, and the parts of components.
+def _matrix(postings: DataFrame, links: DataFrame, sizes: DataFrame, percent: int, group_size: int) -> tuple[DataFrame, DataFrame]:
+    """Postings of open tokens with their class's component and group, and all groups' members (component, part, class, n).
 
-    A group is a part of a component of ``links``: similar classes, about ``group_size`` of them.
+    A group holds classes of one component of ``links`` whose sizes lie in one step of 5 %, about ``group_size`` of them.
+    Tokens that only one component holds are left out. ``low`` marks a token that stands early enough in its set to be the
+    first one shared with a set that isn't smaller.
     """
-    found = connected_components(links).withColumnRenamed("id", "class")
-    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    placed = cut(found.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / group_size)).cast("int")))
+    found = connected_components(links).withColumnRenamed("id", "class").join(sizes, "class")
+    found = found.withColumn("step", F.floor(F.log(F.col("n")) / F.log(F.lit(1.05))).cast("long"))
+    counts = found.groupBy("component", "step").agg(F.count("*").alias("here"))
+    whole = found.groupBy("component").agg(F.count("*").alias("size"))
+    placed = cut(
+        found.join(counts, ["component", "step"]).join(whole, "component")
+        .select("class", "component", "size", (F.pmod(F.xxhash64("class"), F.ceil(F.col("here") / group_size)) * 1024 + F.col("step")).alias("part"))
+    )
     spread = (
         postings.join(placed, "class", "left")
-        .withColumn("component", F.coalesce("component", "class")).withColumn("members", F.coalesce("members", F.lit(1))).withColumn("part", F.coalesce("part", F.lit(0)))
+        .withColumn("component", F.coalesce("component", "class")).withColumn("size", F.coalesce("size", F.lit(1))).withColumn("part", F.coalesce("part", F.lit(0)).cast("long"))
+        .withColumn("low", F.col("place") * (100 + percent) <= F.lit(100 - percent) * F.col("n"))
     )
-    several = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
+    several = spread.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") < F.col("b")).select("token")
     spread = stored(spread.join(several, "token"), "jaccard-open")
-    return spread, spread.select("component", "part").distinct()
+    return spread, spread.select("component", "part", "class", "n").distinct()
 
 
-def _qualified(spread: DataFrame, percent: int) -> DataFrame:
-    """(q, component, part): queries whose prefix overlap with a component's union is enough, and one of its groups.
+def _candidates(spread: DataFrame, percent: int, by_part: bool) -> DataFrame:
+    """(q, component, part): which group each query has to be compared with, for one group a component or, ``by_part``, for each.
 
-    Of two components the smaller one asks. The matrix has a row for each token and component.
+    Of two components the smaller one asks. For two similar sets, let t be the first token that both hold: it stands at
+    place ``n - overlap`` at most in each, and it is low in the set that isn't larger. So a token's rows are split: low rows
+    meet all others, rows that aren't low meet low ones only, and very frequent tokens, which come late, meet few.
     """
-    matrix = spread.groupBy("token", "component", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min_by("part", F.xxhash64("class")).alias("part"))
-    q, g = spread.alias("q"), matrix.alias("g")
-    smaller = F.struct("q.members", "q.component") < F.struct("g.members", "g.component")
-    low = F.greatest(F.col("g.lo"), F.ceil(F.lit(percent) * F.col("q.n") / 100 - 1e-9))
-    high = F.least(F.col("g.hi"), F.floor(F.lit(100) * F.col("q.n") / percent + 1e-9))
-    return (
-        q.join(g, F.col("q.token") == F.col("g.token"))
-        .where(smaller & (low <= high))
-        .groupBy(F.col("q.class").alias("q"), F.col("q.n").alias("n"), F.col("g.component").alias("component"))
-        .agg(F.count("*").alias("common"), F.min(low).alias("lo"), F.max(high).alias("hi"), F.min("g.part").alias("part"))
-        .where(F.col("common") >= _least_needed(F.col("n"), F.col("lo"), F.col("hi"), percent))
-        .select("q", "component", "part")
+    key = ["token", "component", "size"] + (["part"] if by_part else [])
+    parts = [] if by_part else [F.min_by("part", F.struct("place", "class")).alias("part")]
+    matrix = spread.groupBy(*key).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"), F.max("low").alias("low"), *parts)
+    q = spread.withColumn("meets", F.explode(F.when(F.col("low"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).alias("q")
+    g = matrix.alias("g")
+    n = F.col("q.n")
+    low = F.greatest(F.col("g.lo"), F.ceil(n * percent / 100 - 1e-9))
+    high = F.least(F.col("g.hi"), F.floor(n * 100 / percent + 1e-9))
+    fits = (
+        (F.struct("q.size", "q.component") < F.struct("g.size", "g.component"))
+        & (low <= high)
+        & (F.col("q.place") * (100 + percent) <= n * 100 - low * percent)
+        & (F.col("g.first") * (100 + percent) <= high * 100 - n * percent)
     )
+    joined = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.meets") == F.col("g.low")) & fits)
+    found = joined.select(F.col("q.class").alias("q"), F.col("g.component").alias("component"), F.col("g.part").alias("part"))
+    if by_part:
+        return found.distinct()
+    return found.groupBy("q", "component").agg(F.min("part").alias("part"))
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_above: int = 16, group_size: int = 32) -> DataFrame:
@@ -328,19 +408,24 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_
     tables; other columns of ``docs`` play no part. Hashes of 64 bits stand for shingles and sets.
     """
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stored(source.mapInArrow(_first_pass(k, buckets), "doc_id long, n long, class long, bucket int, tokens binary, counts binary"), "jaccard-first")
-    sets = first.where(F.col("bucket").isNull()).select("doc_id", "n", "class")
-    classes = sets.where(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("representative"))
-
-    counts = first.where(F.col("bucket").isNotNull()).groupBy("bucket").applyInArrow(_count_bucket(frequent_above), "token long, n long")
-    most = [r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toLocalIterator()]
-    frequent = spark.sparkContext.broadcast(np.sort(np.array(most, dtype=np.int64).view(np.uint64)))
-    packed = source.select("text").mapInArrow(_second_pass(k, percent, buckets, frequent), "bucket int, tokens binary, classes binary, sizes binary")
-    postings = stored(packed.groupBy("bucket").applyInArrow(_shared_in_bucket, "token long, class long, n long"), "jaccard-postings")
-
-    # Groups: each class is compared with one centre. A token's centre is the class that shares most of its own
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
+    path = new_folder(spark, "jaccard-first")
+    schema = "doc_id long, n long, class long, counted boolean, bucket int, tokens binary, counts binary"
+    source.mapInArrow(_first_pass(k, buckets), schema).write.partitionBy("counted").parquet(path)
+    first = spark.read.schema(schema).parquet(path)
+    sets = first.where(~F.col("counted")).select("doc_id", "n", "class")
+    classes = cut(sets.where(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("representative"), F.min("n").alias("n")))
+    sizes = classes.select("class", "n")
+
+    counts = first.where("counted").select("bucket", "tokens", "counts").groupBy("bucket").applyInArrow(_count_bucket(frequent_above), "token long, n long")
+    frequent = spark.sparkContext.broadcast(_most_frequent(cut(counts)))
+    delete_folder(spark, f"{path}/counted=true")  # the counts are in the checkpoint now
+    packed = source.select("text").mapInArrow(_second_pass(k, percent, buckets, frequent), "bucket int, tokens binary, classes binary, sizes binary, places binary")
+    postings = stored(packed.groupBy("bucket").applyInArrow(_shared_in_bucket, "token long, class long, n long, place long"), "jaccard-postings")
+
+    # First links: each class is compared with one centre. A token's centre is the class that shares most of its own
     # prefix tokens: of a family of copies, one that was changed least. A class takes the centre of most of its tokens.
     weight = postings.groupBy("class").agg(F.count("*").alias("shared"))
     weighed = postings.join(weight, "class")
@@ -354,20 +439,17 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_
     )
     stars = cut(stars)
     star_texts = _texts(source, classes, stars.select("class").unionByName(stars.select(F.col("centre").alias("class"))), k)
-    alone = stars.select(F.col("centre").alias("group"), F.col("centre").alias("class")).distinct()
-    star_links = _verified(stars.select(F.col("class").alias("q"), F.col("centre").alias("group")), star_texts, alone, k, percent, records=1000)
-
-    # Queries against one group of each component that they may belong to, then what is left against all groups.
-    links = star_links
-    for probe in (True, False):
-        spread, parts = _matrix(postings, links, group_size)
-        candidates = cut(_qualified(spread, percent))
-        wanted = candidates.select("q", "component", "part") if probe else candidates.select("q", "component").join(parts, "component")
-        name = F.concat_ws(":", "component", "part")
-        members = spread.select("class", "component", "part").distinct().join(wanted.select("component", "part").distinct(), ["component", "part"])
-        groups = cut(members.select(name.alias("group"), "class"))
-        texts = _texts(source, classes, candidates.select(F.col("q").alias("class")).unionByName(groups.select("class")), k)
-        links = cut(links.unionByName(_verified(wanted.select("q", name.alias("group")), texts, groups, k, percent)))
+    alone = stars.select(F.col("centre").alias("component"), F.lit(0).cast("long").alias("part"), F.col("centre").alias("class")).distinct().join(sizes, "class")
+    asked = stars.select(F.col("class").alias("q"), F.col("centre").alias("component"), F.lit(0).cast("long").alias("part"))
+    links = _verified(asked, star_texts, alone, k, percent)
+
+    # Then queries against one group of each component that they may belong to; what is still apart, against all groups that it may.
+    for by_part in (False, True):
+        spread, members = _matrix(postings, links, sizes, percent, group_size)
+        candidates = cut(_candidates(spread, percent, by_part))
+        members = cut(members.join(candidates.select("component", "part").distinct(), ["component", "part"]))
+        texts = _texts(source, classes, candidates.select(F.col("q").alias("class")).unionByName(members.select("class")), k)
+        links = cut(links.unionByName(_verified(candidates, texts, members, k, percent)))
 
     joined = connected_components(links).withColumnRenamed("id", "class")
     least = joined.join(classes, "class").groupBy("component").agg(F.min("representative").alias("component_id"))

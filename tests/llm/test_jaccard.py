@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from pageflow.llm import jaccard
 from tests.llm import brute
@@ -58,16 +57,23 @@ def test_prefix_bound():
             assert len(np.intersect1d(jaccard.prefix(a, 85, none), jaccard.prefix(b, 85, none))) >= max(1, need)
 
 
-def test_count_filter_over_a_range_of_sizes(spark):
-    """The count filter asks for no more than the least need over all partner sizes of the range."""
-    sizes = spark.range(1, 61).select(F.col("id").alias("n"))
+def test_first_shared_token():
+    """The first token that similar sets share stands early in both, and is low in the set that isn't larger."""
+    rng = np.random.default_rng(3)
+    none = np.zeros(0, dtype=np.uint64)
     for percent in (85, 80, 60):
-        ends = sizes.withColumn("lo", F.explode(F.sequence(F.ceil(F.col("n") * percent / 100 - 1e-9), F.floor(F.col("n") * 100 / percent + 1e-9))))
-        ends = ends.withColumn("hi", F.explode(F.sequence(F.col("lo"), F.floor(F.col("n") * 100 / percent + 1e-9))))
-        each = ends.withColumn("m", F.explode(F.sequence("lo", "hi"))).withColumn("need", jaccard._needed(F.col("n"), F.col("m"), percent))
-        least = each.groupBy("n", "lo", "hi").agg(F.min("need").alias("least"))
-        wrong = least.where(jaccard._least_needed(F.col("n"), F.col("lo"), F.col("hi"), percent) != F.col("least"))
-        assert wrong.count() == 0
+        for _ in range(200):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 200))).astype(np.uint64))
+            keep = a[rng.random(len(a)) > rng.random() * 0.2]
+            b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 10))).astype(np.uint64)]))
+            if not len(b) or not jaccard._similar(a, b, percent):
+                continue
+            x, y = jaccard.prefix(a, percent, none), jaccard.prefix(b, percent, none)
+            token = next(t for t in x if t in b)
+            i, j, n, m = int(np.flatnonzero(x == token)[0]), int(np.flatnonzero(y == token)[0]), len(a), len(b)
+            assert i * (100 + percent) <= 100 * n - percent * m and j * (100 + percent) <= 100 * m - percent * n
+            small, place = (n, i) if n <= m else (m, j)
+            assert place * (100 + percent) <= (100 - percent) * small
 
 
 def test_link_to_a_component_of_larger_sets(spark):
