@@ -99,7 +99,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def effort(distinct: DataFrame, forest: Forest, counts: dict, probes: np.ndarray, k: int, recall: float) -> float:
+def effort(distinct: DataFrame, forest: Forest, counts: dict, probes: np.ndarray, k: int, recall: float, kind: str = "float") -> float:
     """Rows to look through so that the probes find the share ``recall`` of their k nearest distinct vectors.
 
     The probes' nearest come from a comparison with all rows, of which each batch hands on its own k + 1 best.
@@ -114,7 +114,7 @@ def effort(distinct: DataFrame, forest: Forest, counts: dict, probes: np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), batch.column(0).take(pa.array(r)), pa.array(products[r, i])], ["probe", "v", "score"])
 
     order = Window.partitionBy("probe").orderBy(F.desc("score"))
-    top = distinct.mapInArrow(best, "probe int, v array<float>, score double").withColumn("r", F.row_number().over(order)).where((F.col("r") > 1) & (F.col("r") <= k + 1))
+    top = distinct.mapInArrow(best, f"probe int, v array<{kind}>, score double").withColumn("r", F.row_number().over(order)).where((F.col("r") > 1) & (F.col("r") <= k + 1))
     near = top.toArrow()  # k rows a probe
     vectors, probe = _matrix(near.column("v").combine_chunks()), near.column("probe").to_numpy()
     cells = [forest.place(t, vectors) for t in range(len(forest.roots))]
@@ -129,7 +129,7 @@ def effort(distinct: DataFrame, forest: Forest, counts: dict, probes: np.ndarray
 
 
 def nearest(
-    vectors: DataFrame, queries: Column, k: int = 20, trees: int = 16, leaves: int = 64, leaf_rows: int = 4096, recall: float = 0.95, sample_rows: int = 20_000, exact_below: int = 2000, part_rows: int = 4096, seed: int = 7
+    vectors: DataFrame, queries: Column, k: int = 20, trees: int = 16, leaves: int = 64, leaf_rows: int = 4096, recall: float = 0.95, sample_rows: int = 20_000, least_rows: int = 8_000, part_rows: int = 4096, seed: int = 7
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each query row.
 
@@ -137,13 +137,15 @@ def nearest(
     vec_id. Vectors that are null, zero, or hold null or non-finite components, and rows without a vec_id, take
     no part; neither do vectors whose length differs from the most usual one. Rows that share a vec_id count once, by
     the smallest vector. Equal scores go to the smaller vec_id. Equal vectors are indexed as one, with their
-    k + 1 smallest ids, which is all that a result can hold. Up to ``exact_below`` distinct vectors the forest is a
-    single leaf and the search exact. The trees see ``sample_rows`` distinct vectors at most (those of least hash), all
-    rows are indexed. A tree has about ``leaves`` leaves, or more, of ``leaf_rows`` rows. How many rows a query's
-    leaves must hold is set by ``effort`` from the data. Empty tables give empty results.
+    k + 1 smallest ids, which is all that a result can hold. The trees see ``sample_rows`` distinct vectors at most (those of least
+    hash), all rows are indexed. A tree has about ``leaves`` leaves, or more, of ``leaf_rows`` rows. How many rows a query's
+    leaves must hold, over all trees, is set by ``effort`` from the data, and ``least_rows`` at least: queries of a small table open
+    all leaves. Components are compared as they are given, float or double. A leaf with many rows, or that many queries
+    open, is dealt to several tasks. Empty tables give empty results.
     """
     spark = vectors.sparkSession
-    raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     fine = raw.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     usual = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     size = usual[0]["d"] if usual else 0
@@ -155,8 +157,7 @@ def nearest(
     total = distinct.count()
     sample = distinct.orderBy(F.xxhash64("v"), "v").select("v").limit(sample_rows).toArrow().column("v").combine_chunks()
     points = _matrix(sample) if len(sample) else np.zeros((0, size))
-    leaf = len(points) if total <= exact_below else max(4, len(points) // max(leaves, total // leaf_rows))
-    shared = spark.sparkContext.broadcast(Forest(points, 1 if total <= exact_below else trees, max(leaf, 1), seed))
+    shared = spark.sparkContext.broadcast(Forest(points, trees, max(4, len(points) // max(leaves, total // leaf_rows)), seed))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
@@ -167,10 +168,10 @@ def nearest(
                 same = pa.array(np.full(len(leaves), tree, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([same, pa.array(leaves), *batch.columns], ["tree", "leaf", "v", "ids"])
 
-    placed = stored(distinct.select("v", "ids").mapInArrow(index, "tree int, leaf int, v array<float>, ids array<long>"), "ann-index")
+    placed = stored(distinct.select("v", "ids").mapInArrow(index, f"tree int, leaf int, v array<{kind}>, ids array<long>"), "ann-index")
     counts = {(r["tree"], r["leaf"]): r["count"] for r in placed.groupBy("tree", "leaf").count().collect()}  # as many rows as the forest has leaves
     known = spark.sparkContext.broadcast(counts)
-    enough = float("inf") if total <= exact_below else effort(distinct.select("v"), shared.value, counts, points[:100], k, recall)
+    enough = max(least_rows, effort(distinct.select("v"), shared.value, counts, points[:100], k, recall, kind))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, sizes = shared.value, known.value
@@ -190,7 +191,8 @@ def nearest(
                 ["tree", "leaf", "part", "query_id", "q"],
             )
 
-    asked = rows.where(queries).select("vec_id", "v").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id").mapInArrow(walk, "tree int, leaf int, part int, query_id long, q array<float>")
+    asked = rows.where(queries).select("vec_id", "v").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id").mapInArrow(walk, f"tree int, leaf int, part int, query_id long, q array<{kind}>")
+    asked = stored(asked, "ann-asked")
     several = [(t, l, -(-n // part_rows)) for (t, l), n in counts.items() if n > part_rows]
     if several:
         table = pa.table({"tree": pa.array([x[0] for x in several], pa.int32()), "leaf": pa.array([x[1] for x in several], pa.int32()), "parts": pa.array([x[2] for x in several], pa.int32())})
@@ -217,6 +219,12 @@ def nearest(
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
     keys = ["tree", "leaf", "part"]
+    # Where very many queries open a leaf, they are dealt to chunks, each of which meets the leaf's rows.
+    chunks = asked.groupBy(*keys).agg(F.ceil(F.count("*") / part_rows).alias("chunks")).where(F.col("chunks") > 1)
+    chunks = stored(chunks, "ann-chunks")
+    asked = asked.join(chunks, keys, "left").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.coalesce("chunks", F.lit(1)))).drop("chunks")
+    placed = placed.join(chunks, keys, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
+    keys = [*keys, "chunk"]
     found = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,19 +30,40 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared folder, so that losing an executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As ``cut``, but as Parquet: compressed and columnar, for bulky intermediate tables."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    """Compute ``df`` once and keep it as Parquet in the shared folder, so that losing an executor costs no recomputation.
+
+    A checkpoint would do the same, but computes its last stage twice, once for the count that starts it.
+    """
+    return stored_at(df, new_folder(df.sparkSession, name))
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it. Shuffle files go as soon as it is written: nothing else reads them."""
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``stored`` for small intermediate tables."""
+    return stored(df, "cut")
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder made by ``new_folder`` through Hadoop's file system layer."""
     jvm = spark.sparkContext._jvm

@@ -2,8 +2,8 @@
 
 Every benchmark item is cut into windows of consecutive words, and a window into short shingles. A document
 holds a window only if it holds all of its shingles, so one necessary prefix token suffices to find candidates:
-the window's rarest shingle in the corpus. Candidates must fit the document (positional and length bounds) and
-are verified shingle by shingle, which compares all words exactly. Everything is DataFrame functions.
+the window's rarest shingle in the corpus. Candidates must fit the document (the window starts at its first word or later and
+ends at its last or before) and are verified word by word. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -62,8 +62,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingl
     """Where benchmark windows occur: (doc_id, text_hash, start, n, item_id), one row for each.
 
     Documents are told apart by (doc_id, xxhash64 of the text), so repeated rows are found once. Null and empty
-    texts and items hold nothing. An item without an id marks hits but is not listed. A third of all documents may hold the same passage: no step gathers a
-    passage's documents, as hits are joined by document and position.
+    texts and items hold nothing. An item without an id marks hits but is not listed. A third of all documents may hold the same
+    passage: no step gathers a passage's documents. The corpus is read twice, once to count the benchmark's shingles and once to
+    look for one anchor a window, the rarest of them; a document's words are compared where the anchor says that the window starts.
     """
     if window < 1 or shingle < 1:
         raise ValueError("window and shingle must be positive")
@@ -75,60 +76,45 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingl
         .withColumn("window_id", F.sha2(F.concat_ws(" ", "words"), 256))
     )
     lengths = [r["k"] for r in parts.select("k").distinct().orderBy("k").collect()]  # at most ``shingle`` rows
-    need = reduce(
-        DataFrame.unionByName,
-        [
-            parts.where(F.col("k") == k)
-            .select("window_id", "n", "k", "words", F.explode(_positions(F.col("words"), k)).alias("at"))
-            .withColumn("token", F.concat_ws(" ", *_at(F.col("words"), F.col("at"), k)))
-            .withColumn("hash", F.xxhash64(*_at(F.col("words"), F.col("at"), k)))
-            .drop("words")
-            for k in lengths
-        ],
-        parts.select("window_id", "n", "k", F.lit(0).alias("at"), F.lit("").alias("token"), F.lit(0).cast("long").alias("hash")).where(F.lit(False)),
-    )
-    tokens = need.select("hash", "k", "token").distinct()
-    if need.count() <= BROADCAST_SHINGLES:
-        tokens = F.broadcast(tokens)
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words_of(F.col("text")).alias("w"))
-    # Hashes alone are the join's key; the words are compared after it, by ``between`` so that the comparison
-    # doesn't become a part of the key. The outer form keeps Spark from testing the whole array in a filter of its own before it is exploded.
-    found = [
-        source.select("doc_id", "text_hash", "w", F.posexplode_outer(_hashes(F.col("w"), k)).alias("pos", "hash"))
-        .join(tokens.where(F.col("k") == k), "hash")
-        .where(F.concat_ws(" ", *_at(F.col("w"), F.col("pos"), k)).between(F.col("token"), F.col("token")))
-        .select("doc_id", "text_hash", "pos", "token")
-        for k in lengths
-    ]
-    if not found:
-        found = [source.select("doc_id", "text_hash", F.lit(0).alias("pos"), F.lit("").alias("token")).where(F.lit(False))]
-    hits = cut(reduce(DataFrame.unionByName, found))
-
-    frequency = hits.groupBy("token").count()
-    rarity = Window.partitionBy("window_id").orderBy("count", "token", "at")
+    if not lengths:
+        return source.where(F.lit(False)).select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast(dict(benchmark.dtypes)["item_id"]).alias("item_id"))
+    each = [parts.where(F.col("k") == k).select("window_id", "k", F.posexplode(_hashes(F.col("words"), k)).alias("at", "hash")) for k in lengths]
+    need = cut(reduce(DataFrame.unionByName, each))
+    small = need.count() <= BROADCAST_SHINGLES
+    sent = F.broadcast if small else (lambda df: df)
+    # The outer form keeps Spark from testing the whole array in a filter of its own before it is exploded.
+    at = lambda k: F.posexplode_outer(_hashes(F.col("w"), k)).alias("pos", "hash")
+
+    # Counted by hash, so that map tasks hand on a row a shingle; equal hashes only change which anchor is taken.
+    counted = [source.select(at(k)).select("hash").join(sent(need.where(F.col("k") == k).select("hash").distinct()), "hash").groupBy("hash").agg(F.count("*").alias("count")) for k in lengths]
+    frequency = cut(reduce(DataFrame.unionByName, [c.withColumn("k", F.lit(k)) for c, k in zip(counted, lengths, strict=True)]))
+    rarity = Window.partitionBy("window_id").orderBy("count", "at")
     anchors = (
-        need.join(frequency, "token", "left").na.fill(0, ["count"])
-        .withColumn("rank", F.row_number().over(rarity))
-        .where((F.col("rank") == 1) & (F.col("count") > 0))  # a window with a shingle that no document has occurs nowhere
-        .select("token", "window_id", "n", "k", F.col("at").alias("anchor"))
-    )
-    candidates = (
-        hits.join(anchors, "token")
-        .select("doc_id", "text_hash", "window_id", "n", "k", (F.col("pos") - F.col("anchor")).alias("start"))
-        .where(F.col("start") >= 0)
-        .distinct()
-    )
-    wanted = candidates.join(need.select("window_id", "at", "token"), "window_id").withColumn("pos", F.col("start") + F.col("at"))
-    held = hits.distinct().alias("h")
-    same = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("doc_id", "text_hash", "pos", "token")])
-    verified = (
-        wanted.alias("c").join(held, same)
-        .groupBy(*[F.col(f"c.{c}").alias(c) for c in ("doc_id", "text_hash", "window_id", "n", "k", "start")])
-        .agg(F.count("*").alias("matched"))
-        .where(F.col("matched") == F.col("n") - F.col("k") + 1)
+        need.join(frequency, ["k", "hash"], "left").na.fill(0, ["count"])
+        .withColumn("rank", F.row_number().over(rarity)).where((F.col("rank") == 1) & (F.col("count") > 0))  # a window with a shingle that no document has occurs nowhere
+        .join(parts.select("window_id", "n", "words"), "window_id")
+        .select("hash", "k", F.col("at").alias("anchor"), "n", "words", "window_id")
     )
-    return verified.join(parts.select("window_id", F.explode_outer("items").alias("item_id")), "window_id").select("doc_id", "text_hash", "start", "n", "item_id")
+    anchors = cut(anchors)
+    found = []
+    for k in lengths:
+        here = source.select("doc_id", "text_hash", "w", at(k)).select("doc_id", "text_hash", "hash", "pos", F.size("w").alias("size"), "w" if small else _around(window, k).alias("w"))
+        joined = here.join(sent(anchors.where(F.col("k") == k)), "hash")
+        start = F.col("pos") - F.col("anchor")
+        shift = F.lit(0) if small else F.greatest(F.col("pos") - (window - k), F.lit(0))
+        fits = (start >= 0) & (start + F.col("n") <= F.col("size"))
+        same = F.when(fits, F.slice("w", F.greatest(start - shift, F.lit(0)) + 1, F.col("n")) == F.col("words")).otherwise(False)
+        found.append(joined.where(same).select("doc_id", "text_hash", start.alias("start"), "n", "window_id"))
+    hits = reduce(DataFrame.unionByName, found).distinct()
+    return hits.join(parts.select("window_id", F.explode_outer("items").alias("item_id")), "window_id").select("doc_id", "text_hash", "start", "n", "item_id")
+
+
+def _around(window: int, k: int) -> Column:
+    """The words that a window with an anchor at ``pos`` may hold."""
+    first = F.greatest(F.col("pos") - (window - k), F.lit(0))
+    return F.slice("w", first + 1, F.lit(2 * window))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, shingle: int = 3) -> DataFrame:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import cut, delete_folder, new_folder, stored
-from pageflow.llm.components import connected_components
+from pageflow.llm.common import cut, delete_folder, new_folder, setting, stored, stored_at
+from pageflow.llm.components import connected_components, joined_components
 from pageflow.llm.hashing import WordHasher, sorted_distinct
 from pageflow.llm.lm import pack, unpack
 
@@ -326,10 +326,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, k: int, pe
     """
     spark = pairs.sparkSession
     key = ["component", "part"]
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting, "10000")
-    spark.conf.set(setting, str(records))
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(records)):
         gathered = members.join(texts, "class").groupBy(*key).agg(F.min("n").alias("least"), F.collect_list(F.struct("class", "packed")).alias("members"))
         schema = "component long, part long, least long, members array<struct<class: long, packed: binary>>, union binary"
         united = stored(gathered.mapInArrow(_united(k), schema), "jaccard-groups")
@@ -341,18 +338,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, k: int, pe
         )
         rows = queries.join(united, key).select("members", "union", "least", "queries")
         return cut(rows.mapInArrow(_compare(k, percent), "a long, b long").distinct())
-    finally:
-        spark.conf.set(setting, before)
 
 
-def _matrix(postings: DataFrame, links: DataFrame, sizes: DataFrame, percent: int, group_size: int) -> tuple[DataFrame, DataFrame]:
+def _matrix(postings: DataFrame, found: DataFrame, sizes: DataFrame, percent: int, group_size: int) -> tuple[DataFrame, DataFrame]:
     """Postings of open tokens with their class's component and group, and all groups' members (component, part, class, n).
 
-    A group holds classes of one component of ``links`` whose sizes lie in one step of 5 %, about ``group_size`` of them.
+    A group holds classes of one component of ``found`` whose sizes lie in one step of 5 %, about ``group_size`` of them.
     Tokens that only one component holds are left out. ``low`` marks a token that stands early enough in its set to be the
     first one shared with a set that isn't smaller.
     """
-    found = connected_components(links).withColumnRenamed("id", "class").join(sizes, "class")
+    found = found.withColumnRenamed("id", "class").join(sizes, "class")
     found = found.withColumn("step", F.floor(F.log(F.col("n")) / F.log(F.lit(1.05))).cast("long"))
     counts = found.groupBy("component", "step").agg(F.count("*").alias("here"))
     whole = found.groupBy("component").agg(F.count("*").alias("size"))
@@ -371,7 +366,7 @@ def _matrix(postings: DataFrame, links: DataFrame, sizes: DataFrame, percent: in
 
 
 def _candidates(spread: DataFrame, percent: int, by_part: bool) -> DataFrame:
-    """(q, component, part): which group each query has to be compared with, for one group a component or, ``by_part``, for each.
+    """(q, component, size, part): which group each query has to be compared with, for one group a component or, ``by_part``, for each.
 
     Of two components the smaller one asks. For two similar sets, let t be the first token that both hold: it stands at
     place ``n - overlap`` at most in each, and it is low in the set that isn't larger. So a token's rows are split: low rows
@@ -392,10 +387,10 @@ def _candidates(spread: DataFrame, percent: int, by_part: bool) -> DataFrame:
         & (F.col("g.first") * (100 + percent) <= high * 100 - n * percent)
     )
     joined = q.join(g, (F.col("q.token") == F.col("g.token")) & (F.col("q.meets") == F.col("g.low")) & fits)
-    found = joined.select(F.col("q.class").alias("q"), F.col("g.component").alias("component"), F.col("g.part").alias("part"))
+    found = joined.select(F.col("q.class").alias("q"), "g.component", "g.size", "g.part")
     if by_part:
         return found.distinct()
-    return found.groupBy("q", "component").agg(F.min("part").alias("part"))
+    return found.groupBy("q", "component", "size").agg(F.min("part").alias("part"))
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_above: int = 16, group_size: int = 32) -> DataFrame:
@@ -441,17 +436,23 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_
     star_texts = _texts(source, classes, stars.select("class").unionByName(stars.select(F.col("centre").alias("class"))), k)
     alone = stars.select(F.col("centre").alias("component"), F.lit(0).cast("long").alias("part"), F.col("centre").alias("class")).distinct().join(sizes, "class")
     asked = stars.select(F.col("class").alias("q"), F.col("centre").alias("component"), F.lit(0).cast("long").alias("part"))
-    links = _verified(asked, star_texts, alone, k, percent)
+    found = cut(connected_components(_verified(asked, star_texts, alone, k, percent)))
 
     # Then queries against one group of each component that they may belong to; what is still apart, against all groups that it may.
+    tried = None
     for by_part in (False, True):
-        spread, members = _matrix(postings, links, sizes, percent, group_size)
-        candidates = cut(_candidates(spread, percent, by_part))
+        spread, members = _matrix(postings, found, sizes, percent, group_size)
+        candidates = _candidates(spread, percent, by_part)
+        if by_part:  # a component of the same size is the same one, and its groups are
+            candidates = candidates.join(tried, ["q", "component", "size", "part"], "left_anti")
+        tried = candidates = cut(candidates)
+        if candidates.isEmpty():
+            continue
         members = cut(members.join(candidates.select("component", "part").distinct(), ["component", "part"]))
         texts = _texts(source, classes, candidates.select(F.col("q").alias("class")).unionByName(members.select("class")), k)
-        links = cut(links.unionByName(_verified(candidates, texts, members, k, percent)))
+        found = cut(joined_components(found, _verified(candidates, texts, members, k, percent)))
 
-    joined = connected_components(links).withColumnRenamed("id", "class")
+    joined = found.withColumnRenamed("id", "class")
     least = joined.join(classes, "class").groupBy("component").agg(F.min("representative").alias("component_id"))
     known = classes.join(joined.join(least, "component").select("class", F.col("component_id").alias("reached")), "class", "left")
     known = known.select("class", F.coalesce("reached", "representative").alias("component_id"))

@@ -37,7 +37,7 @@ def test_recall_of_the_forest(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     table = spark.read.parquet(path)
     want = brute([(r["vec_id"], r["embedding"]) for r in table.collect()])
-    got = by_query(ann.nearest(table, F.col("vec_id") % 20 == 0, leaves=16, exact_below=100))
+    got = by_query(ann.nearest(table, F.col("vec_id") % 20 == 0, leaves=16, least_rows=100))
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     hit = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
     assert hit >= 0.9
@@ -45,6 +45,27 @@ def test_recall_of_the_forest(spark):
     assert all(scores.get((q, i), s) == pytest.approx(s, abs=1e-12) for q, found in got.items() for i, s in found)
 
 
+def test_recall_of_the_shipped_parameters(spark):
+    """20,000 vectors in blurred families, with ties and repeated vectors; hot leaves dealt to several tasks."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 24))
+    points = (centres[rng.integers(0, 40, 20_000)] + 0.4 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    points[5_000:5_300] = points[5_000]
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows, every=200)
+    for options in ({}, {"part_rows": 500, "least_rows": 0}):
+        got = by_query(ann.nearest(df, F.col("vec_id") % 200 == 0, **options))
+        assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_double_components(spark):
+    rows = [(i, [1.0 + i * 1e-12, 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert by_query(ann.nearest(df, F.col("vec_id") % 20 == 0)) == brute(rows)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [-1.0, 0.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (40, [0.0, 0.0]), (9, [])]

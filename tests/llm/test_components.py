@@ -1,6 +1,6 @@
 import random
 
-from pageflow.llm.components import connected_components
+from pageflow.llm.components import connected_components, joined_components
 
 
 def plain(edges):
@@ -25,3 +25,12 @@ def test_random_chains_and_stars(spark):
     got = connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"))
     assert {r["id"]: r["component"] for r in got.collect()} == plain(edges)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_further_links(spark):
+    random.seed(4)
+    first = [(random.randint(0, 80), random.randint(0, 80)) for _ in range(40)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    for more in ([], [(5000, 5000)], first[:3], [(random.randint(0, 120), random.randint(0, 120)) for _ in range(40)]):
+        got = joined_components(connected_components(frame(first)), frame(more))
+        assert sorted(map(tuple, got.select("id", "component").collect())) == sorted(plain(first + more).items())

@@ -1,3 +1,5 @@
+import random
+
 from pageflow.llm import decontaminate
 from tests.llm import brute
 
@@ -20,4 +22,26 @@ def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, "a b"), (None, long), (4, long), (4, long), (4, long.upper() + " É é"), (5, "x " * 5000 + long), (6, "W1-w2.w3 " * 9), (7, "é\tÉ x")]
     same(spark, docs, [(1, long), (2, "a"), (3, "w1 W2"), (None, "w1 w2 w3"), (5, ""), (6, None), (7, "É"), (1, long)])
     same(spark, docs, [(6, None)])
+    before, decontaminate.BROADCAST_SHINGLES = decontaminate.BROADCAST_SHINGLES, 0
+    try:
+        same(spark, docs, [(1, long), (2, "a"), (3, "w1 W2"), (None, "w1 w2 w3"), (7, "É")])
+    finally:
+        decontaminate.BROADCAST_SHINGLES = before
+
+
+def test_passages_that_almost_fit(spark):
+    """Windows at the ends of texts, overlapping, cut short, and parted by one word; frequent anchors."""
+    random.seed(2)
+    item = [random.choice("abcdefgh") for _ in range(60)]
+    docs = []
+    for i in range(120):
+        lo = random.randint(0, 50)
+        piece = item[lo : lo + random.randint(1, 40)]
+        if i % 3 == 0:
+            piece[random.randrange(len(piece))] = "zz"
+        docs.append((i, " ".join([random.choice("abcdefgh") for _ in range(random.randint(0, 3))] + piece + ["q"] * random.randint(0, 2))))
+    same(spark, docs, [(1, " ".join(item)), (2, " ".join(item[5:20])), (3, "a b c")])
+
+
+def test_empty_tables(spark):
     same(spark, docs[:0] + [(1, "a")], [(1, "a a a a")])
