@@ -71,7 +71,9 @@ def reflow(text: Column) -> Column:
     one before it. Null stays null.
     """
     lines = F.transform(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1), trim)
-    placed = F.transform(lines, lambda line, i: F.struct(line.alias("line"), F.coalesce(F.get(lines, i - 1), F.lit("")).alias("before")))
+    # Both arrays are made once a text: a lambda that looked into ``lines`` would split and trim the text again for every line.
+    before = F.concat(F.array(F.lit("")), F.slice(lines, 1, F.size(lines) - 1))
+    placed = F.zip_with(lines, before, lambda line, b: F.struct(line.alias("line"), b.alias("before")))
     full = F.filter(placed, lambda x: x["line"] != "")
     glue = lambda x: F.when(x["before"] == "", "\n\n").when(x["before"].rlike(SENTENCE_END) | x["line"].rlike(LINE_START), "\n").otherwise("")
     return F.array_join(F.transform(full, lambda x, i: F.concat(F.when(i == 0, "").otherwise(glue(x)), x["line"])), "")

@@ -73,8 +73,12 @@ def workers(cpus: int, wanted: int | None = None) -> int:
 
 
 def assign_workers(items: DataFrame, n: int, key: str, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add worker, dealt in turn within ``by`` in the order of ``key``."""
-    return items.withColumn("worker", F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1, F.lit(n)))
+    """Add worker, dealt in turn within ``by`` in the order of ``key``; where a turn starts is told by a hash of ``by``.
+
+    So the first items of all documents go to different workers.
+    """
+    start = F.conv(F.left(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in by])), F.lit(8)), 16, 10).cast("long")
+    return items.withColumn("worker", F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1 + start, F.lit(n)).cast("int"))
 
 
 def normalize_results(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -138,11 +142,15 @@ def to_absolute(validated: DataFrame) -> DataFrame:
     )
 
 
-def infer(requests: DataFrame, fn: Callable[[int, int, str, int], str], folder: str, rounds: int = 3, attempts: int = 3, delay: float = 2.0) -> DataFrame:
+def infer(
+    requests: DataFrame, fn: Callable[[int, int, str, int], str], folder: str, rounds: int = 3, attempts: int = 3, delay: float = 2.0, validate: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Run ``fn(doc_id, batch_no, payload, attempt)`` over requests: (doc_id, batch_no, text, error, round).
 
     A request is tried up to ``attempts`` times, waiting ``delay`` times the number of the attempt; what then
-    still fails goes to the next round. Each round's answers are written to ``folder`` before they are counted, so a round
+    still fails goes to the next round. ``validate`` gets a round's answers (doc_id, batch_no, text, error) and returns them with
+    ``error_code``, as ``validator`` does: an answer with a code isn't good and goes to the next round, too; in the last round the code
+    becomes its error. Each round's answers are written to ``folder`` before they are counted, so a round
     is never run again to be read. Filter ``requests`` first: every row is inferred.
     """
     spark, left = requests.sparkSession, requests.select("doc_id", "batch_no", "payload")
@@ -169,7 +177,10 @@ def infer(requests: DataFrame, fn: Callable[[int, int, str, int], str], folder:
     for number in range(1, rounds + 1):
         path = f"{folder}/round-{number}"
         left.mapInArrow(run, schema).write.parquet(path)
-        answers = spark.read.schema(schema).parquet(path).withColumn("round", F.lit(number))
+        answers = spark.read.schema(schema).parquet(path)
+        if validate:
+            answers = validate(answers).withColumn("error", F.coalesce("error", "error_code")).select("doc_id", "batch_no", "text", "error")
+        answers = answers.withColumn("round", F.lit(number))
         good = answers.where(F.col("error").isNull())
         last = number == rounds or answers.where(F.col("error").isNotNull()).isEmpty()
         now = answers if last else good
@@ -180,6 +191,15 @@ def infer(requests: DataFrame, fn: Callable[[int, int, str, int], str], folder:
     return done
 
 
+def validator(batches: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``validate_batch`` in the form that ``infer`` takes: an answer needs the markers of its batch's pages."""
+
+    def judged(answers: DataFrame) -> DataFrame:
+        return validate_batch(answers.withColumnRenamed("batch_no", "request_no"), batches).withColumnRenamed("request_no", "batch_no")
+
+    return judged
+
+
 def doc_status(pages: DataFrame) -> DataFrame:
     """(doc_id, status, failed_pages): complete if no page is missing or failed. ``pages`` are all target pages."""
     failed = t.is_error(F.col("content"))
@@ -208,8 +228,14 @@ def progress(log: DataFrame) -> DataFrame:
     return rows.withColumn("eta", clock(F.col("eta_s")))
 
 
-def stalled(log: DataFrame, max_wait_s: int, max_idle_s: int, state_counts: bool = False) -> DataFrame:
-    """(job_id, waited_s, longest_idle_s, over_wait, over_idle). ``state_counts``: a change of state is progress too."""
+def stalled(log: DataFrame, max_wait_s: int, max_idle_s: int, state_counts: bool = False, as_of: Column | None = None, ended: tuple[str, ...] = ()) -> DataFrame:
+    """(job_id, waited_s, longest_idle_s, over_wait, over_idle). ``state_counts``: a change of state is progress too.
+
+    With ``as_of``, a timestamp, jobs wait until then: the silence after a job's last progress counts, unless its last state is one of
+    ``ended``. Entries after ``as_of`` don't count.
+    """
+    if as_of is not None:
+        log = log.where(F.col("ts").cast("timestamp") <= as_of)
     order = Window.partitionBy("job_id").orderBy("ts", "event_id")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     changed = F.coalesce(F.col("state") != F.lag("state").over(order), F.lit(True))
@@ -217,7 +243,13 @@ def stalled(log: DataFrame, max_wait_s: int, max_idle_s: int, state_counts: bool
     moves = marked.withColumn("_last", F.last(F.when(F.col("_p"), F.col("_s")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     first = F.min("_s").over(Window.partitionBy("job_id"))
     idle = F.col("_s") - F.coalesce("_last", first)
-    out = moves.withColumn("_idle", idle).groupBy("job_id").agg((F.max("_s") - F.min("_s")).alias("waited_s"), F.max("_idle").alias("longest_idle_s"))
+    waited, longest = F.max("_s") - F.min("_s"), F.max("_idle")
+    if as_of is not None:
+        now = F.unix_seconds(as_of)
+        over = F.coalesce(F.max_by("state", F.struct("ts", "event_id")).isin(*ended), F.lit(False)) if ended else F.lit(False)
+        silence = now - F.coalesce(F.max(F.when(F.col("_p"), F.col("_s"))), F.min("_s"))
+        waited, longest = F.when(over, waited).otherwise(now - F.min("_s")), F.when(over, longest).otherwise(F.greatest(longest, silence))
+    out = moves.withColumn("_idle", idle).groupBy("job_id").agg(waited.alias("waited_s"), longest.alias("longest_idle_s"))
     return out.withColumn("over_wait", F.col("waited_s") > max_wait_s).withColumn("over_idle", F.col("longest_idle_s") > max_idle_s)
 
 

@@ -18,6 +18,7 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, merged): bodies joined directly where the text continues, else by a blank line.
 
     A page continues the one before if that one's End or its own Begin says so. Three line ends or more become two.
+    Text before the first page is kept, if ``pages`` were parsed with ``keep_head``; no page continues it.
     """
     marked = page_markers(pages).withColumn("_joined", F.lag("end_continues", 1, False).over(by_doc()) | F.col("begin_continues"))
     body = t.strip_legacy(t.trim(F.regexp_replace(F.regexp_replace("content", t.BEGIN_STRICT, ""), t.END, "")))

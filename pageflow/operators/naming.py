@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageflow.functions import text as t
 from pageflow.operators.pages import head_tail, parse_pages, render_pages
+from pageflow.sources.io import new_folder
 
 #: The document types that a decision may name, and what stands for no title.
 TYPES = ["図書", "記事", "ちらし", "パンフレット", "書簡", "証憑", "帳票", "契約", "法務", "会議資料", "報告資料", "その他"]
 OTHER, NO_TITLE, TITLE_CHARS = "その他", "表題不明", 80
 OUTPUTS = ["_paged.md", "_ERROR_paged.md", "_merged.md", "_ERROR_merged.md"]
+#: Fixed value: what a document's job state adds to its path.
+STATE = ".batch_state.txt"
+#: A name with a number behind it.
+NUMBERED = r"^(.*) \(([1-9]\d*)\)\z"
 
 
 def sanitize_title(title: Column) -> Column:
@@ -86,38 +93,86 @@ def excerpt_source(preferred: DataFrame, companions: DataFrame) -> DataFrame:
     return both.where(F.col("excerpt") != "").groupBy("doc_id").agg(F.min_by("excerpt", "kind").alias("excerpt"))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the number from 1 of each row among those with its ``keys``, in ``order``.
+
+    Rows are dealt to tasks by ranges of key and order, so that a key of very many rows has several; a task numbers its own rows,
+    and the numbers start where those of the ranges before end. Ties in ``order`` are numbered in any order.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "numbered")
+    df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)  # ranges are drawn once
+    dealt = spark.read.parquet(path)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn(out, F.col("_start") + F.col("_own")).select(*df.columns, out)
+
+
+def state_file(path: Column) -> Column:
+    return F.concat(path, F.lit(STATE))
+
+
+def _blocked(existing: DataFrame) -> DataFrame:
+    """(_stem, _ext) in lower case that no new document may bear; a null ``_ext`` stands for all.
+
+    A file's own name is one; an output blocks all documents of its stem, a job's state that document.
+    """
+    path = F.lower("target")
+    parted = lambda p: (stem(p).alias("_stem"), F.regexp_extract(p, r"(\.[^./]*)?\z", 0).alias("_ext"))
+    files = existing.select(path.alias("p")).distinct()
+    outputs = "(" + "|".join(re.escape(o.lower()) for o in OUTPUTS) + r")\z"
+    states = files.where(F.col("p").endswith(STATE)).select(F.expr(f"left(p, length(p) - {len(STATE)})").alias("p"))
+    names = files.unionByName(states).select(*parted(F.col("p")))
+    stems = files.where(F.col("p").rlike(outputs)).select(F.regexp_replace("p", r"(_error)?_(paged|merged)\.md\z", "").alias("_stem"), F.lit(None).cast("string").alias("_ext"))
+    # "_error_paged.md" also ends like "_paged.md": the stem with "_error" is then blocked, too.
+    both = files.where(F.col("p").rlike(outputs)).select(F.regexp_replace("p", r"_(paged|merged)\.md\z", "").alias("_stem"), F.lit(None).cast("string").alias("_ext"))
+    return names.unionByName(stems).unionByName(both).distinct()
+
+
 def unique_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """(path, target): first takers keep a name, later ones get `` (2)``, `` (3)`` ….
 
-    ``wanted`` have (path, folder, name, ext), ``existing`` (target). Names are compared without case; documents are
-    served by path. A numbered name may be another document's own: numbers that any wanted or existing name
-    bears are passed over, so one round settles all and the result is checked.
+    ``wanted`` have (path, folder, name, ext), ``existing`` (target): all files that are there. A name is taken if the file itself,
+    one of its outputs or its job state exists. A document that bears its name already keeps it. Names are compared without
+    case; documents are served by path. A numbered name may be another document's own: numbers that a wanted or existing name
+    bears are passed over, so one round settles all. Paths are unique; very many documents may want one name: no task holds
+    them all. Outputs that two documents of one stem would share are told by ``rename_plan``.
     """
-    key = F.lower(F.concat_ws("/", "folder", F.concat("name", "ext")))
-    rows = wanted.withColumn("_key", key).withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy("path")))
-    taken = existing.select(F.lower("target").alias("_k")).distinct()
-    own = rows.select(F.col("_key").alias("_k")).distinct()
-    groups = rows.groupBy("_key").agg(F.count("*").alias("_n"), F.first(F.lower(F.concat_ws("/", "folder", "name"))).alias("_base"), F.first(F.lower("ext")).alias("_ext"))
-    # Free numbers of a group: as many candidates as it has members, and one more for each name of the form base (n).
-    forms = taken.unionByName(own).distinct().withColumn("_stripped", F.regexp_replace("_k", r" \(\d+\)(?=(\.[^./]*)?\z)", "")).groupBy(F.col("_stripped").alias("_key")).agg(F.count("*").alias("_busy"))
-    sized = groups.join(forms, "_key", "left").withColumn("_most", F.col("_n") + F.coalesce("_busy", F.lit(0)) + 1)
-    numbers = sized.select("_key", "_base", "_ext", F.explode(F.sequence(F.lit(1), F.col("_most").cast("int"))).alias("_no"))
-    named = numbers.withColumn("_k", F.when(F.col("_no") == 1, F.col("_key")).otherwise(F.concat("_base", F.lit(" ("), F.col("_no").cast("string"), F.lit(")"), "_ext")))
-    free = named.join(taken, "_k", "left_anti")
-    free = free.join(own.withColumn("_own", F.lit(True)), "_k", "left").where((F.col("_no") == 1) | F.col("_own").isNull())
-    free = free.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy("_no"))).select("_key", "_rank", "_no")
+    base, key = F.concat_ws("/", "folder", "name"), ["_base", "_ext"]
+    rows = wanted.withColumn("_base", F.lower(base)).withColumn("_ext", F.lower("ext"))
+    at_home = F.lower("path") == F.concat("_base", "_ext")
+    stay, move = rows.where(at_home), rows.where(~at_home)
+    groups = move.select(*key).distinct()
+    # Numbers that a group's documents can't have: of files that exist, and of names that documents bear or (from 2) want.
+    blocked = _blocked(existing)
+    borne = stay.select(F.col("_base").alias("_stem"), "_ext").distinct()
+    want = rows.select(F.col("_base").alias("_stem"), "_ext").distinct()
+    first = blocked.unionByName(borne).select(F.col("_stem").alias("_base"), F.col("_ext").alias("_e"), F.lit(1).cast("long").alias("_no"))
+    part = lambda i: F.regexp_extract("_stem", NUMBERED, i)
+    later = blocked.unionByName(want).where(F.col("_stem").rlike(NUMBERED)).select(part(1).alias("_base"), F.col("_ext").alias("_e"), part(2).try_cast("long").alias("_no"))
+    busy = first.unionByName(later.where(F.col("_no") >= 2)).join(groups, "_base").where(F.col("_e").isNull() | (F.col("_e") == F.col("_ext")))
+    # Before the i-th taken number b there are b - i free ones. A document of rank r gets r plus the taken numbers with fewer
+    # free ones before them than r: its place in one order of ranks and taken numbers.
+    passed = numbered(busy.select(*key, "_no").distinct(), key, ["_no"], "_i").select(*key, (F.col("_no") - F.col("_i")).alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("path"))
+    ranks = numbered(move.select(*key, "path"), key, ["path"], "_v").select(*key, "_v", F.lit(0).alias("_kind"), "path")
+    places = numbered(ranks.unionByName(passed), key, ["_v", "_kind"], "_no").where(F.col("_kind") == 0).select("path", "_no")
     number = F.when(F.col("_no") == 1, "").otherwise(F.concat(F.lit(" ("), F.col("_no").cast("string"), F.lit(")")))
-    return rows.join(free, ["_key", "_rank"]).select("path", F.concat_ws("/", "folder", F.concat("name", number, "ext")).alias("target"))
+    named = move.join(places, "path").select("path", F.concat_ws("/", "folder", F.concat("name", number, "ext")).alias("target"))
+    return named.unionByName(stay.select("path", F.concat_ws("/", "folder", F.concat("name", "ext")).alias("target")))
 
 
-def rename_plan(pairs: DataFrame, files: DataFrame, state_suffix: str = "_batch_state.json") -> DataFrame:
+def rename_plan(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """(source, target, clash): renames of documents, their outputs and their job state, where the source exists.
 
-    ``pairs`` have (path, target). Renames to the same name are left out; ``clash`` marks targets that two rows share.
+    ``pairs`` have (path, target), ``files`` all paths that are there. Renames to the same name (without case) are left out;
+    ``clash`` marks targets that two rows share or that exist already.
     """
-    suffixes = F.array(*[F.lit(s) for s in [*OUTPUTS, state_suffix]])
-    others = pairs.select(F.explode(suffixes).alias("s"), "path", "target").select(F.concat(stem(F.col("path")), F.col("s")).alias("source"), F.concat(stem(F.col("target")), F.col("s")).alias("target"))
-    rows = pairs.select(F.col("path").alias("source"), "target").unionByName(others).where(F.col("source") != F.col("target"))
-    there = rows.join(files.select(F.col("path").alias("source")).distinct(), "source", "left_semi")
-    counts = there.groupBy("target").agg((F.count("*") > 1).alias("clash"))
-    return there.join(counts, "target").select("source", "target", "clash")
+    outputs = F.array(*[F.struct(F.concat(stem(F.col("path")), F.lit(s)).alias("source"), F.concat(stem(F.col("target")), F.lit(s)).alias("target")) for s in OUTPUTS])
+    state = F.array(F.struct(state_file(F.col("path")).alias("source"), state_file(F.col("target")).alias("target")))
+    every = pairs.select(F.inline(F.concat(F.array(F.struct(F.col("path").alias("source"), "target")), outputs, state)))
+    there = every.where(F.lower("source") != F.lower("target")).join(files.select(F.col("path").alias("source")).distinct(), "source", "left_semi")
+    counts = there.groupBy(F.lower("target").alias("_key")).agg((F.count("*") > 1).alias("_shared"))
+    taken = files.select(F.lower("path").alias("_key"), F.lit(True).alias("_taken")).distinct()
+    joined = there.withColumn("_key", F.lower("target")).join(counts, "_key").join(taken, "_key", "left")
+    return joined.select("source", "target", (F.col("_shared") | F.coalesce("_taken", F.lit(False))).alias("clash"))

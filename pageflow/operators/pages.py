@@ -13,23 +13,31 @@ from pageflow.functions import text as t
 DASH = r"----- Page (\d+) -----"
 
 
-def parse_pages(docs: DataFrame, strict: bool = True, drop_errors: bool = False, dialect: str = "begin_end") -> DataFrame:
-    """A row a page. Text before the first marker is left out; content runs to the next marker.
+def parse_pages(docs: DataFrame, strict: bool = True, drop_errors: bool = False, dialect: str = "begin_end", keep_head: bool = False) -> DataFrame:
+    """A row a page; content runs to the next marker.
 
-    ``strict`` asks for the marker's closing `` --`` on its line. ``drop_errors`` leaves failed pages out.
-    Documents that are null, empty or without markers give no rows; numbers beyond int are null.
+    ``strict`` asks for the marker's closing `` --`` on its line. ``drop_errors`` leaves failed pages out. Text before the
+    first marker is left out, or with ``keep_head`` a page of position 0 without a number, which a document without markers is as
+    a whole. Other documents without markers, empty and null ones give no rows; numbers beyond int are null.
     """
     marker = DASH if dialect == "dash" else t.BEGIN_STRICT if strict else t.BEGIN
-    parts = F.filter(F.split("content", f"(?={marker})", -1), lambda p: p.rlike(f"^{marker}"))
-    rows = docs.select("doc_id", F.posexplode(parts).alias("pos", "content"))
-    pages = rows.select(
-        "doc_id",
-        (F.col("pos") + 1).alias("pos"),
-        "content",
-    ).withColumn("page_num", F.regexp_extract("content", f"^{marker}", 1).try_cast("int"))
-    pages = pages.withColumn("content", t.trim(F.regexp_replace("content", f"^{DASH}\n?", "")) if dialect == "dash" else t.trim_end(F.col("content")))
-    pages = pages.where(~t.is_error(F.col("content"))) if drop_errors else pages
-    return pages.select("doc_id", "pos", "page_num", "content")
+    clean = (lambda p: t.trim(F.regexp_replace(p, f"^{DASH}\n?", ""))) if dialect == "dash" else t.trim_end
+    # A page's columns are made inside the array that is exploded, so that filters on them don't run the patterns again.
+    page = lambda p: F.struct(F.regexp_extract(p, f"^{marker}", 1).try_cast("int").alias("page_num"), clean(p).alias("content"))
+    parts = F.split("content", f"(?={marker})", -1)
+    marked = F.filter(parts, lambda p: p.rlike(f"^{marker}"))
+    rows = docs.select("doc_id", F.posexplode(F.transform(marked, page)).alias("pos", "p"))
+    pages = rows.select("doc_id", (F.col("pos") + 1).alias("pos"), "p.page_num", "p.content")
+    if keep_head:
+        head = docs.select("doc_id", F.lit(0).alias("pos"), F.lit(None).cast("int").alias("page_num"), F.get(parts, F.lit(0)).alias("content"))
+        pages = pages.unionByName(head.where(~F.col("content").rlike(f"^{marker}") & (t.trim(F.col("content")) != "")))
+    return pages.where(~t.is_error(F.col("content"))) if drop_errors else pages
+
+
+def without_markers(docs: DataFrame, strict: bool = True) -> DataFrame:
+    """(doc_id): documents in which no page marker stands, null ones too; page operators give no rows for them."""
+    found = F.coalesce(F.col("content").rlike(t.BEGIN_STRICT if strict else t.BEGIN), F.lit(False))
+    return docs.where(~found).select("doc_id")
 
 
 def last_wins(pages: DataFrame) -> DataFrame:
@@ -79,22 +87,26 @@ def flag_blank(pages: DataFrame, threshold: int = 10) -> DataFrame:
     """Add body, is_blank (the body has ``threshold`` characters at most) and is_error."""
     if isinstance(threshold, bool) or not isinstance(threshold, int) or threshold < 0:
         raise ValueError("threshold must be an int of at least 0")
-    return pages.withColumn("body", t.body_of(F.col("content"))).withColumn("is_blank", F.length("body") <= threshold).withColumn("is_error", t.is_error(F.col("content")))
+    # The body comes out of a generator, so that a filter on it doesn't run its patterns a second time.
+    made = pages.select("*", F.explode(F.array(t.body_of(F.col("content")))).alias("body"))
+    return made.withColumn("is_blank", F.length("body") <= threshold).withColumn("is_error", t.is_error(F.col("content")))
 
 
 def renumber(pages: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Number pages from 1 in their order; ``old_page`` keeps the number, the marker's status stays."""
     order = Window.partitionBy(*by).orderBy("pos")
     # Only the first marker is rewritten: what stands before it, and the rest, are put back as they are.
-    begin = r"(?s)^(.*?### -- Begin Page )\d+((?-s:.*?) --)"
+    begin = r"(?s)^(.*?### -- Begin Page )\d+((?-s:.*?) --.*)\z"
     made = pages.withColumn("old_page", F.col("page_num")).withColumn("page_num", F.row_number().over(order))
-    return made.withColumn("content", F.regexp_replace("content", F.lit(begin), F.concat(F.lit("$1"), F.lit("\u0001"), F.col("page_num").cast("string"), F.lit("$2")))).withColumn(
-        "content", F.regexp_replace("content", "\u0001", "")
-    )
+    piece = lambda i: F.regexp_extract("content", begin, i)
+    return made.withColumn("content", F.when(F.col("content").rlike(begin), F.concat(piece(1), F.col("page_num").cast("string"), piece(2))).otherwise(F.col("content")))
 
 
 def remove_blank(docs: DataFrame, threshold: int = 10, keep_errors: bool = False) -> DataFrame:
-    """Pages that aren't blank, numbered anew: (doc_id, pos, page_num, content, old_page, body, is_error)."""
+    """Pages that aren't blank, numbered anew: (doc_id, pos, page_num, content, old_page, body, is_error).
+
+    Documents without markers have no pages: see ``without_markers``.
+    """
     flagged = flag_blank(parse_pages(docs), threshold)
     stays = ~F.col("is_blank") | (F.col("is_error") & F.lit(keep_errors))
     return renumber(flagged.where(stays)).drop("is_blank")

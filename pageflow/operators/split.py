@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageflow.operators.pages import renumber
@@ -24,10 +24,27 @@ def _pages_of(defs: DataFrame) -> DataFrame:
     return defs.where(F.col("start_page") <= F.col("end_page")).select("doc_id", "entry_no", F.explode(F.sequence("start_page", "end_page")).alias("page_num"))
 
 
-def split_missing(pages: DataFrame, defs: DataFrame, most_pages: int = 100_000) -> DataFrame:
-    """(doc_id, entry_no, missing): pages that an entry names and the document lacks; ranges are read up to ``most_pages`` past their start."""
-    bounded = defs.withColumn("end_page", F.least(F.col("end_page"), F.col("start_page") + most_pages))
-    absent = _pages_of(bounded).join(pages.select("doc_id", "page_num"), ["doc_id", "page_num"], "left_anti")
+def split_gaps(pages: DataFrame, defs: DataFrame) -> DataFrame:
+    """(doc_id, entry_no, start_page, end_page): ranges of pages that an entry names and the document lacks.
+
+    A gap lies between two neighbours of what the entry has, so that ranges of any length cost what the document has of them.
+    Entries whose start is after their end name nothing.
+    """
+    asked = defs.where(F.col("start_page") <= F.col("end_page")).select("doc_id", "entry_no", "start_page", "end_page")
+    p, d = pages.select("doc_id", "page_num").distinct().alias("p"), asked.alias("d")
+    on = (F.col("p.doc_id") == F.col("d.doc_id")) & F.col("p.page_num").between(F.col("d.start_page"), F.col("d.end_page"))
+    held = d.join(p, on).select("d.doc_id", "d.entry_no", "p.page_num", "d.end_page")
+    # What bounds the entry stands one before its start; what follows its last page is one past its end.
+    low = asked.select("doc_id", "entry_no", (F.col("start_page").cast("long") - 1).alias("page_num"), "end_page")
+    order = Window.partitionBy("doc_id", "entry_no").orderBy("page_num")
+    following = F.coalesce(F.lead("page_num").over(order), F.col("end_page").cast("long") + 1)
+    gaps = held.withColumn("page_num", F.col("page_num").cast("long")).unionByName(low).withColumn("next", following)
+    return gaps.where(F.col("next") > F.col("page_num") + 1).select("doc_id", "entry_no", (F.col("page_num") + 1).cast("int").alias("start_page"), (F.col("next") - 1).cast("int").alias("end_page"))
+
+
+def split_missing(pages: DataFrame, defs: DataFrame) -> DataFrame:
+    """(doc_id, entry_no, missing): pages that an entry names and the document lacks, in order. For very long ranges take ``split_gaps``."""
+    absent = split_gaps(pages, defs).select("doc_id", "entry_no", F.explode(F.sequence("start_page", "end_page")).alias("page_num"))
     return absent.groupBy("doc_id", "entry_no").agg(F.array_sort(F.collect_list("page_num")).alias("missing"))
 
 

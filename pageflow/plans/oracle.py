@@ -121,21 +121,44 @@ ORACLE = {
     "pending_pages": f"WITH {LINES} SELECT d AS doc_id, p AS page_num FROM lines WHERE (d + p) % 3 <> 0",
     "merge_pages": f"""WITH {LINES}, g AS (SELECT d, p, CASE WHEN p = 1 OR bc OR lag(ec) OVER (PARTITION BY d ORDER BY p) THEN '' ELSE chr(10) || chr(10) END || body AS t FROM lines),
         m AS (SELECT d, regexp_replace(string_agg(t, '' ORDER BY p), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM g GROUP BY d) SELECT d AS doc_id, {md('t', 'merged')} FROM m""",
+    "merge_with_head": f"""WITH {LINES}, g AS (SELECT d, p, CASE WHEN p = 1 AND d % 3 = 0 THEN 'Head of ' || d || chr(10) || chr(10) WHEN p = 1 OR bc OR lag(ec) OVER (PARTITION BY d ORDER BY p) THEN '' ELSE chr(10) || chr(10) END || body AS t FROM lines),
+        m AS (SELECT d, CASE WHEN d % 3 <> 0 AND d % 7 = 0 THEN 'no marker' ELSE regexp_replace(string_agg(t, '' ORDER BY p), '\\n{{3,}}', chr(10) || chr(10), 'g') END AS t FROM g GROUP BY d) SELECT d AS doc_id, {md('t', 'merged')} FROM m""",
+    "without_markers": "SELECT doc_id FROM documents WHERE doc_id % 5 <> 0",
+    "strip_legacy": f"""WITH {LINES}, x AS (SELECT d, p, p = 1 AS first, p % 3 = 0 AS c, coalesce(lead(p) OVER (PARTITION BY d ORDER BY p) % 3 = 0, false) AS next_c, raw FROM lines),
+        m AS (SELECT d, string_agg(CASE WHEN c THEN regexp_replace(raw, '^{WS}+', '') ELSE raw END, '' ORDER BY p) AS t FROM x GROUP BY d) SELECT d AS doc_id, {md('t', 'text')} FROM m""",
+    "read_results": f"""WITH {ANSWERS}, r AS (
+        SELECT CASE WHEN kind <> 'broken' THEN 'request-' || b END AS key, CASE kind WHEN 'broken' THEN 'JSON parse failed' WHEN 'error' THEN 'quota' END AS error, CASE WHEN kind IN ('good', 'twice') THEN t END AS t FROM answers WHERE kind <> 'none'
+        UNION ALL SELECT 'request-' || b, NULL, t || '?' FROM answers WHERE kind = 'twice') SELECT key, error, md5(t) AS text_md5, count(*) AS n FROM r GROUP BY ALL""",
+    "split_gaps": f"""WITH {FAULTY}, {DEFS}, w AS (SELECT d, e, unnest(range(lo, hi + 1)) AS p FROM defs), a AS (SELECT w.d, e, w.p, w.p - row_number() OVER (PARTITION BY w.d, e ORDER BY w.p) AS k FROM w ANTI JOIN pages ON w.d = pages.d AND w.p = pages.p),
+        far AS (SELECT l.d, -1 AS e, l.p, l.p - row_number() OVER (PARTITION BY l.d ORDER BY l.p) AS k FROM lines l ANTI JOIN pages ON l.d = pages.d AND l.p = pages.p),
+        ends AS (SELECT lines.d, max(lines.p) AS last FROM lines GROUP BY 1),
+        runs AS (SELECT d, e, min(p) AS s, max(p) AS t FROM a GROUP BY d, e, k UNION ALL SELECT d, e, min(p), max(p) FROM far GROUP BY d, e, k),
+        tail AS (SELECT d, last + 1 AS s FROM ends), joined AS (SELECT d, e, s, t FROM runs WHERE e <> -1 UNION ALL
+          SELECT r.d, -1, r.s, CASE WHEN r.t = last THEN 2000000000 ELSE r.t END FROM runs r JOIN ends USING (d) WHERE r.e = -1
+          UNION ALL SELECT d, -1, s, 2000000000 FROM tail WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.d = tail.d AND r.e = -1 AND r.t = tail.s - 1))
+        SELECT d AS doc_id, e::BIGINT AS entry_no, s AS start_page, t AS end_page FROM joined""",
     "audit_sequence": f"WITH {FAULTY}, x AS (SELECT d, pos, p, lag(p) OVER (PARTITION BY d ORDER BY pos) AS b FROM pages) SELECT d AS doc_id, CASE WHEN b IS NULL THEN 'FIRST_NOT_1' ELSE 'JUMP' END AS code, b AS page_prev, p AS page_cur FROM x WHERE (b IS NULL AND p <> 1) OR p <> b + 1",
     "audit_printed": f"WITH {LINES}, x AS (SELECT d, p, pr, lag(p) OVER w AS b, lag(pr) OVER w AS c FROM lines WHERE pr IS NOT NULL WINDOW w AS (PARTITION BY d ORDER BY p)) SELECT d AS doc_id, b AS page_prev, p AS page_cur, c AS printed_prev, pr AS printed_cur, CASE WHEN pr <= c THEN 'REVERSED' ELSE 'SUSPECT_GAP' END AS code FROM x WHERE b IS NOT NULL AND (pr <= c OR pr - c <> p - b)",
     "find_boundaries": f"WITH {LINES}, s AS (SELECT d, p, p = 1 OR ((d + p) % 4 = 0 AND NOT lag(ec) OVER (PARTITION BY d ORDER BY p)) AS st FROM lines), g AS (SELECT d, p, count(*) FILTER (st) OVER (PARTITION BY d ORDER BY p) AS e FROM s) SELECT d AS doc_id, e AS entry_no, min(p) AS start_page, max(p) AS end_page FROM g GROUP BY d, e",
-    "outline": f"WITH {LINES}, o AS (SELECT d, CASE p % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'paren' ELSE 'block' END AS level, CASE p % 4 WHEN 0 THEN '第' || p || ' 章' WHEN 1 THEN '(' || p || ') x' ELSE '### --左' END AS t FROM lines WHERE p % 4 <> 3) SELECT d AS doc_id, level, count(*) AS n, min(t) AS least FROM o GROUP BY d, level",
+    "outline": f"""WITH {LINES}, o AS (
+        SELECT d, p, 0 AS i, CASE p % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'paren' ELSE 'block' END AS level, CASE p % 4 WHEN 0 THEN '第' || p || ' 章' WHEN 1 THEN '(' || p || ') x' ELSE '### --左' END AS t FROM lines WHERE p % 4 <> 3
+        UNION ALL SELECT d, p, 1, 'paren', {trim("'(1) ' || raw")} FROM lines WHERE {trim("raw")} = '' UNION ALL SELECT d, p, 1, 'paren', '(1) ' || raw FROM lines WHERE {trim("raw")} <> ''
+        UNION ALL SELECT d, p, 2, CASE WHEN regexp_matches(t, '^第[0-9]+') THEN 'article' WHEN regexp_matches(t, '^[0-9]+[ .　]') THEN 'number' WHEN regexp_matches(t, '^\\([0-9]+\\)') THEN 'paren' WHEN regexp_matches(t, '^[ア-ン][ 　]') THEN 'kana'
+            WHEN regexp_matches(t, '^\\([ア-ン]\\)') THEN 'paren_kana' WHEN regexp_matches(t, '^[a-z][ .　]') THEN 'letter' WHEN regexp_matches(t, '^\\([a-z]\\)') THEN 'paren_letter' WHEN regexp_matches(t, '^### --') THEN 'block' END, t
+          FROM (SELECT d, p, regexp_replace(raw, '{WS}+$', '') AS t FROM lines))
+        SELECT d AS doc_id, p AS page_num, i::BIGINT AS line_no, level, {md('t', 'heading')} FROM o WHERE level IS NOT NULL""",
     "pack_pages": f"WITH {BATCHES} SELECT d AS doc_id, b AS batch_no, ps AS pages, n AS num_pages FROM batches",
     "request_text": f"WITH {BATCHES}, t AS (SELECT d, b, string_agg({NL} || '### -- Begin Page ' || (i + 1) || ' --' || {NL} || coalesce(nullif(raw, ''), '[未検出]') || {NL} || '### -- End --' || {NL}, '' ORDER BY i) AS t FROM inb GROUP BY d, b) SELECT d AS doc_id, b AS batch_no, {md('t', 'payload')} FROM t",
     "request_parts": f"WITH {BATCHES} SELECT d AS doc_id, b AS batch_no, true AS same, sum(length(coalesce(nullif(raw, ''), '[未検出]')) + 38 + length((i + 1)::VARCHAR))::BIGINT AS payload_len FROM inb GROUP BY d, b",
     "route_by_size": f"WITH {BATCHES}, s AS (SELECT d, sum(strlen(coalesce(nullif(raw, ''), '[未検出]')) + 38 + length((i + 1)::VARCHAR))::BIGINT + count(DISTINCT b) - 1 AS n FROM inb GROUP BY d) SELECT d AS doc_id, n AS job_bytes, CASE WHEN n < 4000 THEN 'inline' ELSE 'file' END AS route, n > 8000 AS inline_refused FROM s",
-    "assign_workers": f"WITH {BATCHES} SELECT d AS doc_id, b AS batch_no, (b - 1) % 5 AS worker FROM batches",
+    "assign_workers": f"WITH {BATCHES} SELECT d AS doc_id, b AS batch_no, (b - 1 + ('0x' || left(md5(d::VARCHAR), 8))::BIGINT) % 5 AS worker FROM batches",
     "normalize_results": f"""WITH {ANSWERS}, r AS (
         SELECT d, b * 2 AS line_no, CASE WHEN kind <> 'broken' THEN 'request-' || b END AS key, CASE kind WHEN 'broken' THEN 'JSON parse failed' WHEN 'error' THEN 'quota' END AS error, CASE WHEN kind IN ('good', 'twice') THEN t END AS t FROM answers WHERE kind <> 'none'
         UNION ALL SELECT d, b * 2 + 1, 'request-' || b, NULL, t || '?' FROM answers WHERE kind = 'twice') SELECT d AS doc_id, line_no, key, error, {md('t', 'text')} FROM r""",
     "align_results": f"WITH {ALIGNED} SELECT d AS doc_id, b AS request_no, error, {md('t', 'text')} FROM aligned",
     "validate_batch": f"WITH {ALIGNED} SELECT d AS doc_id, b AS request_no, CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN h % 17 = 0 THEN 'BEGIN_COUNT' END AS error_code FROM aligned",
-    "to_absolute": f"WITH {ALIGNED} SELECT i.d AS doc_id, p AS page_num, 21 + length(p::VARCHAR) AS marker_len FROM aligned a JOIN inb i ON a.d = i.d AND a.b = i.b WHERE error IS NULL AND h % 17 <> 0",
+    "to_absolute": f"""WITH {ALIGNED}, x AS (SELECT i.d, p, '### -- Begin Page ' || p || ' --' || {NL} || raw || {NL} || '### -- End --' || CASE WHEN kind2 AND i = n - 1 THEN '?' ELSE '' END AS t
+        FROM (SELECT *, h % 11 <> 0 AND h % 7 = 0 AS kind2 FROM aligned) a JOIN inb i ON a.d = i.d AND a.b = i.b WHERE error IS NULL AND h % 17 <> 0) SELECT d AS doc_id, p AS page_num, {md('t', 'content')} FROM x""",
     "doc_status": f"WITH {FAULTY} SELECT d AS doc_id, CASE WHEN bool_or(failed) THEN 'error' ELSE 'complete' END AS status, coalesce(string_agg(p::VARCHAR, ',' ORDER BY p) FILTER (failed), '') AS failed_pages FROM pages GROUP BY d",
     "batch_counts": f"WITH {LOG} SELECT j AS job_id, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, count(*) AS total FROM log GROUP BY j",
     "progress": f"""WITH {LOG}, x AS (SELECT event_id, j, count(*) OVER (PARTITION BY j ORDER BY ts, event_id) AS done, count(*) OVER (PARTITION BY j) AS total, s - min(s) OVER (PARTITION BY j) AS el FROM log),
@@ -143,6 +166,10 @@ ORACLE = {
         SELECT event_id, j AS job_id, done, total, el AS elapsed_s, el // done AS mean_s, rem AS remaining, eta AS eta_s, CASE WHEN eta // 3600 < 100 THEN lpad((eta // 3600)::VARCHAR, 2, '0') ELSE (eta // 3600)::VARCHAR END || ':' || lpad((eta % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((eta % 60)::VARCHAR, 2, '0') AS eta FROM y""",
     "stalled": f"""WITH {LOG}, x AS (SELECT j, s, min(s) OVER (PARTITION BY j) AS f, last_value(CASE WHEN ok THEN s END IGNORE NULLS) OVER (PARTITION BY j ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM log),
         y AS (SELECT j, max(s) - min(s) AS w, max(s - coalesce(l, f)) AS i FROM x GROUP BY j) SELECT j AS job_id, w AS waited_s, i AS longest_idle_s, w > 1728000 AS over_wait, i > 86400 AS over_idle FROM y""",
+    "stalled_now": f"""WITH {LOG}, m AS (SELECT floor(epoch(max(ts)))::BIGINT AS now FROM log), x AS (SELECT j, s, ok, min(s) OVER (PARTITION BY j) AS f, last_value(CASE WHEN ok THEN s END IGNORE NULLS) OVER (PARTITION BY j ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM log),
+        e AS (SELECT j, arg_max(state, (ts, event_id)) = 'purchase' AS done FROM log GROUP BY j),
+        y AS (SELECT j, any_value(done) AS done, max(s) - min(s) AS w, max(s - coalesce(l, f)) AS i, any_value(now) - min(s) AS w2, any_value(now) - coalesce(max(CASE WHEN ok THEN s END), min(s)) AS q FROM x JOIN e USING (j), m GROUP BY j),
+        z AS (SELECT j, CASE WHEN done THEN w ELSE w2 END AS w, CASE WHEN done THEN i ELSE greatest(i, q) END AS i FROM y) SELECT j AS job_id, w AS waited_s, i AS longest_idle_s, w > 1728000 AS over_wait, i > 86400 AS over_idle FROM z""",
     "resumable": f"""WITH {LOG}, x AS (SELECT j, count(*) AS n, CASE WHEN j % 2 = 0 THEN count(*) ELSE count(*) FILTER (state <> 'view') END AS m, arg_max(state, (ts, event_id)) AS st FROM log GROUP BY j)
         SELECT j AS job_id, st AS state, n = m AND st NOT IN ('error', 'purchase') AS resumable, n = m AS count_matches FROM x""",
     "parse_decision": f"""WITH {LINES}, x AS (SELECT d, raw, d % 10 = 9 AS bare, {JSON_KIND} AS kind FROM lines WHERE p = 1)
@@ -156,7 +183,13 @@ ORACLE = {
     "head_tail_text": f"WITH x AS (SELECT doc_id, {normal('text')} AS t FROM documents), y AS (SELECT doc_id, CASE WHEN length(t) <= 1000 THEN t ELSE {trim('left(t, 500)')} || {NL} || {NL} || '[中略]' || {NL} || {NL} || {trim('right(t, 500)')} END AS e FROM x) SELECT doc_id, {md('e', 'excerpt')} FROM y",
     "excerpt_source": f"WITH {COMPANIONS}, b AS (SELECT doc_id, -1 AS kind, 'preferred' AS e FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, kind, output FROM companions) SELECT doc_id, arg_min(e, kind) AS excerpt FROM b GROUP BY doc_id",
     "companion_files": f"WITH {COMPANIONS} SELECT doc_id, path, kind, output FROM companions",
-    "unique_names": "SELECT count(*) AS n_documents, count(*) AS n_targets, 0::BIGINT AS n_clashes FROM documents",
+    "unique_names": f"""WITH {FILES}, w AS (SELECT doc_id, path, '/in/' || source || '/2024-00-00_x_T' || (doc_id % 23) AS base, regexp_extract(path, '\\.[^.]*$') AS ext FROM files),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lower(base || ext) ORDER BY path) AS n FROM w),
+        there AS (SELECT lower(base || ' (2)' || ext) AS f FROM w WHERE doc_id % 5 = 0 UNION SELECT lower(base || ' (3)_paged.md') FROM w WHERE doc_id % 7 = 0
+          UNION SELECT lower(base || ' (5)' || ext || '.batch_state.txt') FROM w WHERE doc_id % 11 = 0 UNION SELECT lower(base || '_ERROR_merged.md') FROM w WHERE doc_id % 13 = 0),
+        g AS (SELECT lower(base) AS b, lower(ext) AS x, count(*) AS m FROM w GROUP BY ALL), c AS (SELECT b, x, unnest(range(1, m + 6)) AS no FROM g), k AS (SELECT *, b || CASE WHEN no = 1 THEN '' ELSE ' (' || no || ')' END AS stem FROM c),
+        free AS (SELECT b, x, no, row_number() OVER (PARTITION BY b, x ORDER BY no) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM there WHERE f IN (stem || x, stem || x || '.batch_state.txt', stem || '_paged.md', stem || '_error_paged.md', stem || '_merged.md', stem || '_error_merged.md')))
+        SELECT path, base || CASE WHEN no = 1 THEN '' ELSE ' (' || no || ')' END || ext AS target FROM r JOIN free ON lower(base) = b AND lower(ext) = x AND r.n = free.n""",
     "unique_names_free": f"""WITH {FILES}, w AS (SELECT path, '/in/' || source || '/' || '2024-00-00_x_T' || (doc_id % 23) AS base, regexp_extract(path, '\\.[^.]*$') AS ext FROM files),
         r AS (SELECT *, row_number() OVER (PARTITION BY lower(base || ext) ORDER BY path) AS n FROM w) SELECT path, base || CASE WHEN n = 1 THEN '' ELSE ' (' || n || ')' END || ext AS target FROM r""",
     "rename_plan": f"""WITH {OUTPUTS}, pairs AS (SELECT doc_id, path, base, '/out/' || (doc_id % 50) AS t FROM files WHERE doc_id % 4 <> 0),
@@ -171,6 +204,8 @@ ORACLE = {
     "request_lines": f"""WITH {BATCHES} SELECT '{{"key":"request-' || b || '","request":{{"n":' || n || '}}}}' AS value, count(*) AS n FROM batches GROUP BY b, batches.n""",
     "candidate_paths": f"WITH {FILES} SELECT doc_id, concat_ws(',', path, base || '_paged.md', base || '_ERROR_paged.md', base || '_merged.md', base || '_ERROR_merged.md') AS candidates FROM files",
     "order_pages": f"WITH {FAULTY} SELECT d AS doc_id, pos, p AS page_num, row_number() OVER (PARTITION BY d ORDER BY p, pos) AS place FROM pages",
+    "infer_valid": f"""WITH {BATCHES}, t AS (SELECT d, b, string_agg({NL} || '### -- Begin Page ' || (i + 1) || ' --' || {NL} || coalesce(nullif(raw, ''), '[未検出]') || {NL} || CASE WHEN i = 0 AND (d + b) % 23 = 0 THEN '' ELSE '### -- End --' END || {NL}, '' ORDER BY i) AS t FROM inb GROUP BY d, b)
+        SELECT d AS doc_id, b AS batch_no, CASE WHEN (d + b) % 23 = 0 THEN 'END_COUNT' END AS error, CASE WHEN (d + b) % 23 = 0 THEN 2 ELSE 1 END::BIGINT AS round, {md('t', 'text')} FROM t""",
     "infer": f"""WITH {BATCHES}, t AS (SELECT d, b, string_agg({NL} || '### -- Begin Page ' || (i + 1) || ' --' || {NL} || coalesce(nullif(raw, ''), '[未検出]') || {NL} || '### -- End --' || {NL}, '' ORDER BY i) AS t FROM inb GROUP BY d, b),
         r AS (SELECT d, b, (d + b) % 19 = 0 AS bad, CASE WHEN (d + b) % 19 <> 0 THEN array_to_string(list_reverse(regexp_extract_all(t, '(?s).')), '') END AS t FROM t)
         SELECT d AS doc_id, b AS batch_no, CASE WHEN bad THEN 'unavailable' END AS error, CASE WHEN bad THEN 2 ELSE 1 END::BIGINT AS round, {md('t', 'text')} FROM r""",

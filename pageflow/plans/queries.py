@@ -211,6 +211,49 @@ def merge_pages(spark, sf_dir):
     return number(digest(merge.merge_pages(parsed(spark, sf_dir)), "merged", "merged"))
 
 
+@query
+def merge_with_head(spark, sf_dir):
+    """Pages behind a text without a marker, and documents without any marker."""
+    text = fx.paged_docs(documents(spark, sf_dir))
+    d = F.col("doc_id")
+    headed = text.withColumn("content", F.when(d % 3 == 0, F.concat(F.lit("Head of "), d.cast("string"), F.lit("\n\n"), "content")).when(d % 7 == 0, F.lit("no marker")).otherwise(F.col("content")))
+    return number(digest(merge.merge_pages(pages.parse_pages(headed, keep_head=True)), "merged", "merged"))
+
+
+@query
+def without_markers(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 4 != 0, F.col("text"))).select("doc_id", F.col("text").alias("content"))
+    marked = fx.paged_docs(documents(spark, sf_dir).where(F.col("doc_id") % 5 == 0))
+    return pages.without_markers(docs.where(F.col("doc_id") % 5 != 0).unionByName(marked))
+
+
+@query
+def strip_legacy(spark, sf_dir):
+    """Lines parted by marks of the old form."""
+    p = F.col("page_num")
+    mark = F.concat(F.lit("=-- Page "), p.cast("string"), F.when(p % 3 == 0, " (Continuation)").otherwise(""), F.lit(" --=\n"))
+    old = fx.page_numbers(documents(spark, sf_dir)).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(p, F.concat(mark, "text").alias("t")))), lambda x: x["t"]), "\n").alias("old"))
+    return number(digest(old.select("doc_id", t.strip_legacy(F.col("old")).alias("text")), "text", "text"))
+
+
+@query
+def read_results(spark, sf_dir):
+    """Answers written as JSON lines and read again."""
+    lines = fx.result_lines(batches(spark, sf_dir), fx.page_numbers(documents(spark, sf_dir)))
+    path = io.new_folder(spark, "results")
+    lines.select(F.col("line").alias("value")).write.text(path)
+    rows = io.read_results_jsonl(spark, path).withColumn("text_md5", F.md5("text"))
+    return rows.groupBy("key", "error", "text_md5").agg(F.count("*").alias("n"))
+
+
+@query
+def split_gaps(spark, sf_dir):
+    """Ranges of missing pages; each document's entries and one that reaches far past its end."""
+    defs = fx.split_defs(documents(spark, sf_dir))
+    far = defs.where(F.col("entry_no") == 0).withColumn("entry_no", F.lit(-1)).withColumn("end_page", F.lit(2_000_000_000))
+    return number(split.split_gaps(faulty(spark, sf_dir), defs.unionByName(far)))
+
+
 @query
 def audit_sequence(spark, sf_dir):
     return number(merge.audit_sequence(faulty(spark, sf_dir)))
@@ -233,8 +276,8 @@ def find_boundaries(spark, sf_dir):
 def outline(spark, sf_dir):
     p = F.col("page_num")
     head = F.when(p % 4 == 0, F.concat(F.lit("第"), p.cast("string"), F.lit(" 章"))).when(p % 4 == 1, F.concat(F.lit("("), p.cast("string"), F.lit(") x"))).when(p % 4 == 2, "### --左").otherwise("plain")
-    lined = fx.page_numbers(documents(spark, sf_dir)).select("doc_id", "page_num", F.concat(head, F.lit("\n"), F.lit("text")).alias("content"))
-    return number(pages.outline(lined).groupBy("doc_id", "level").agg(F.count("*").alias("n"), F.min("heading").alias("least")))
+    lined = fx.page_numbers(documents(spark, sf_dir)).select("doc_id", "page_num", F.concat(head, F.lit("\n(1) "), "text", F.lit("\n"), "text").alias("content"))
+    return number(digest(pages.outline(lined), "heading", "heading"))
 
 
 def batches(spark, sf_dir) -> DataFrame:
@@ -295,7 +338,7 @@ def validate_batch(spark, sf_dir):
 @query
 def to_absolute(spark, sf_dir):
     out = batch.to_absolute(batch.validate_batch(aligned(spark, sf_dir), batches(spark, sf_dir)))
-    return number(out.select("doc_id", "page_num", F.length(F.regexp_extract("content", r"^[^\n]*", 0)).alias("marker_len")))
+    return number(digest(out.select("doc_id", "page_num", "content"), "content", "content"))
 
 
 @query
@@ -322,6 +365,14 @@ def stalled(spark, sf_dir):
     return number(batch.stalled(log(spark, sf_dir), 86_400 * 20, 86_400))
 
 
+@query
+def stalled_now(spark, sf_dir):
+    """Silence up to a moment: jobs whose last state is ``purchase`` have ended."""
+    every = log(spark, sf_dir)
+    moment = F.lit(every.agg(F.max("ts")).first()[0])
+    return number(batch.stalled(every, 86_400 * 20, 86_400, as_of=moment, ended=("purchase",)))
+
+
 @query
 def resumable(spark, sf_dir):
     entries = log(spark, sf_dir)
@@ -385,13 +436,18 @@ def wanted_names(spark, sf_dir) -> DataFrame:
 
 @query
 def unique_names(spark, sf_dir):
+    """Names beside files, outputs and job states that exist already."""
     wanted = wanted_names(spark, sf_dir)
-    taken = wanted.where(F.xxhash64("path") % 5 == 0).select(F.concat_ws("/", "folder", F.concat("name", F.lit(" (2)"), "ext")).alias("target"))
-    out = naming.unique_names(wanted, taken)
-    # Which names are free is checked by tests; here: as many targets as documents, and all different.
-    return out.join(taken.select(F.lower("target").alias("k")).distinct(), F.lower("target") == F.col("k"), "left").agg(
-        F.count("*").alias("n_documents"), F.countDistinct(F.lower("target")).alias("n_targets"), F.count("k").alias("n_clashes")
+    d = F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).cast("long")
+    at = lambda name, end: F.concat(F.concat_ws("/", "folder", name), end)
+    there = F.array(
+        F.when(d % 5 == 0, at(F.concat("name", F.lit(" (2)")), F.col("ext"))),
+        F.when(d % 7 == 0, at(F.concat("name", F.lit(" (3)")), F.lit("_paged.md"))),
+        F.when(d % 11 == 0, at(F.concat("name", F.lit(" (5)")), F.concat("ext", F.lit(naming.STATE)))),
+        F.when(d % 13 == 0, at(F.col("name"), F.lit("_ERROR_merged.md"))),
     )
+    existing = wanted.select(F.explode(F.filter(there, lambda x: x.isNotNull())).alias("target"))
+    return naming.unique_names(wanted, existing)
 
 
 @query
@@ -471,3 +527,17 @@ def infer(spark, sf_dir):
     requests = batch.request_text(batches(spark, sf_dir), fx.page_numbers(documents(spark, sf_dir)))
     done = batch.infer(requests, shaky, io.new_folder(spark, "infer"), rounds=2, delay=0)
     return number(digest(done, "text", "text"))
+
+
+def shuffled(doc: int, no: int, payload: str, attempt: int) -> str:
+    """An answer that has too few End markers for some documents."""
+    return payload.replace("### -- End --", "", 1) if (doc + no) % 23 == 0 else payload
+
+
+@query
+def infer_valid(spark, sf_dir):
+    """Inference whose answers are checked for their markers before the next round."""
+    b = batches(spark, sf_dir)
+    requests = batch.request_text(b, fx.page_numbers(documents(spark, sf_dir)))
+    done = batch.infer(requests, shuffled, io.new_folder(spark, "infer"), rounds=2, delay=0, validate=batch.validator(b))
+    return number(digest(done, "text", "text"))

@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +25,18 @@ MEDIA = {
 }
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused path in the folder that all executors share: ``spark.checkpoint.dir``, or a temporary one in tests."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or where it is unset, as in tests, a new temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_paged(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,9 +102,28 @@ def read_split_defs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return check_split_defs(named)
 
 
-def write_paged(status: DataFrame, docs: DataFrame, folder: str) -> None:
-    """Write (doc_id, content) under ``status=complete`` or ``status=error``; ``status`` has (doc_id, status)."""
-    docs.join(status.select("doc_id", "status"), "doc_id").write.mode("overwrite").partitionBy("status").parquet(folder)
+def write_paged(status: DataFrame, docs: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Write (doc_id, content, status) to Parquet by ``bucket``, a hash of the document; ``status`` has (doc_id, status).
+
+    Documents that are there already stay; those written again are replaced, whatever their status was, so that a
+    document that is complete at last has no failed copy any more. Only buckets that a new document falls into are
+    read and overwritten. Take the same number of buckets each time.
+    """
+    spark = docs.sparkSession
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    new = docs.select("doc_id", "content").join(status.select("doc_id", "status"), "doc_id").select("doc_id", "content", "status", bucket.alias("bucket"))
+    try:
+        old = spark.read.schema(new.schema).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        kept = old.join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi").join(new.select("doc_id"), "doc_id", "left_anti")
+        # The rows to keep lie in the folder that is overwritten: they are brought to another place first.
+        path = new_folder(spark, "paged")
+        kept.select(*new.columns).unionByName(new).write.parquet(path)
+        new = spark.read.schema(new.schema).parquet(path)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
 
 
 def request_lines(requests: DataFrame, shape: str = "key", url: str = "/v1/chat/completions") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,32 +16,52 @@ from pageflow.operators.pages import parse_pages, remove_blank
 
 
 def stream_results(spark: SparkSession, folder: str, late: str = "1 hour") -> DataFrame:
-    """Result lines as they arrive, one for each key within ``late`` of arrival: the first. For the last, see ``upsert``."""
-    lines = spark.readStream.text(folder).select(F.col("value").alias("line"), F.current_timestamp().alias("arrived"))
-    read = normalize_results(lines).withWatermark("arrived", late)
-    return read.dropDuplicatesWithinWatermark(["key"])
+    """Result lines as they arrive, one for each file and key within ``late`` of arrival: the first. For the last, see ``upsert``.
 
+    Keys are unique in a file only, so ``file`` is a part of the identity. Lines without a key, as those that can't be read, are told
+    apart by their text.
+    """
+    lines = spark.readStream.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.current_timestamp().alias("arrived"))
+    read = normalize_results(lines).withColumn("_id", F.coalesce(F.concat(F.lit("k"), "key"), F.concat(F.lit("l"), F.sha2("line", 256))))
+    return read.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["file", "_id"]).drop("_id")
+
+
+def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """A Parquet folder, or None if it isn't there."""
+    try:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
-def upsert(stream: DataFrame, folder: str, keys: list[str], order: str, checkpoint: str):
-    """Start a query that keeps the last row of each key, by ``order``, in versions of a Parquet table.
 
-    Each micro-batch writes ``version=N``, made from the version before and the batch; a batch that is run again
-    writes the same version anew. ``latest`` reads the newest.
+def upsert(stream: DataFrame, folder: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64):
+    """Start a query that keeps the last row of each key, by ``order``, in a Parquet table partitioned by ``bucket``, a hash of the key.
+
+    A micro-batch reads and overwrites only the buckets that its keys fall into. What it will write is kept beside the table
+    first, so that a batch that is run again after a failure doesn't depend on what the failed run left.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        whole = batch if number == 0 else latest(spark, folder, number - 1).unionByName(batch)
-        last = whole.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("_r"))
-        last.select(*keys, "_r.*").write.mode("overwrite").parquet(f"{folder}/version={number}")
+        spark, staged, done = batch.sparkSession, f"{folder}_staging/batch={number}", f"{folder}_staging/done={number}"
+        new = batch.withColumn("bucket", bucket)
+        if _read(spark, done, "n long") is None:
+            old = _read(spark, folder, new.schema)
+            if old is not None:
+                touched = F.broadcast(new.select("bucket").distinct())
+                new = old.join(touched, "bucket", "left_semi").select(*new.columns).unionByName(new)
+            last = new.groupBy("bucket", *keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("_r"))
+            last.select(*keys, "_r.*", "bucket").write.mode("overwrite").parquet(staged)
+            spark.range(1).select(F.lit(number).cast("long").alias("n")).write.mode("overwrite").parquet(done)
+        rows = spark.read.schema(new.schema).parquet(staged)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/version={version}")
-
-
 def stream_progress(log: DataFrame, late: str = "1 day", length: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(job_id, window, done, failed) of a streamed log (job_id, ts, ok) in tumbling or sliding windows."""
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
@@ -91,11 +112,18 @@ def stream_documents(docs: DataFrame, folder: str, checkpoint: str, operator: Ca
     """Start a query that applies an operator on documents (doc_id, content) to each micro-batch and appends the rows.
 
     Windows in document order aren't allowed on streams; inside a micro-batch they are. A document is taken
-    once, by doc_id within the batch; a batch that is run again overwrites its own folder.
+    once, by doc_id: the first file that brings it counts, later ones are left out. A batch that is run again overwrites its
+    own folder.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        operator(batch.dropDuplicates(["doc_id"])).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        spark, new = batch.sparkSession, batch.dropDuplicates(["doc_id"])
+        ids = f"{folder}_ids"
+        seen = _read(spark, ids)
+        if seen is not None:
+            new = new.join(seen.where(F.col("batch") < number).select("doc_id"), "doc_id", "left_anti")
+        operator(new).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        new.select("doc_id").write.mode("overwrite").parquet(f"{ids}/batch={number}")
 
     return docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -37,6 +37,11 @@ def test_parse_corners(spark):
 def test_merge_keeps_pages_after_a_plain_end(spark):
     text = "intro\n" + "\n\n".join([page(1, "body1"), page(2, "body2", "### -- End  --"), page(3, " body3 \n", "### -- End (Printed Page 7) (Continuation) --"), page(4, "body4"), "### -- Begin Page 5 (Continuation) --\nbody5"])
     (row,) = merge.merge_pages(pages.parse_pages(docs(spark, text))).collect()
+    (whole,) = merge.merge_pages(pages.parse_pages(docs(spark, text), keep_head=True)).collect()
+    assert whole["merged"] == "intro\n\n" + row["merged"]
+    bare = docs(spark, "no marker", "", None, page(1, "x"))
+    assert [tuple(r) for r in merge.merge_pages(pages.parse_pages(bare, keep_head=True)).orderBy("doc_id").collect()] == [(0, "no marker"), (3, "x")]
+    assert [r[0] for r in pages.without_markers(bare).orderBy("doc_id").collect()] == [0, 1, 2]
     assert row["merged"] == "body1\n\nbody2\n\nbody3body4body5"
     assert merge.merge_pages(pages.parse_pages(docs(spark, page(1, "a\n\n\n\nb") + "\n" + page(2, "")))).first()["merged"] == "a\n\nb\n\n"
 
@@ -60,8 +65,8 @@ def test_split_ranges(spark):
     assert [(r["filename"], r["old_page"], r["page_num"]) for r in split.split_docs(p, defs).orderBy("entry_no", "pos").collect()] == [("a", 1, 1), ("a", 2, 2), ("b", 2, 1), ("b", 4, 2)]
     assert {(r["entry_no"], *r["missing"]) for r in split.split_missing(p, defs).collect()} == {(1, 3), (3, 9)}
     assert split.split_uncovered(p, defs).count() == 0
-    wide = spark.createDataFrame([(0, 0, "a", 1, 2_000_000_000)], defs.schema)
-    assert len(split.split_missing(p, wide, most_pages=10).first()["missing"]) == 8
+    wide = spark.createDataFrame([(0, 0, "a", 1, 2_000_000_000), (7, 0, "none", 2, 3)], defs.schema)
+    assert {tuple(r) for r in split.split_gaps(p, wide).collect()} == {(0, 0, 3, 3), (0, 0, 5, 2_000_000_000), (7, 0, 2, 3)}
 
 
 def fold(text):
@@ -87,6 +92,17 @@ def test_reflow_equals_a_fold(spark):
     assert got == [fold(x) for x in texts]
 
 
+def test_reflow_of_very_many_lines(spark):
+    text = "\n".join(f"line {i}" + ("。" if i % 3 == 0 else "") for i in range(20_000))
+    assert spark.createDataFrame([(text,)], "s string").select(t.reflow(F.col("s"))).first()[0] == fold(text)
+
+
+def test_renumber_keeps_all_characters(spark):
+    d = docs(spark, page(3, "a\u0001b $1 \\") + "\n" + page(7, "\u0001"))
+    got = [r["content"] for r in pages.renumber(pages.parse_pages(d)).orderBy("pos").collect()]
+    assert got == [page(1, "a\u0001b $1 \\"), page(2, "\u0001")]
+
+
 def test_names(spark):
     titles = ["<>:*", "a_b  c. ", "x" * 100, None, "　題　"]
     got = [r[0] for r in spark.createDataFrame(enumerate(titles), "i int, s string").orderBy("i").select(naming.sanitize_title(F.col("s"))).collect()]
@@ -104,8 +120,41 @@ def test_unique_names_with_taken_numbers(spark):
     taken = spark.createDataFrame([("/d/a (3).PDF",), ("/d/B.pdf",)], "target string")
     got = {r["path"]: r["target"] for r in naming.unique_names(wanted, taken).collect()}
     assert got == {"/p0": "/d/A.pdf", "/p1": "/d/a (4).pdf", "/p2": "/d/A (5).pdf", "/p3": "/d/A (2).pdf", "/p4": "/d/B (2).pdf", "/p5": "/d/b (3).pdf"}
-    plan = naming.rename_plan(spark.createDataFrame([("/x.pdf", "/n.pdf"), ("/y.pdf", "/n.pdf"), ("/z.pdf", "/z.pdf")], "path string, target string"), spark.createDataFrame([("/x.pdf",), ("/y.pdf",), ("/x_paged.md",)], "path string"))
-    assert sorted(map(tuple, plan.collect())) == [("/x.pdf", "/n.pdf", True), ("/x_paged.md", "/n_paged.md", False), ("/y.pdf", "/n.pdf", True)]
+    pairs = [("/x.pdf", "/n.pdf"), ("/y.pdf", "/n.pdf"), ("/z.pdf", "/z.pdf"), ("/v.pdf", "/w.pdf"), ("/q.pdf", "/Q.pdf")]
+    there = ["/x.pdf", "/y.pdf", "/x_paged.md", "/v.pdf", "/W.pdf", "/v.pdf.batch_state.txt", "/q.pdf"]
+    plan = naming.rename_plan(spark.createDataFrame(pairs, "path string, target string"), spark.createDataFrame([(x,) for x in there], "path string"))
+    assert sorted(map(tuple, plan.collect())) == [
+        ("/v.pdf", "/w.pdf", True), ("/v.pdf.batch_state.txt", "/w.pdf.batch_state.txt", False), ("/x.pdf", "/n.pdf", True), ("/x_paged.md", "/n_paged.md", False), ("/y.pdf", "/n.pdf", True)
+    ]
+
+
+def test_unique_names_beside_outputs(spark):
+    """One name for many documents equals taking them one by one."""
+    random.seed(5)
+    names = [random.choice(["A", "a", "B", "B (2)", "C (2)", "C"]) for _ in range(200)]
+    wanted = [(f"/p/{i:03}.pdf" if i else "/d/b.pdf", "/d", n, random.choice([".pdf", ".PDF", ".docx"]) if i else ".pdf") for i, n in enumerate(["B", *names])]
+    taken = ["/d/a (3)_paged.md", "/d/A (5).pdf.batch_state.txt", "/d/B_ERROR_merged.md", "/d/b.pdf", "/d/c (07).pdf", "/d/C (4)_ERROR_paged.md", "/d/x.pdf"]
+    made = naming.unique_names(spark.createDataFrame(wanted, "path string, folder string, name string, ext string"), spark.createDataFrame([(x,) for x in taken], "target string"))
+    got = {r["path"]: r["target"] for r in made.collect()}
+    low = {x.lower() for x in taken}
+    outputs = [o.lower() for o in naming.OUTPUTS]
+    keys = {f"{d}/{n}{e}".lower() for _, d, n, e in wanted}
+    homes = {p.lower() for p, d, n, e in wanted if p.lower() == f"{d}/{n}{e}".lower()}
+    used, want = set(), {}
+    for path, folder, name, ext in sorted(wanted):
+        key = f"{folder}/{name}{ext}".lower()
+        if path.lower() == key:
+            want[path] = f"{folder}/{name}{ext}"
+            continue
+        for no in range(1, 1000):
+            full = f"{folder}/{name}{'' if no == 1 else f' ({no})'}"
+            k = (full + ext).lower()
+            busy = k in low or k + naming.STATE in low or any(full.lower() + o in low for o in outputs)
+            if not busy and k not in used and (k not in homes if no == 1 else k not in keys):
+                used.add(k)
+                want[path] = full + ext
+                break
+    assert got == want
 
 
 def test_result_shapes(spark):
@@ -137,6 +186,26 @@ def test_infer_retries(spark, tmp_path):
     assert out[11]["error"] == "try again" and out[11]["round"] == 2
 
 
+def test_infer_tries_invalid_answers_again(spark, tmp_path):
+    b = spark.createDataFrame([(i, 1, [4], 1, page(1, "x")) for i in range(6)], "doc_id long, batch_no int, pages array<int>, num_pages int, payload string")
+
+    def sloppy(doc, no, payload, attempt):
+        if doc == 5 or (doc % 2 and not (tmp_path / f"{doc}").exists()):
+            (tmp_path / f"{doc}").touch()
+            return payload.replace("### -- End --", "")
+        return payload
+
+    out = batch.infer(b, sloppy, f"{tmp_path}/rounds", rounds=3, delay=0, validate=batch.validator(b.drop("payload")))
+    assert {r["doc_id"]: (r["error"], r["round"]) for r in out.collect()} == {0: (None, 1), 2: (None, 1), 4: (None, 1), 1: (None, 2), 3: (None, 2), 5: ("END_COUNT", 3)}
+
+
+def test_silence_until_a_moment(spark):
+    rows = [(1, 1, 0, "run", True), (2, 1, 60, "run", True), (3, 2, 0, "run", True), (4, 2, 50, "done", True), (5, 3, 900, "run", True)]
+    log = spark.createDataFrame(rows, "event_id long, job_id long, s long, state string, ok boolean").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["job_id"]: (r["waited_s"], r["longest_idle_s"], r["over_idle"]) for r in batch.stalled(log, 500, 100, as_of=F.timestamp_seconds(F.lit(600)), ended=("done",)).collect()}
+    assert got == {1: (600, 540, True), 2: (50, 50, False)}
+
+
 def test_office_parts_and_files(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
@@ -158,6 +227,9 @@ def test_office_parts_and_files(spark, tmp_path):
     status = batch.doc_status(pages.parse_pages(docs(spark, page(1, "x"), page(1, "[ERROR: OCR Failed for page 1]"))))
     files.write_paged(status, docs(spark, "x", "y"), f"{tmp_path}/out")
     assert {r["doc_id"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {0: "complete", 1: "error"}
+    late = spark.createDataFrame([(1, "complete", "y2"), (7, "error", "z")], "doc_id long, status string, content string")
+    files.write_paged(late, late, f"{tmp_path}/out")
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("doc_id", "status", "content").collect()} == {(0, "complete", "x"), (1, "complete", "y2"), (7, "error", "z")}
     assert batch.workers(4) == 3 and batch.workers(64) == 8 and batch.workers(4, 99) == 16
 
 
