@@ -124,8 +124,8 @@ ORACLE = {
     "merge_with_head": f"""WITH {LINES}, g AS (SELECT d, p, CASE WHEN p = 1 AND d % 3 = 0 THEN 'Head of ' || d || chr(10) || chr(10) WHEN p = 1 OR bc OR lag(ec) OVER (PARTITION BY d ORDER BY p) THEN '' ELSE chr(10) || chr(10) END || body AS t FROM lines),
         m AS (SELECT d, CASE WHEN d % 3 <> 0 AND d % 7 = 0 THEN 'no marker' ELSE regexp_replace(string_agg(t, '' ORDER BY p), '\\n{{3,}}', chr(10) || chr(10), 'g') END AS t FROM g GROUP BY d) SELECT d AS doc_id, {md('t', 'merged')} FROM m""",
     "without_markers": "SELECT doc_id FROM documents WHERE doc_id % 5 <> 0",
-    "strip_legacy": f"""WITH {LINES}, x AS (SELECT d, p, p = 1 AS first, p % 3 = 0 AS c, coalesce(lead(p) OVER (PARTITION BY d ORDER BY p) % 3 = 0, false) AS next_c, raw FROM lines),
-        m AS (SELECT d, string_agg(CASE WHEN c THEN regexp_replace(raw, '^{WS}+', '') ELSE raw END, '' ORDER BY p) AS t FROM x GROUP BY d) SELECT d AS doc_id, {md('t', 'text')} FROM m""",
+    "strip_legacy": f"""WITH {LINES}, x AS (SELECT d, p, regexp_replace(raw, '^{WS}+', '') AS t, lead(p) OVER (PARTITION BY d ORDER BY p) AS nx FROM lines),
+        m AS (SELECT d, string_agg(CASE WHEN nx % 3 = 0 THEN regexp_replace(t, '{WS}+$', '') WHEN nx IS NULL OR t = '' THEN t ELSE t || chr(10) END, '' ORDER BY p) AS t FROM x GROUP BY d) SELECT d AS doc_id, {md('t', 'text')} FROM m""",
     "read_results": f"""WITH {ANSWERS}, r AS (
         SELECT CASE WHEN kind <> 'broken' THEN 'request-' || b END AS key, CASE kind WHEN 'broken' THEN 'JSON parse failed' WHEN 'error' THEN 'quota' END AS error, CASE WHEN kind IN ('good', 'twice') THEN t END AS t FROM answers WHERE kind <> 'none'
         UNION ALL SELECT 'request-' || b, NULL, t || '?' FROM answers WHERE kind = 'twice') SELECT key, error, md5(t) AS text_md5, count(*) AS n FROM r GROUP BY ALL""",
