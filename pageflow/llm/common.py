@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pageflow.sources import io
+
 #: White space of the word rule shared by operators 2, 3 and 6: blank and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+#: Folders made in each ``scratch`` that is open.
+_scratch: list[list[str]] = []
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = io.new_folder(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders that are made meanwhile. What is to last has its folder made before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete_folder(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +59,10 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: Rows of an Arrow batch, for stages that send whole texts to Python workers.
+TEXT_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def stored_at(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to ``path`` and read it. Shuffle files go as soon as it is written: nothing else reads them."""
     with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import cut, delete_folder, new_folder, setting, stored, stored_at
+from pageflow.llm.common import TEXT_ROWS, cut, delete_folder, new_folder, scratch, setting, stored, stored_at
 from pageflow.llm.components import connected_components, joined_components
 from pageflow.llm.hashing import WordHasher, sorted_distinct
 from pageflow.llm.lm import pack, unpack
@@ -90,12 +90,12 @@ def _slices(keys: np.ndarray, n: int):
 
 
 def _first_pass(k: int, buckets: int, flush: int = 1_000_000):
-    """Rows of sets (doc_id, n, class) and, by bucket, all tokens with the number of sets here that hold them.
+    """Rows of sets (doc_id, text_hash, n, class) and, by bucket, all tokens with the number of sets here that hold them.
 
     A bucket's row holds one token at least, so there are never more rows than tokens.
     """
-    names = ["doc_id", "n", "class", "counted", "bucket", "tokens", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", "text_hash", "n", "class", "counted", "bucket", "tokens", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held, waiting = Shingler(k), [], 0
@@ -104,12 +104,12 @@ def _first_pass(k: int, buckets: int, flush: int = 1_000_000):
             keys, counts = run_lengths(np.sort(np.concatenate(held)))
             rows = [(b, pack(keys[s]), pack(counts[s])) for b, s in _slices(keys << CUT_BITS, buckets)]
             none = [None] * len(rows)
-            columns = [none, none, none, [True] * len(rows), *zip(*rows, strict=True)]
+            columns = [none, none, none, none, [True] * len(rows), *zip(*rows, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, types, strict=True)], names)
 
         for batch in batches:
             n, key = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 tokens = sets(text.as_py())
                 n.append(len(tokens))
                 key.append(class_key(tokens))
@@ -120,7 +120,7 @@ def _first_pass(k: int, buckets: int, flush: int = 1_000_000):
                     yield counted()
                     held, waiting = [], 0
             none = [None] * len(n)
-            columns = [batch.column(0), n, key, [False] * len(n), none, none, none]
+            columns = [batch.column(0), batch.column(1), n, key, [False] * len(n), none, none, none]
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns, types, strict=True)], names)
         if held:
             yield counted()
@@ -394,23 +394,30 @@ def _candidates(spread: DataFrame, percent: int, by_part: bool) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_above: int = 16, group_size: int = 32) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) for each row of ``docs``.
+    """(doc_id, text_hash, n_shingles, component, component_id) for each row of ``docs``.
 
     Two rows link when 100 * intersection >= ``percent`` * union of their sets of k-word shingles;
     ``component_id`` is the smallest doc_id that links reach. Rows without words have no shingles and link with
     nothing: their component_id is their own doc_id. Rows with equal sets are linked, null doc_ids too; a
-    component of null doc_ids only has a null component_id. Repeated rows are kept. Empty tables give empty
-    tables; other columns of ``docs`` play no part. Hashes of 64 bits stand for shingles and sets.
+    component of null doc_ids only has a null component_id. ``component`` names the component also where a doc_id occurs
+    with several texts, and is null without words; ``text_hash`` is xxhash64 of the text, null as empty. Repeated rows are kept.
+    Empty tables give empty tables; other columns of ``docs`` play no part. Hashes of 64 bits stand for shingles and sets.
     """
+    path = new_folder(docs.sparkSession, "jaccard")
+    with scratch(docs.sparkSession), setting(docs.sparkSession, *TEXT_ROWS):
+        return stored_at(_components(docs, k, percent, frequent_above, group_size), path)
+
+
+def _components(docs: DataFrame, k: int, percent: int, frequent_above: int, group_size: int) -> DataFrame:
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     path = new_folder(spark, "jaccard-first")
-    schema = "doc_id long, n long, class long, counted boolean, bucket int, tokens binary, counts binary"
+    schema = "doc_id long, text_hash long, n long, class long, counted boolean, bucket int, tokens binary, counts binary"
     source.mapInArrow(_first_pass(k, buckets), schema).write.partitionBy("counted").parquet(path)
     first = spark.read.schema(schema).parquet(path)
-    sets = first.where(~F.col("counted")).select("doc_id", "n", "class")
+    sets = first.where(~F.col("counted")).select("doc_id", "text_hash", "n", "class")
     classes = cut(sets.where(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("representative"), F.min("n").alias("n")))
     sizes = classes.select("class", "n")
 
@@ -454,15 +461,15 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent_
 
     joined = found.withColumnRenamed("id", "class")
     least = joined.join(classes, "class").groupBy("component").agg(F.min("representative").alias("component_id"))
-    known = classes.join(joined.join(least, "component").select("class", F.col("component_id").alias("reached")), "class", "left")
-    known = known.select("class", F.coalesce("reached", "representative").alias("component_id"))
+    known = classes.select("class", "representative").join(joined.join(least, "component"), "class", "left")
+    known = known.select("class", F.coalesce("component", "class").alias("component"), F.when(F.col("component").isNull(), F.col("representative")).otherwise(F.col("component_id")).alias("component_id"))
     with_words = sets.where(F.col("n") > 0).join(known, "class")
-    without = sets.where(F.col("n") == 0).withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", F.col("n").alias("n_shingles"), "class", "component_id"]
+    without = sets.where(F.col("n") == 0).withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", "component_id"]
     return with_words.select(*columns).unionByName(without.select(*columns))
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
     """Component of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return similar_components(docs).drop("class")
+    return similar_components(docs).select("doc_id", "n_shingles", "component_id")
