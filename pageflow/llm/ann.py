@@ -99,6 +99,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def inner_products(q: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Inner products of ``q`` with vectors given by component, summed from the first component to the last, whatever the leaf."""
+    total = q[0] * columns[0]
+    for x, column in zip(q[1:], columns[1:], strict=True):
+        total += x * column
+    return total
+
+
 def effort(distinct: DataFrame, forest: Forest, counts: dict, probes: np.ndarray, k: int, recall: float, kind: str = "float") -> float:
     """Rows to look through so that the probes find the share ``recall`` of their k nearest distinct vectors.
 
@@ -205,9 +213,9 @@ def nearest(
         query, vec, score = [], [], []
         if left.num_rows and right.num_rows:
             q, v = _matrix(left.column("q").combine_chunks()), _matrix(right.column("v").combine_chunks())
-            own, ids = left.column("query_id").to_numpy(), right.column("ids").to_pylist()
+            own, ids, columns = left.column("query_id").to_numpy(), right.column("ids").to_pylist(), np.ascontiguousarray(v.T)
             for i in range(len(q)):
-                products = np.einsum("d,vd->v", q[i], v)  # in one fixed order, whatever the leaf
+                products = inner_products(q[i], columns)
                 if len(products) > k + 1:
                     best = np.flatnonzero(products >= np.partition(products, -k - 1)[-k - 1])
                 else:

@@ -15,7 +15,7 @@ def brute(rows, k=20, every=20):
     m = np.array([good[i] for i in ids], dtype=float)
     out = {}
     for i in ids[ids % every == 0]:
-        s = np.einsum("d,vd->v", np.array(good[i], dtype=float), m)
+        s = ann.inner_products(np.array(good[i], dtype=float), m.T)
         out[int(i)] = [(int(j), x) for x, j in sorted((-x, j) for x, j in zip(s, ids) if j != i)[:k]]
     return {q: [(j, -x) for j, x in found] for q, found in out.items()}
 
