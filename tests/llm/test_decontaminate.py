@@ -44,4 +44,9 @@ def test_passages_that_almost_fit(spark):
 
 
 def test_empty_tables(spark):
-    same(spark, docs[:0] + [(1, "a")], [(1, "a a a a")])
+    same(spark, [(1, "a")], [(1, "a a a a")])
+    docs = spark.createDataFrame([(1, "a b", "own", "own")], "doc_id long, text string, items string, start string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination(docs, none).where("contaminated").count() == 0
+    assert decontaminate.contamination(docs.limit(0), spark.createDataFrame([(1, "a b")], none.schema)).count() == 0
+    assert decontaminate.contamination(docs, spark.createDataFrame([(1, "A-B")], none.schema)).first()["n_hit"] == 2
