@@ -158,7 +158,9 @@ def disclosures(docs: DataFrame, generalise_at: float = 0.85, remove_at: float =
     kept = stored(found.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, _bare_terms(F.col("text"), F.col("base"))).alias("terms")), "pii-spans")
 
     key = ["doc_id", "text_hash"]
-    total = float(max(docs.count(), 1))
+    # Repeated rows are one document.
+    copies = cut(kept.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    total = float(max(kept.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0), 1))
     holders = kept.where(F.size("base") > 0).select(*key, "base", "terms", F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))).alias("entities"))
     # An entity of fewer documents than the support asks for can't have a term with that support.
     pairs = holders.select(*key, F.explode("entities").alias("entity")).distinct()
@@ -167,6 +169,10 @@ def disclosures(docs: DataFrame, generalise_at: float = 0.85, remove_at: float =
     held = pairs.join(entities, "entity")
     held = cut(held.groupBy(*key).agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities")))
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    once = source
+    if not copies.isEmpty():
+        repeated = source.alias("s").join(copies.alias("c"), same("s", "c"), "left_semi").dropDuplicates(key)
+        once = source.alias("s").join(copies.alias("c"), same("s", "c"), "left_anti").unionByName(repeated)
     carried = holders.drop("entities").alias("h").join(held.alias("e"), same("h", "e")).select("h.*", "e.entities")
     carried = stored(carried.dropDuplicates(key), "pii-holders")
     # PMI is at most log2(total / max(n_entity, n_term)): that leaves out the many frequent terms and no risky one.
@@ -174,7 +180,7 @@ def disclosures(docs: DataFrame, generalise_at: float = 0.85, remove_at: float =
     possible = lambda n_entity, n_term: log(F.greatest(n_entity, n_term)) >= generalise_at * log(n_entity) - 1e-9
     most = entities.agg(F.max("n_entity")).first()[0] or 1
     wanted = carried.select(F.explode("terms").alias("term")).distinct()
-    counted = source.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     counted = counted.where((F.col("n_term") >= min_support) & possible(F.lit(most), F.col("n_term")))
     counted = cut(counted.join(wanted, "term", "left_semi"))
     near = carried.select(*key, "entities", F.explode("terms").alias("term"))

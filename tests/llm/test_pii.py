@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+import regex
+from collections import Counter
 import math
 import random
 import re
@@ -62,3 +65,58 @@ def test_terms_far_from_the_entity(spark):
         marked = [(texts[i][s["start"] : s["end"]], s["action"]) for s in out[i]["spans"] if s["kind"] == "term"]
         assert [m for m in marked if m[0] != "İzmir"] == [("zyx", "remove"), ("Zyx", "remove"), ("qqq", "remove")]
     assert out[2]["sanitised"] == texts[2]
+
+
+def test_repeated_rows_count_once(spark):
+    texts = [f"mister zyx met ann at a.b@c.de on day {i}" for i in range(3)] + ["zyx"] + [f"mister met ann {i}" for i in range(60)]
+    rows = list(enumerate(texts))
+    spans = lambda r: {(x["doc_id"], tuple(s["start"] for s in x["spans"])) for x in pii.sanitise(spark.createDataFrame(r, "doc_id long, text string")).collect()}
+    assert spans(rows) == spans(rows + rows[:2] * 6 + [rows[20]] * 9)
+
+
+def test_term_spans_on_a_whole_table(spark, sf001):
+    """Term spans equal those of a plain count over all documents."""
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
+    # Few documents disclose anything: every tenth gets an entity that goes with a rare word.
+    more = F.concat("text", F.lit(" Quixotry seen by agent"), (F.col("doc_id") % 20).cast("string"), F.lit("@zz.example and quixotry"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, more).otherwise(F.col("text")))
+    rows = [tuple(r) for r in docs.collect()]
+    n, holders, with_term = len(rows), {}, {}
+    places = {}
+    for d, text in rows:
+        base = [(m[0], m[1], m[2], m[3]) for m in plain_spans(text or "")]
+        terms = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"\p{L}{3,}", text or "")]
+        for t in {t for _, _, t in terms}:
+            with_term.setdefault(t, set()).add(d)
+        # A run of letters that a base span cuts is no term of the document, and none is marked there.
+        free = [(a, b, t) for a, b, t in terms if not any(a < e and s < b for s, e, _, _ in base)]
+        places[d] = free
+        for _, _, kind, value in base:
+            holders.setdefault((kind, value.lower()), {})[d] = {t for _, _, t in free}
+    want = {}
+    for docs_of in holders.values():
+        if not 2 <= len(docs_of) < n:
+            continue
+        counts = Counter(t for ts in docs_of.values() for t in ts)
+        for t, both in counts.items():
+            if both < 2:
+                continue
+            share = math.log2(both * n / (len(docs_of) * len(with_term[t]))) / math.log2(n / len(docs_of))
+            if share >= 0.85:
+                for d in (d for d, ts in docs_of.items() if t in ts):
+                    want.setdefault(d, set()).update((a, b) for a, b, x in places[d] if x == t)
+    got = {}
+    for r in pii.disclosures(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r["added"]:
+            got[r["doc_id"]] = {(x["start"], x["end"]) for x in r["added"]}
+    assert want and got == want
+
+
+def plain_spans(text):
+    """(start, end, kind, value)."""
+    out = []
+    for item in (brute.pii(text)[2] or "").split(","):
+        if item:
+            kind, start, end = item.split(":")
+            out.append((int(start), int(end), kind, text[int(start) : int(end)]))
+    return out
