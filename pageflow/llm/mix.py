@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -155,16 +156,17 @@ class Mix:
 
         return spark.range(shards).mapInArrow(fill, schema)
 
+    @cached_property
     def placed(self) -> DataFrame:
         """Rows with words: (doc_id, source_no, size, text_hash, start): ``start`` is the place in the source's stream."""
         known = F.broadcast(self.source_table().select("source_no", F.col("source").alias("_source"))) if len(self.sources) < 100_000 else self.source_table().select("source_no", F.col("source").alias("_source"))
         rows = self.sized.where(F.col("size") > 0).join(known, F.col("source").eqNullSafe(F.col("_source")))
-        return running_total(rows.select("doc_id", "source_no", "size", "text_hash"), ["source_no"], ["doc_id", "text_hash", "size"], "size", "start")
+        return cut(running_total(rows.select("doc_id", "source_no", "size", "text_hash"), ["source_no"], ["doc_id", "text_hash", "size"], "size", "start"))
 
     def pieces(self) -> DataFrame:
         """What each slot takes of each row: (doc_id, source_no, text_hash, start, shard, slot, from_word, to_word)."""
         b = F.lit(self.block)
-        rows = self.placed()
+        rows = self.placed
         first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
         cut_up = rows.withColumn("block", F.explode(F.sequence(first, last)))
         slots = self.slot_table().hint("merge")  # its size is not seen before it runs, and it grows with the mix
@@ -177,7 +179,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """A row for each row of ``docs``: (doc_id, source, size, source_size, target, taken)."""
         words = self.pieces().groupBy("source_no", "start", "doc_id", "size").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-        rows = self.placed().alias("r")
+        rows = self.placed.alias("r")
         same = (F.col("r.source_no") == F.col("w.source_no")) & (F.col("r.start") == F.col("w.start"))
         full = rows.join(words.alias("w"), same, "left").select("r.doc_id", "r.source_no", "r.size", F.coalesce("w.taken", F.lit(0).cast("long")).alias("taken"))
         table = self.source_table()

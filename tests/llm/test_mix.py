@@ -69,3 +69,22 @@ def test_odd_rows(spark):
     assert by["a"]["t"] == 0 and by["b"]["n"] == 1000 and abs(by["b"]["t"] - by["b"]["target"]) <= 192
     assert mix.Mix(spark.createDataFrame([], schema)).taken().count() == 0
     assert mix.Mix(spark.createDataFrame([], schema)).documents().count() == 0
+
+
+def test_slots_are_a_plain_draw(spark):
+    """Every slot of a source takes the block that its place in the permutation of its epoch says, and words are counted from blocks."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i * 37 % 90), "abc"[i % 3]) for i in range(60)], "doc_id long, text string, source string")
+    m = mix.Mix(docs, block=16, shard_blocks=8)
+    slots = {}
+    for r in m.slot_table().collect():
+        slots.setdefault(r["source_no"], {})[r["slot"]] = r["block"]
+    for s, n in enumerate(m.slots):
+        assert sorted(slots[s]) == list(range(n))
+        for epoch in range(-(-n // m.blocks[s])):
+            own = [slots[s][x] for x in range(epoch * m.blocks[s], min(n, (epoch + 1) * m.blocks[s]))]
+            assert own == mix.permuted(np.arange(len(own)), int(m.blocks[s]), m.seed * 1_000_003 + s * 1009 + epoch).tolist()
+    taken = Counter()
+    for r in m.placed.collect():
+        for block in slots[r["source_no"]].values():
+            taken[r["doc_id"]] += max(0, min((block + 1) * 16, r["start"] + r["size"]) - max(block * 16, r["start"]))
+    assert {r["doc_id"]: r["taken"] for r in m.taken().collect()} == {d: taken[d] for d in range(60)}
