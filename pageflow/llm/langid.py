@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNKNOWN = "und"
+#: May be a letter: superscripts and fractions are found, too.
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes as they are compressed: ASCII letters and all of other characters stay, the rest becomes blank.
 LETTERS_ONLY = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -85,7 +86,7 @@ def classify(dictionaries: dict[str, bytes], level: int = 6, piece_bytes: int =
         coders.append((lang, zstandard.ZstdCompressor(level=level, dict_data=compiled, write_content_size=False, write_checksum=False, write_dict_id=False)))
 
     def one(text: str | None) -> tuple[str, float]:
-        if text is None or not coders or not LETTER.search(text):
+        if text is None or not coders or not any(m[0].isalpha() for m in LETTER.finditer(text)):
             return UNKNOWN, 0.0
         data = encoded(text)
         pieces = [data[i : i + piece_bytes] for i in range(0, len(data), piece_bytes)]
@@ -126,8 +127,11 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], min_margi
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
-    """Predict the language of every document, learning from three quarters of the labelled ones."""
+    """Predict the language of every document, learning from three quarters of the labelled ones.
+
+    A row without a doc_id is neither learned from nor held out.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     dictionaries = fit_dictionaries(docs.where(training_rows(docs)))
-    rows = docs.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2).alias("held_out"), "text")
+    rows = docs.select("doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "text")
     return identify_language(rows, dictionaries).drop("text")

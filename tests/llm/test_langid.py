@@ -31,3 +31,34 @@ def test_few_texts_among_many_copies(spark):
     marked = spark.createDataFrame([("zz", f"{'head ' * 40}{'tail ' * 40}{i}") for i in range(40)], "lang string, text string")
     made = langid.fit_dictionaries(marked, dictionary_bytes=4000)
     assert made["zz"].count(b"head") > 100 and made["zz"].count(b"tail") > 100
+
+
+def test_sizes_ties_and_letters(spark):
+    """The prediction is the smallest total over pieces; equal sizes go to the first language and are rejected; no letter, no language."""
+    import zstandard
+
+    coded = {"b": langid.encoded("der hund und die katze im garten " * 3), "a": langid.encoded("the dog and the cat in the yard " * 3), "c": b""}
+    texts = ["the dog and the yard " * 400, "die katze und der hund", "²½ 12", "x", "é" * 5000, " the dog\n" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def size(lang, text):
+        data = langid.encoded(text)
+        made = zstandard.ZstdCompressionDict(coded[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coder = zstandard.ZstdCompressor(level=6, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(coder.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+
+    for r in langid.identify_language(docs, coded).collect():
+        if r["doc_id"] == 2:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+        else:
+            first, second = sorted((size(lang, r["text"]), lang) for lang in coded)[:2]
+            assert r["lang_pred"] == first[1] and abs(r["score"] - (second[0] - first[0]) / second[0]) < 1e-12
+    twins = langid.identify_language(docs, {"q": coded["a"], "p": coded["a"]}).where("doc_id = 0").first()
+    assert (twins["lang_pred"], twins["score"], twins["rejected"]) == ("p", 0.0, True)
+
+
+def test_nothing_to_learn_from(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (None, "other " * 50_000, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = langid.op10_query(spark, str(tmp_path)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in rows] == [("und", 0.0)] * 2 and {r["held_out"] for r in rows if r["doc_id"] is None} == {False}
