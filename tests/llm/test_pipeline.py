@@ -35,3 +35,27 @@ def test_stages_against_plain_forms(spark, sf001, tmp_path):
             assert abs(sum(words.values()) - 1.5 * sum(len(mix.word_starts(t)) for t in before.values())) <= 192 * 20
     assert len(kept["sharding"]) == len(kept["mixing"]) and {r["shard"] for r in kept["sharding"]} == set(range(24))
     assert corpus_pipeline.run(spark, sf001).count() == len(kept["sharding"])
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, one doc_id with two texts, empty tables, and columns named as the operators' own."""
+    long = " ".join(f"w{i % 700}x" for i in range(30_000))
+    words = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("a")), (1, words("q")), (1, words("a")), (2, words("a")), (None, words("a")), (None, words("n")), (3, None), (4, ""), (5, " \n"), (6, long), (7, long + " z"), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, shard string, n_words string, component string, _hash string"
+    docs = spark.createDataFrame([(d, t, "en" if i % 2 else None, None if i % 3 else "s", None, f"own{i}", "own", "own", "own", "own") for i, (d, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(1, words("zz")), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns)
+        got[name] = [(r["doc_id"], r["text"], r["score"]) for r in out.collect()]
+        assert all(r["_hash"] == r["n_words"] == r["component"] == "own" for r in out.collect())
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    key = lambda x: (x[0] or 0, x[1] or "")
+    assert sorted({(d, t) for d, t, _ in got["near_duplicates"]}, key=key) == sorted([(1, words("a")), (1, words("q")), (None, words("n")), (3, None), (4, ""), (5, " \n"), (6, long), (None, None)], key=key)
+    assert len(got["near_duplicates"]) == 8
+    assert len(got["decontamination"]) == len(got["sharding"]) == len(rows)
+    assert {t for _, t, _ in got["language"]} <= {t for _, t in rows if t and t.strip()}
+    assert all(s.startswith("own") for name in got for _, _, s in got[name])
+    assert sum(len(mix.word_starts(t)) for _, t, _ in got["mixing"]) > 0

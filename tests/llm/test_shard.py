@@ -39,3 +39,40 @@ def test_odd_rows(spark):
     assert shard.kd_tree(docs.select("doc_id", "text"), target_bytes=10**9).select("shard").distinct().count() == 1
     with pytest.raises(ValueError):
         shard.kd_tree(docs)
+
+
+def plain_tree(rows, k, first=0):
+    """Shard of each (keys, size) by splitting at weighted medians, one node after another."""
+    if k == 1 or not rows:
+        return {row: first for row in rows}
+    dims = range(len(rows[0][0]))
+    width = lambda i: max(r[0][i] for r in rows) >> shard.TIE_BITS, lambda i: min(r[0][i] for r in rows) >> shard.TIE_BITS
+    dim = max(dims, key=lambda i: (width[0](i) - width[1](i), -i))
+    want = sum(r[1] for r in rows) * (k // 2) / k
+    weight, upto, cut = Counter(), 0, None
+    for keys, size, _ in rows:
+        weight[keys[dim]] += size
+    for key in sorted(weight):
+        upto += weight[key]
+        if upto >= want:
+            cut = key if upto - want <= want - (upto - weight[key]) else key - 1
+            break
+    left = [r for r in rows if r[0][dim] <= cut]
+    right = [r for r in rows if r[0][dim] > cut]
+    return plain_tree(left, k // 2, first) | plain_tree(right, k - k // 2, first + k // 2)
+
+
+def test_tree_equals_a_plain_one(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    dims = ["source", "lang", "n_chars", "doc_id"]
+    keyed = shard._keys(docs, dims).withColumn("size", shard.document_size(docs["text"]))
+    rows = [(tuple(r["_keys"]), r["size"], r["doc_id"]) for r in keyed.select("_keys", "size", "doc_id").collect()]
+    for k in (5, 24):
+        want = {row[2]: n for row, n in plain_tree(rows, k).items()}
+        assert {r["doc_id"]: r["shard"] for r in shard.kd_tree(docs, shards=k).collect()} == want
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "y" * (2_000_000 if i == 7 else 10), "own", "own") for i in range(40)], "doc_id long, text string, size string, node string")
+    out = shard.kd_tree(docs, shards=4).collect()
+    assert len(out) == 40 and {r["shard"] for r in out if r["doc_id"] != 7} <= set(range(4)) and sum(r["size"] for r in out) == 2_000_000 + 390 + 320
