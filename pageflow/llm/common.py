@@ -93,23 +93,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str, rows_a_bucket: int = 2_000) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str, rows_a_bucket: int = 2_000, most_buckets: int = 1_000_000) -> DataFrame:
     """Add ``out``: the sum of ``amount`` over the rows of the same ``keys`` that come before this one.
 
     No task holds a whole key: the rows of a key are dealt to buckets by a hash of ``order``, the buckets'
-    sums are accumulated in a table of one row a bucket, and only rows within a bucket are sorted. The order
+    sums are accumulated in a table of one row a bucket (or, of more than ``most_buckets``, in buckets of buckets), and only rows
+    within a bucket are sorted. The order
     of rows is therefore (bucket, ``order``): any fixed order serves here. Ties in ``order`` must be equal rows.
     """
     n = df.count()
     buckets = max(1, -(-n // rows_a_bucket))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy(*keys, "_bucket")
-        .agg(F.sum(amount).alias("_sum"))
-        .withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .drop("_sum")
-    )
+    sums = dealt.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_sum"))
+    if buckets <= most_buckets:
+        starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    else:
+        starts = running_total(sums.withColumnRenamed("_bucket", "_b"), keys, ["_b"], "_sum", "_start", rows_a_bucket, most_buckets)
+        starts = starts.drop("_sum").withColumnRenamed("_b", "_bucket")
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn("_local", F.coalesce(F.sum(amount).over(within), F.lit(0)))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bucket"]]

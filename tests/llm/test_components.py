@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from pageflow.llm.common import running_total
 from pageflow.llm.components import connected_components, joined_components
 
 
@@ -34,3 +37,17 @@ def test_further_links(spark):
     for more in ([], [(5000, 5000)], first[:3], [(random.randint(0, 120), random.randint(0, 120)) for _ in range(40)]):
         got = joined_components(connected_components(frame(first)), frame(more))
         assert sorted(map(tuple, got.select("id", "component").collect())) == sorted(plain(first + more).items())
+
+
+def test_running_total_in_levels(spark):
+    rows = spark.range(700).select(F.when(F.col("id") % 5 != 0, F.col("id") % 2).alias("k"), "id", (F.col("id") % 7).alias("n"))
+    for most in (1_000_000, 8):
+        got = {}
+        for r in running_total(rows, ["k"], ["id"], "n", "start", rows_a_bucket=5, most_buckets=most).collect():
+            got.setdefault(r["k"], []).append((r["start"], r["n"]))
+        assert sum(map(len, got.values())) == 700
+        for places in got.values():
+            total = 0
+            for start, n in sorted(places):
+                assert start == total
+                total += n
