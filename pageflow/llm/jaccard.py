@@ -89,7 +89,7 @@ def _slices(keys: np.ndarray, n: int):
         yield int(b), slice(edges[b], edges[b + 1])
 
 
-def _first_pass(k: int, buckets: int, flush: int = 1_000_000):
+def _first_pass(k: int, buckets: int, flush: int = 500_000):
     """Rows of sets (doc_id, text_hash, n, class) and, by bucket, all tokens with the number of sets here that hold them.
 
     A bucket's row holds one token at least, so there are never more rows than tokens.
@@ -163,7 +163,7 @@ def _most_frequent(counts: DataFrame, most: int = MOST_FREQUENT) -> np.ndarray:
     return np.sort(kept.view(np.uint64))
 
 
-def _second_pass(k: int, percent: int, buckets: int, frequent, flush: int = 1_000_000):
+def _second_pass(k: int, percent: int, buckets: int, frequent, flush: int = 500_000):
     """By bucket: prefix tokens in the final order with the classes that hold them, their sizes and the token's place."""
     names = ["bucket", "tokens", "classes", "sizes", "places"]
 
