@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.llm import decontaminate, jaccard, langid, mix, shard
-from pageflow.llm.common import WORD, new_folder, scratch
+from pageflow.llm.common import TEXT_ROWS, WORD, new_folder, scratch
 
 #: SQL can't express compression, multinomial draws or k-d trees; the stages are tested against plain forms.
 ORACLE_SQL = None
@@ -18,12 +18,21 @@ def without(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list]:
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), [F.col(f"`{n}`").alias(c) for c, n in new.items()]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have whole texts sent to Python workers by a thousand: ten thousand long ones take an executor hundreds of MB beside its heap.
+
+    The setting stays: a stage's rows are computed after it has returned them.
+    """
+    spark.conf.set(*TEXT_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is told with a margin; what the classifier rejects goes.
 
     Null texts and texts without a letter are rejected, as are ties between languages; without any labelled row all are. Repeated rows
     are judged alike, whole texts of any length are read, an empty table stays empty. Columns named as the classifier's keep their values.
     """
+    small_batches(spark)
     dictionaries = langid.fit_dictionaries(docs.where(langid.training_rows(docs)))
     rows, back = without(docs, ["lang_pred", "score", "rejected"])
     return langid.identify_language(rows, dictionaries).where(~F.col("rejected")).select(*back)
@@ -64,6 +73,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words (null, empty or blank texts) are in no piece. Null is a source of its own. Rows equal in doc_id, source and text
     count as often as they occur. A very long text gives many pieces; an empty table stays empty.
     """
+    small_batches(spark)
     rows, back = without(docs, ["_hash", "_id", "_source", "_parts", "source_no", "text_hash"])
     return mix.Mix(rows).documents().select(*back)
 
