@@ -13,12 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageflow.llm.common import ascii_lower, cut
+from pageflow.llm.common import ascii_lower, cut, stored
 
 #: What separates words, after A-Z were lowered: every ASCII character but digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark with at most so many shingles is sent to all executors; a larger one is joined by shuffling.
 BROADCAST_SHINGLES = 2_000_000
+#: So many documents with places to look at are sent to all executors at most, with those places.
+BROADCAST_DOCS = 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -98,25 +100,19 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingl
         .select("hash", "k", F.col("at").alias("anchor"), "n", "words", "window_id")
     )
     anchors = cut(anchors)
-    found = []
-    for k in lengths:
-        here = source.select("doc_id", "text_hash", "w", at(k)).select("doc_id", "text_hash", "hash", "pos", F.size("w").alias("size"), "w" if small else _around(window, k).alias("w"))
-        joined = here.join(sent(anchors.where(F.col("k") == k)), "hash")
-        start = F.col("pos") - F.col("anchor")
-        shift = F.lit(0) if small else F.greatest(F.col("pos") - (window - k), F.lit(0))
-        fits = (start >= 0) & (start + F.col("n") <= F.col("size"))
-        same = F.when(fits, F.slice("w", F.greatest(start - shift, F.lit(0)) + 1, F.col("n")) == F.col("words")).otherwise(False)
-        found.append(joined.where(same).select("doc_id", "text_hash", start.alias("start"), "n", "window_id"))
-    hits = reduce(DataFrame.unionByName, found).distinct()
+    # Exploded rows are small: a document's words beside each of its positions would be copied for every one.
+    start = (F.col("pos") - F.col("anchor")).alias("start")
+    places = [source.select("doc_id", "text_hash", F.size("w").alias("size"), at(k)).join(sent(anchors.where(F.col("k") == k)), "hash").select("doc_id", "text_hash", "size", start, "n", "words", "window_id") for k in lengths]
+    places = reduce(DataFrame.unionByName, places).where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("size")))
+    by_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n", "words", "window_id")).alias("places"))
+    by_doc = stored(by_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "places"), "decontaminate-places")
+    few = by_doc.count() <= BROADCAST_DOCS
+    held = source.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    right = F.filter("places", lambda p: F.slice("w", p["start"] + 1, p["n"]) == p["words"])
+    hits = held.select("doc_id", "text_hash", F.explode(right).alias("p")).select("doc_id", "text_hash", "p.start", "p.n", "p.window_id").distinct()
     return hits.join(parts.select("window_id", F.explode_outer("items").alias("item_id")), "window_id").select("doc_id", "text_hash", "start", "n", "item_id")
 
 
-def _around(window: int, k: int) -> Column:
-    """The words that a window with an anchor at ``pos`` may hold."""
-    first = F.greatest(F.col("pos") - (window - k), F.lit(0))
-    return F.slice("w", first + 1, F.lit(2 * window))
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, shingle: int = 3) -> DataFrame:
     """Rows of ``docs`` with n_words, n_hit, n_items, items and contaminated.
 

@@ -22,11 +22,12 @@ def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, "a b"), (None, long), (4, long), (4, long), (4, long.upper() + " É é"), (5, "x " * 5000 + long), (6, "W1-w2.w3 " * 9), (7, "é\tÉ x")]
     same(spark, docs, [(1, long), (2, "a"), (3, "w1 W2"), (None, "w1 w2 w3"), (5, ""), (6, None), (7, "É"), (1, long)])
     same(spark, docs, [(6, None)])
-    before, decontaminate.BROADCAST_SHINGLES = decontaminate.BROADCAST_SHINGLES, 0
+    before = decontaminate.BROADCAST_SHINGLES, decontaminate.BROADCAST_DOCS
+    decontaminate.BROADCAST_SHINGLES = decontaminate.BROADCAST_DOCS = 0
     try:
         same(spark, docs, [(1, long), (2, "a"), (3, "w1 W2"), (None, "w1 w2 w3"), (7, "É")])
     finally:
-        decontaminate.BROADCAST_SHINGLES = before
+        decontaminate.BROADCAST_SHINGLES, decontaminate.BROADCAST_DOCS = before
 
 
 def test_passages_that_almost_fit(spark):
