@@ -423,7 +423,7 @@ def _components(docs: DataFrame, k: int, percent: int, frequent_above: int, grou
 
     counts = first.where("counted").select("bucket", "tokens", "counts").groupBy("bucket").applyInArrow(_count_bucket(frequent_above), "token long, n long")
     frequent = spark.sparkContext.broadcast(_most_frequent(cut(counts)))
-    delete_folder(spark, f"{path}/counted=true")  # the counts are in the checkpoint now
+    delete_folder(spark, f"{path}/counted=true")  # what is needed of them is in a table of its own
     packed = source.select("text").mapInArrow(_second_pass(k, percent, buckets, frequent), "bucket int, tokens binary, classes binary, sizes binary, places binary")
     postings = stored(packed.groupBy("bucket").applyInArrow(_shared_in_bucket, "token long, class long, n long, place long"), "jaccard-postings")
 
