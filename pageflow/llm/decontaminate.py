@@ -19,8 +19,8 @@ from pageflow.llm.common import ascii_lower, cut, stored
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A benchmark with at most so many shingles is sent to all executors; a larger one is joined by shuffling.
 BROADCAST_SHINGLES = 2_000_000
-#: So many documents with places to look at are sent to all executors at most, with those places.
-BROADCAST_DOCS = 50_000
+#: The ids of so many documents with places to look at are sent to all executors at most.
+BROADCAST_DOCS = 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -106,8 +106,13 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingl
     places = reduce(DataFrame.unionByName, places).where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("size")))
     by_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n", "words", "window_id")).alias("places"))
     by_doc = stored(by_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "places"), "decontaminate-places")
-    few = by_doc.count() <= BROADCAST_DOCS
-    held = source.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    texts, ids = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), "text"), by_doc.select("_id", "_hash")
+    if ids.count() <= BROADCAST_DOCS:  # only texts with places are shuffled to them
+        texts = texts.join(F.broadcast(ids), same, "left_semi")
+    held = texts.join(by_doc, same).select("doc_id", "text_hash", "places", words_of(F.col("text")).alias("w"))
+    # The words come out of a generator, so that the lambda below doesn't part the text again for every place.
+    held = held.select("doc_id", "text_hash", "places", F.explode(F.array("w")).alias("w"))
     right = F.filter("places", lambda p: F.slice("w", p["start"] + 1, p["n"]) == p["words"])
     hits = held.select("doc_id", "text_hash", F.explode(right).alias("p")).select("doc_id", "text_hash", "p.start", "p.n", "p.window_id").distinct()
     return hits.join(parts.select("window_id", F.explode_outer("items").alias("item_id")), "window_id").select("doc_id", "text_hash", "start", "n", "item_id")
