@@ -30,21 +30,34 @@ class WordHasher:
                 x[0] = 1
                 setattr(self, name, np.multiply.accumulate(x))
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8) if text else np.zeros(0, np.uint8)
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Running sums over the bytes of a text, for ``spans``."""
         n = len(data)
         self._prepare(n)
-        inside = np.zeros(n + 2, dtype=np.int8)
-        inside[1:-1] = ~_BLANK[data]
-        step = np.diff(inside)
-        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_CODES[data] * self.powers[:n], out=sums[1:])
+        return sums
+
+    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of bytes."""
         h = (sums[ends] - sums[starts]) * self.inverses[starts] if len(starts) else np.zeros(0, np.uint64)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
 
+    def __call__(self, text: str | None) -> np.ndarray:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8) if text else np.zeros(0, np.uint8)
+        starts, ends = word_spans(data)
+        return self.spans(self.sums(data), starts, ends)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words among a text's bytes."""
+    inside = np.zeros(len(data) + 2, dtype=np.int8)
+    inside[1:-1] = ~_BLANK[data]
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
 
 def sorted_distinct(a: np.ndarray) -> np.ndarray:
     """As ``numpy.unique``, by sorting."""
