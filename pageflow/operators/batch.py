@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pageflow.functions import text as t
 from pageflow.operators.pages import marker_counts, parse_pages
+from pageflow.sources.ledger import Ledger
 
 MIB = 1024 * 1024
 NO_RESULT = "no result for this request"
@@ -142,42 +147,100 @@ def to_absolute(validated: DataFrame) -> DataFrame:
     )
 
 
+def in_flight(calls: Iterator[Callable], most: int) -> Iterator:
+    """Results of ``calls`` in their order, ``most`` of them running at a time.
+
+    Calls are taken from the iterator as results are taken from this one: beside those that run, at most three times as many have ended or wait
+    behind a slow one. Where the reader stops, no further call starts.
+    """
+    if most <= 1:
+        yield from (call() for call in calls)
+        return
+    with ThreadPoolExecutor(most) as pool:
+        waiting: deque = deque()
+        try:
+            for call in calls:
+                waiting.append(pool.submit(call))
+                while len(waiting) >= 4 * most or waiting and waiting[0].done():
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for future in waiting:
+                future.cancel()
+
+
+def _with(rows: DataFrame, others: DataFrame, key: list[str], how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join by ``key``; null equals null."""
+    named = others.select(*[F.col(k).alias(f"_{k}") for k in key])
+    return rows.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]), how)
+
+
+#: Answers as they are kept: what a request was is told by a hash of its payload.
+ANSWERS = "doc_id long, batch_no int, request_hash long, text string, error string"
+
+
 def infer(
-    requests: DataFrame, fn: Callable[[int, int, str, int], str], folder: str, rounds: int = 3, attempts: int = 3, delay: float = 2.0, validate: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
+    requests: DataFrame, fn: Callable[[int, int, str, int], str], folder: str, rounds: int = 3, attempts: int = 3, delay: float = 2.0,
+    validate: Callable[[DataFrame], DataFrame] | None = None, concurrency: int = 1, tasks: int | None = None, waves: int = 1,
+) -> DataFrame:
     """Run ``fn(doc_id, batch_no, payload, attempt)`` over requests: (doc_id, batch_no, text, error, round).
 
     A request is tried up to ``attempts`` times, waiting ``delay`` times the number of the attempt; what then
     still fails goes to the next round. ``validate`` gets a round's answers (doc_id, batch_no, text, error) and returns them with
     ``error_code``, as ``validator`` does: an answer with a code isn't good and goes to the next round, too; in the last round the code
-    becomes its error. Each round's answers are written to ``folder`` before they are counted, so a round
-    is never run again to be read. Filter ``requests`` first: every row is inferred.
+    becomes its error. Filter ``requests`` first: every row is inferred.
+
+    A task has ``concurrency`` requests in flight, in threads: ``fn`` must bear that. With ``tasks`` given, so many tasks at most run, so
+    that tasks times concurrency is what a service sees at once.
+
+    Answers are written to ``folder`` and a mark then says that they are whole. Run again with the same folder, after a failure or with more
+    or changed requests, this asks only what has no answer under a mark: no request of equal payload is inferred twice in a round.
+    A round may be dealt to ``waves``, each with its own mark, so that less is lost in the middle of a long one.
     """
-    spark, left = requests.sparkSession, requests.select("doc_id", "batch_no", "payload")
-    schema = "doc_id long, batch_no int, text string, error string"
+    spark = requests.sparkSession
+    left = requests.select("doc_id", "batch_no", "payload").withColumn("request_hash", F.xxhash64(F.coalesce("payload", F.lit("")), F.col("payload").isNull()))
+    key = ["doc_id", "batch_no", "request_hash"]
+
+    def answered(doc: int, no: int, payload: str) -> tuple[str | None, str | None]:
+        error = None
+        for attempt in range(1, attempts + 1):
+            try:
+                return fn(doc, no, payload, attempt), None
+            except Exception as failed:  # the user's function may fail in any way
+                error = str(failed) or type(failed).__name__
+                if attempt < attempts and delay:
+                    time.sleep(delay * attempt)
+        return None, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, errors = [], []
-            for doc, no, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = error = None
-                for attempt in range(1, attempts + 1):
-                    try:
-                        text, error = fn(doc, no, payload, attempt), None
-                        break
-                    except Exception as failed:  # the user's function may fail in any way
-                        error = str(failed) or type(failed).__name__
-                        if attempt < attempts and delay:
-                            time.sleep(delay * attempt)
-                texts.append(text)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["doc_id", "batch_no", "text", "error"])
+            calls = (partial(answered, *row) for row in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            texts, errors = zip(*in_flight(calls, concurrency), strict=True) if batch.num_rows else ((), ())
+            columns = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), batch.column(3), pa.array(texts, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "batch_no", "request_hash", "text", "error"])
+
+    def asked(number: int) -> DataFrame:
+        """Answers to ``left``: those that marks of this round know, and new ones for the rest."""
+        marks = Ledger(spark, f"{folder}/round-{number}/marks")
+        parts = [marks.get(name)["part"] for name in marks.names()]
+        known = lambda: spark.read.schema(ANSWERS).parquet(*[f"{folder}/round-{number}/{p}" for p in parts]).dropDuplicates(key)
+        for wave in range(waves):
+            todo = left.where(F.pmod(F.xxhash64("doc_id", "batch_no", F.lit(number)), F.lit(waves)) == wave) if waves > 1 else left
+            if parts:
+                todo = _with(todo, known(), key, "left_anti")
+                if todo.isEmpty():
+                    continue
+            part = f"part-{uuid.uuid4().hex}"
+            rows = todo.select("doc_id", "batch_no", "payload", "request_hash")
+            (rows.coalesce(tasks) if tasks else rows).mapInArrow(run, ANSWERS).write.parquet(f"{folder}/round-{number}/{part}")
+            parts.append(part)
+            marks.put(f"{len(parts):06}-{part}.json", {"part": part, "round": number, "wave": wave, "waves": waves})
+        return _with(known(), left, key, "left_semi")
 
     done = None
     for number in range(1, rounds + 1):
-        path = f"{folder}/round-{number}"
-        left.mapInArrow(run, schema).write.parquet(path)
-        answers = spark.read.schema(schema).parquet(path)
+        answers = asked(number).drop("request_hash")
         if validate:
             answers = validate(answers).withColumn("error", F.coalesce("error", "error_code")).select("doc_id", "batch_no", "text", "error")
         answers = answers.withColumn("round", F.lit(number))
@@ -187,7 +250,7 @@ def infer(
         done = now if done is None else done.unionByName(now)
         if last:
             break
-        left = left.join(good.select("doc_id", "batch_no"), ["doc_id", "batch_no"], "left_anti")
+        left = _with(left, good, ["doc_id", "batch_no"], "left_anti")
     return done
 
 
@@ -253,12 +316,37 @@ def stalled(log: DataFrame, max_wait_s: int, max_idle_s: int, state_counts: bool
     return out.withColumn("over_wait", F.col("waited_s") > max_wait_s).withColumn("over_idle", F.col("longest_idle_s") > max_idle_s)
 
 
+def request_sets(requests: DataFrame, by: str = "doc_id", of: tuple[str, ...] = ("doc_id", "pages", "payload")) -> DataFrame:
+    """(``by``, request_count, request_set) of each job: how many requests it has, and a fingerprint of which.
+
+    The fingerprint is the sum and the exclusive or of 64-bit hashes of the columns ``of``: it doesn't depend on the order of requests or on how they
+    are numbered, changes with any page list or payload, and is added up before the shuffle. Repeated requests count as often as they occur.
+    """
+    h = F.xxhash64(*of, *[F.col(c).isNull() for c in of])
+    fingerprint = F.struct(F.sum(h.cast("decimal(20,0)")).cast("decimal(38,0)").alias("sum"), F.bit_xor(h).alias("xor"))
+    return requests.groupBy(by).agg(F.count("*").alias("request_count"), fingerprint.alias("request_set"))
+
+
 def resumable(jobs: DataFrame, log: DataFrame, ended=("failed", "cancelled", "expired")) -> DataFrame:
     """(job_id, state, resumable, count_matches): a saved job is used again unless it ended badly or its requests changed.
 
-    ``jobs`` have (job_id, request_count, pending_count).
+    ``jobs`` have (job_id, request_count, pending_count). If they also have request_set and pending_set, as ``request_sets`` makes them, the requests must be the same, not
+    as many only, and the result has set_matches.
     """
     latest = log.groupBy("job_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
-    matches = F.col("request_count") == F.col("pending_count")
+    count = F.col("request_count") == F.col("pending_count")
+    checked = {"request_set", "pending_set"} <= set(jobs.columns)
+    same = count & F.coalesce(F.col("request_set") == F.col("pending_set"), F.lit(False)) if checked else count
     joined = jobs.join(latest, "job_id", "left")
-    return joined.select("job_id", "state", (matches & F.coalesce(~F.col("state").isin(*ended), F.lit(True))).alias("resumable"), matches.alias("count_matches"))
+    found = joined.select("job_id", "state", (same & F.coalesce(~F.col("state").isin(*ended), F.lit(True))).alias("resumable"), count.alias("count_matches"), same.alias("set_matches"))
+    return found if checked else found.drop("set_matches")
+
+
+def resume(saved: DataFrame, pending: DataFrame, log: DataFrame, by: str = "doc_id", of: tuple[str, ...] = ("doc_id", "pages", "payload"), ended=("failed", "cancelled", "expired")) -> DataFrame:
+    """``resumable`` for the requests that saved jobs were made of and those that are pending now; a row for each saved job.
+
+    A job of which nothing is pending any more has a pending_count of 0 and doesn't match.
+    """
+    now = request_sets(pending, by, of).select(by, F.col("request_count").alias("pending_count"), F.col("request_set").alias("pending_set"))
+    jobs = request_sets(saved, by, of).join(now, by, "left").withColumn("pending_count", F.coalesce("pending_count", F.lit(0)))
+    return resumable(jobs.withColumnRenamed(by, "job_id"), log, ended)

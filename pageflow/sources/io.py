@@ -10,11 +10,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.operators.batch import normalize_results
+from pageflow.sources.table import Table
 
 #: File kinds and media types by extension. A ``.gif`` has a media type but is no input.
 KINDS = {"pdf": "pdf", "docx": "docx", "doc": "doc", "odt": "odt", "pptx": "pptx", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image"}
@@ -102,28 +102,24 @@ def read_split_defs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return check_split_defs(named)
 
 
-def write_paged(status: DataFrame, docs: DataFrame, folder: str, buckets: int = 64) -> None:
-    """Write (doc_id, content, status) to Parquet by ``bucket``, a hash of the document; ``status`` has (doc_id, status).
+def paged_table(spark: SparkSession, folder: str, buckets: int = 64) -> Table:
+    return Table(spark, folder, ["doc_id"], buckets)
+
+
+def write_paged(status: DataFrame, docs: DataFrame, folder: str, buckets: int = 64) -> int:
+    """Put (doc_id, content, status) into the table in ``folder``; ``status`` has (doc_id, status). The number of the table's new version.
 
     Documents that are there already stay; those written again are replaced, whatever their status was, so that a
-    document that is complete at last has no failed copy any more. Only buckets that a new document falls into are
-    read and overwritten. Take the same number of buckets each time.
+    document that is complete at last has no failed copy any more. A document without a status is an ``error``. Only
+    buckets that a new document falls into are read and written, and readers see all of the new documents or none: see ``Table``.
     """
-    spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    new = docs.select("doc_id", "content").join(status.select("doc_id", "status"), "doc_id").select("doc_id", "content", "status", bucket.alias("bucket"))
-    try:
-        old = spark.read.schema(new.schema).parquet(folder)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        kept = old.join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi").join(new.select("doc_id"), "doc_id", "left_anti")
-        # The rows to keep lie in the folder that is overwritten: they are brought to another place first.
-        path = new_folder(spark, "paged")
-        kept.select(*new.columns).unionByName(new).write.parquet(path)
-        new = spark.read.schema(new.schema).parquet(path)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    judged = docs.select("doc_id", "content").join(status.select("doc_id", "status"), "doc_id", "left")
+    return paged_table(docs.sparkSession, folder, buckets).commit(judged.select("doc_id", "content", F.coalesce("status", F.lit("error")).alias("status")))
+
+
+def read_written(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(doc_id, content, status) as of the last version of ``write_paged``; None where none was written."""
+    return paged_table(spark, folder).read()
 
 
 def request_lines(requests: DataFrame, shape: str = "key", url: str = "/v1/chat/completions") -> DataFrame:

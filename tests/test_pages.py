@@ -226,10 +226,10 @@ def test_office_parts_and_files(spark, tmp_path):
     assert valid.count() == 0 and {r["reason"] for r in rejected.collect()} == {"SET_REFUSED", "START_AFTER_END"}
     status = batch.doc_status(pages.parse_pages(docs(spark, page(1, "x"), page(1, "[ERROR: OCR Failed for page 1]"))))
     files.write_paged(status, docs(spark, "x", "y"), f"{tmp_path}/out")
-    assert {r["doc_id"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {0: "complete", 1: "error"}
+    assert {r["doc_id"]: r["status"] for r in files.read_written(spark, f"{tmp_path}/out").collect()} == {0: "complete", 1: "error"}
     late = spark.createDataFrame([(1, "complete", "y2"), (7, "error", "z")], "doc_id long, status string, content string")
     files.write_paged(late, late, f"{tmp_path}/out")
-    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("doc_id", "status", "content").collect()} == {(0, "complete", "x"), (1, "complete", "y2"), (7, "error", "z")}
+    assert {tuple(r) for r in files.read_written(spark, f"{tmp_path}/out").select("doc_id", "status", "content").collect()} == {(0, "complete", "x"), (1, "complete", "y2"), (7, "error", "z")}
     assert batch.workers(4) == 3 and batch.workers(64) == 8 and batch.workers(4, 99) == 16
 
 
