@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,31 +143,61 @@ PARTS = [
     ("slide", re.compile(r"^ppt/slides/slide(\d+)\.xml$")), ("notes", re.compile(r"^ppt/notesSlides/notesSlide(\d+)\.xml$")),
     ("media", re.compile(r"^(?:word/media|ppt/media|Pictures)/.+$")),
 ]
+_DRAWN = re.compile(r"\.(svg|emf|wmf)$", re.IGNORECASE)
+
+
+def part_of(name: str) -> tuple[str, int, str | None] | None:
+    """(kind, ordinal, media type) of a part of an office file; None for parts that aren't read.
+
+    Slides and notes have their number as ordinal. ``.svg`` pictures, and ``.emf`` and ``.wmf`` ones of slides, are left out.
+    """
+    for kind, pattern in PARTS:
+        if m := pattern.match(name):
+            if kind == "media":
+                drawn = _DRAWN.search(name) and not (name.startswith("word/") and not name.lower().endswith(".svg"))
+                return None if drawn else (kind, 0, MEDIA.get(name.rpartition(".")[2].lower()))
+            return kind, int(m[1]) if kind in ("slide", "notes") else 0, "text/xml"
+    return None
 
 
 def office_parts(files: DataFrame) -> DataFrame:
-    """(path, part_name, kind, ordinal, mime, data) of zipped office files; ``files`` have (path, content).
+    """(path, part_name, kind, ordinal, mime, data) of zipped office files; ``files`` have (path, content), whole files.
 
-    Slides and notes have their number as ordinal. ``.svg`` pictures, and ``.emf`` and ``.wmf`` ones of slides, are
-    left out. A file that is no zip gives one row of kind ``broken``.
+    Parts are as ``part_of`` tells. A file that is no zip gives one row of kind ``broken``. Parts are unzipped one after the other. To read
+    files without holding them, and without the kinds that aren't wanted, see ``office.read_office_parts``.
     """
-    skipped = re.compile(r"\.(svg|emf|wmf)$", re.IGNORECASE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-                        for name in z.namelist():
-                            for kind, pattern in PARTS:
-                                if (m := pattern.match(name)) and not (kind == "media" and skipped.search(name) and not (name.startswith("word/") and not name.lower().endswith(".svg"))):
-                                    mime = MEDIA.get(name.rpartition(".")[2].lower()) if kind == "media" else "text/xml"
-                                    rows.append((path, name, kind, int(m[1]) if kind in ("slide", "notes") else 0, mime, z.read(name)))
-                except zipfile.BadZipFile:
-                    rows.append((path, None, "broken", 0, None, None))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "part_name", "kind", "ordinal", "mime", "data"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, part_name string, kind string, ordinal int, mime string, data binary")
+            for path, data in zip(*((x.as_py() for x in c) for c in batch.columns), strict=True):
+                yield from part_batches(path, io.BytesIO(data or b""))
+
+    return files.select("path", "content").mapInArrow(run, OFFICE_PARTS)
+
+
+OFFICE_PARTS = "path string, part_name string, kind string, ordinal int, mime string, data binary"
+_OFFICE_SCHEMA = pa.schema({"path": pa.string(), "part_name": pa.string(), "kind": pa.string(), "ordinal": pa.int32(), "mime": pa.string(), "data": pa.binary()})
+
+
+def part_batches(path: str, file, wanted: Callable[[str, str], bool] = lambda name, kind: True, data: bool = True, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of one office file in batches of about ``size`` bytes: the parts that are ``wanted`` by name and kind, without their bytes if not ``data``."""
+    rows, held = [], 0
+    try:
+        with zipfile.ZipFile(file) as z:
+            for name in z.namelist():
+                if (part := part_of(name)) and wanted(name, part[0]):
+                    content = z.read(name) if data else None
+                    rows.append((path, name, *part, content))
+                    held += len(content or b"")
+                    if held > size:
+                        yield _office_batch(rows)
+                        rows, held = [], 0
+    except zipfile.BadZipFile:
+        if wanted("", "broken"):
+            rows.append((path, None, "broken", 0, None, None))
+    if rows:
+        yield _office_batch(rows)
+
+
+def _office_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OFFICE_SCHEMA, strict=True)], schema=_OFFICE_SCHEMA)
