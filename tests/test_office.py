@@ -84,5 +84,5 @@ def test_a_large_file_has_several_tasks(tmp_path):
     reader = office.OfficeReader({"path": f"{tmp_path}/in/a.pptx", "bytes": "310000"})
     runs = reader.partitions()
     assert len(runs) == 3 and sum(b.num_rows for p in runs for b in reader.read(p)) == 7
-    assert len(office.OfficeReader({"path": f"{tmp_path}/in", "bytes": "310000"}).partitions()) == 4
+    assert len(office.OfficeReader({"path": f"{tmp_path}/in", "bytes": "310000"}).partitions()) == 3
     assert len(office.OfficeReader({"path": f"{tmp_path}/in"}).partitions()) == 1
