@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pageflow.functions import text as t
 from pageflow.operators.pages import marker_counts, parse_pages
+from pageflow.sources.folders import new_folder
 from pageflow.sources.ledger import Ledger
 
 MIB = 1024 * 1024
@@ -280,39 +281,70 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60)
 
 
+def _by_range(log: DataFrame) -> DataFrame:
+    """The log written by ranges of job and time, ``_range`` telling which: a job of very many entries has several."""
+    path = new_folder(log.sparkSession, "log")
+    log.repartitionByRange("job_id", "ts", "event_id").withColumn("_range", F.spark_partition_id()).write.parquet(path)  # ranges are drawn once
+    return log.sparkSession.read.parquet(path)
+
+
+def _carried(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``sums``, one row for each job and range."""
+    named = sums.withColumnsRenamed({"job_id": "_job", "_range": "_r"})
+    return rows.join(named, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("_range") == F.col("_r"))).drop("_job", "_r")
+
+
+def _windows() -> tuple:
+    """Of a job's ranges in order, of those before one, and of the entries within a range."""
+    ranges = Window.partitionBy("job_id").orderBy("_range")
+    return ranges, ranges.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("job_id", "_range").orderBy("ts", "event_id")
+
+
 def progress(log: DataFrame) -> DataFrame:
-    """Add done, total, elapsed_s, mean_s (whole seconds), remaining, eta_s and eta (HH:MM:SS) to a job's log."""
-    every = Window.partitionBy("job_id")
-    order = every.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Add done, total, elapsed_s, mean_s (whole seconds), remaining, eta_s and eta (HH:MM:SS) to a job's log.
+
+    A job's entries are counted by ranges of time, and each range goes on where those before it end, so that no task holds a whole job.
+    """
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    rows = log.withColumn("done", F.count("*").over(order)).withColumn("total", F.count("*").over(every))
-    rows = rows.withColumn("elapsed_s", seconds - F.min(seconds).over(every)).withColumn("remaining", F.col("total") - F.col("done"))
+    dealt, every = _by_range(log), Window.partitionBy("job_id")
+    _, earlier, within = _windows()
+    sums = dealt.groupBy("job_id", "_range").agg(F.count("*").alias("_n"), F.min(seconds).alias("_first"))
+    sums = sums.select("job_id", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("total"), F.min("_first").over(every).alias("_first"))
+    rows = _carried(dealt, sums).withColumn("done", F.col("_before") + F.row_number().over(within))
+    rows = rows.withColumn("elapsed_s", seconds - F.col("_first")).withColumn("remaining", F.col("total") - F.col("done"))
     rows = rows.withColumn("mean_s", F.floor(F.col("elapsed_s") / F.col("done"))).withColumn("eta_s", F.floor(F.col("elapsed_s") * F.col("remaining") / F.col("done")))
-    return rows.withColumn("eta", clock(F.col("eta_s")))
+    return rows.withColumn("eta", clock(F.col("eta_s"))).select(*log.columns, "done", "total", "elapsed_s", "remaining", "mean_s", "eta_s", "eta")
 
 
 def stalled(log: DataFrame, max_wait_s: int, max_idle_s: int, state_counts: bool = False, as_of: Column | None = None, ended: tuple[str, ...] = ()) -> DataFrame:
     """(job_id, waited_s, longest_idle_s, over_wait, over_idle). ``state_counts``: a change of state is progress too.
 
     With ``as_of``, a timestamp, jobs wait until then: the silence after a job's last progress counts, unless its last state is one of
-    ``ended``. Entries after ``as_of`` don't count.
+    ``ended``. Entries after ``as_of`` don't count. A job is followed by ranges of time, each of which starts from the last state and
+    progress of those before it, so that no task holds a whole job.
     """
     if as_of is not None:
         log = log.where(F.col("ts").cast("timestamp") <= as_of)
-    order = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    changed = F.coalesce(F.col("state") != F.lag("state").over(order), F.lit(True))
-    marked = log.withColumn("_s", seconds).withColumn("_p", F.col("ok") | (changed if state_counts else F.lit(False)))
-    moves = marked.withColumn("_last", F.last(F.when(F.col("_p"), F.col("_s")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    first = F.min("_s").over(Window.partitionBy("job_id"))
-    idle = F.col("_s") - F.coalesce("_last", first)
+    ranges, earlier, within = _windows()
+    dealt = _by_range(log).withColumn("_s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    moved = F.col("ok")
+    if state_counts:
+        last = dealt.groupBy("job_id", "_range").agg(F.max_by(F.struct("state"), F.struct("ts", "event_id")).alias("_state"))
+        dealt = _carried(dealt, last.select("job_id", "_range", F.lag("_state").over(ranges).alias("_entry")))
+        dealt = dealt.withColumn("_before", F.coalesce(F.lag(F.struct("state")).over(within), F.col("_entry")))
+        moved = moved | F.coalesce(F.col("state") != F.col("_before.state"), F.lit(True))
+    marked = dealt.withColumn("_p", moved)
+    sums = marked.groupBy("job_id", "_range").agg(F.min("_s").alias("_first"), F.max(F.when(F.col("_p"), F.col("_s"))).alias("_moved"))
+    carried = sums.select("job_id", "_range", F.min("_first").over(Window.partitionBy("job_id")).alias("_first"), F.max("_moved").over(earlier).alias("_moved"))
+    here = F.last(F.when(F.col("_p"), F.col("_s")), True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    moves = _carried(marked, carried).withColumn("_last", F.coalesce(here, "_moved", "_first"))
     waited, longest = F.max("_s") - F.min("_s"), F.max("_idle")
     if as_of is not None:
         now = F.unix_seconds(as_of)
         over = F.coalesce(F.max_by("state", F.struct("ts", "event_id")).isin(*ended), F.lit(False)) if ended else F.lit(False)
         silence = now - F.coalesce(F.max(F.when(F.col("_p"), F.col("_s"))), F.min("_s"))
         waited, longest = F.when(over, waited).otherwise(now - F.min("_s")), F.when(over, longest).otherwise(F.greatest(longest, silence))
-    out = moves.withColumn("_idle", idle).groupBy("job_id").agg(waited.alias("waited_s"), longest.alias("longest_idle_s"))
+    out = moves.withColumn("_idle", F.col("_s") - F.col("_last")).groupBy("job_id").agg(waited.alias("waited_s"), longest.alias("longest_idle_s"))
     return out.withColumn("over_wait", F.col("waited_s") > max_wait_s).withColumn("over_idle", F.col("longest_idle_s") > max_idle_s)
 
 

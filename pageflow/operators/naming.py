@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageflow.functions import text as t
 from pageflow.operators.pages import head_tail, parse_pages, render_pages
-from pageflow.sources.io import new_folder
+from pageflow.sources.folders import new_folder
 
 #: The document types that a decision may name, and what stands for no title.
 TYPES = ["図書", "記事", "ちらし", "パンフレット", "書簡", "証憑", "帳票", "契約", "法務", "会議資料", "報告資料", "その他"]

@@ -95,11 +95,10 @@ def flag_blank(pages: DataFrame, threshold: int = 10) -> DataFrame:
 def renumber(pages: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Number pages from 1 in their order; ``old_page`` keeps the number, the marker's status stays."""
     order = Window.partitionBy(*by).orderBy("pos")
-    # Only the first marker is rewritten: what stands before it, and the rest, are put back as they are.
-    begin = r"(?s)^(.*?### -- Begin Page )\d+((?-s:.*?) --.*)\z"
+    # Only the first marker is rewritten: what stands before and behind its number is put back as it is, all in one pass.
+    begin = r"(?s)^(?<before>.*?### -- Begin Page )\d+(?<after>(?-s:.*?) --)"
     made = pages.withColumn("old_page", F.col("page_num")).withColumn("page_num", F.row_number().over(order))
-    piece = lambda i: F.regexp_extract("content", begin, i)
-    return made.withColumn("content", F.when(F.col("content").rlike(begin), F.concat(piece(1), F.col("page_num").cast("string"), piece(2))).otherwise(F.col("content")))
+    return made.withColumn("content", F.regexp_replace("content", F.lit(begin), F.concat(F.lit("${before}"), F.col("page_num").cast("string"), F.lit("${after}"))))
 
 
 def remove_blank(docs: DataFrame, threshold: int = 10, keep_errors: bool = False) -> DataFrame:
@@ -194,3 +193,45 @@ def outline(pages: DataFrame) -> DataFrame:
         kind = F.when(F.col("heading").rlike(pattern), name).otherwise(kind)
     lines = pages.select("doc_id", "page_num", F.posexplode(F.split(t.body_of(F.col("content")), "\n")).alias("line_no", "heading"))
     return lines.withColumn("level", kind).where(F.col("level").isNotNull()).select("doc_id", "page_num", "line_no", "level", "heading")
+
+
+#: Ranks of headings: a heading's parent has a smaller one.
+LEVELS = ["article", "number", "paren", "kana", "paren_kana", "letter", "paren_letter"]
+
+
+def heading_parents(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, line_no, level, heading, parent_page, parent_line): headings with the last heading of higher rank before them, if any.
+
+    Pages are taken in the order of ``pos``; layout blocks are no headings, see ``block_spans``.
+    """
+    found = outline(pages.select(F.struct("doc_id", "pos").alias("doc_id"), "page_num", "content")).where(F.col("level") != "block")
+    rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level"))
+    rows = found.select("doc_id.doc_id", "doc_id.pos", "page_num", "line_no", "level", "heading", rank.alias("_rank"))
+    before = Window.partitionBy("doc_id").orderBy("pos", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("page_num", "line_no")
+    above = F.array(*[F.last(F.when(F.col("_rank") < k, place), True).over(before) for k in range(1, len(LEVELS) + 1)])
+    parents = rows.withColumn("_above", above).withColumn("_p", F.get("_above", (F.col("_rank") - 1).cast("int")))
+    return parents.select("doc_id", "page_num", "line_no", "level", "heading", F.col("_p.page_num").alias("parent_page"), F.col("_p.line_no").alias("parent_line"))
+
+
+def block_spans(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, kind, open_line, close_line, depth) of layout blocks, from ``### --kind`` to ``### --``, lines of a page's body from 0.
+
+    Blocks may be nested, ``depth`` from 1. A block that the page doesn't close has a null close_line; a ``### --`` that closes nothing is
+    passed over, as are lines like ``### -- title --``.
+    """
+    lines = pages.select("doc_id", "pos", "page_num", F.posexplode(F.split(t.body_of(F.col("content")), "\n")).alias("line_no", "line"))
+    kind = F.regexp_extract("line", rf"^### --((?!{t.WS}|-).*?){t.WS}*\z", 1)
+    step = F.when(kind != "", 1).when(F.col("line").rlike(rf"^### --{t.WS}*\z"), -1)
+    marks = lines.where(F.col("line").startswith("### --")).select("doc_id", "pos", "page_num", "line_no", kind.alias("kind"), step.alias("step")).where(F.col("step").isNotNull())
+    page = Window.partitionBy("doc_id", "pos").orderBy("line_no")
+    upto = page.rowsBetween(Window.unboundedPreceding, 0)
+    summed = marks.withColumn("_sum", F.sum("step").over(upto))
+    # Closing marks that close nothing lower the sum below all before; counted from that least sum, the depth never falls below 0.
+    deep = summed.withColumn("_after", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(upto)))
+    before = F.coalesce(F.lag("_after").over(page), F.lit(0))
+    level = deep.withColumn("depth", F.when(F.col("step") > 0, F.col("_after")).otherwise(before)).where(F.col("depth") > 0)
+    # Opening and closing marks of one depth alternate: what follows an opening one is its own.
+    following = F.lead(F.when(F.col("step") < 0, F.col("line_no"))).over(Window.partitionBy("doc_id", "pos", "depth").orderBy("line_no"))
+    spans = level.withColumn("close_line", following).where(F.col("step") > 0)
+    return spans.select("doc_id", "page_num", "kind", F.col("line_no").alias("open_line"), "close_line", F.col("depth").cast("int").alias("depth"))

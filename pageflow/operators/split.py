@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageflow.operators.intervals import in_ranges, union
 from pageflow.operators.pages import renumber
 
 
 def split_docs(pages: DataFrame, defs: DataFrame) -> DataFrame:
     """Pages of each entry, numbered from 1: (doc_id, entry_no, filename, pos, old_page, page_num, content).
 
-    The document is the join's key and the range a further condition. Overlapping entries repeat pages; entries
-    without pages give none (see ``split_missing``).
+    Pages meet entries in blocks of page numbers, so a document of very many pages and entries has many tasks. Overlapping
+    entries repeat pages; entries without pages give none (see ``split_missing``). A document's ``pos`` are distinct.
     """
-    p, d = pages.alias("p"), defs.alias("d")
-    on = (F.col("p.doc_id") == F.col("d.doc_id")) & F.col("p.page_num").between(F.col("d.start_page"), F.col("d.end_page"))
-    joined = p.join(d, on).select("p.doc_id", "d.entry_no", "d.filename", "p.pos", "p.page_num", "p.content")
-    return renumber(joined, ("doc_id", "entry_no"))
-
-
-def _pages_of(defs: DataFrame) -> DataFrame:
-    return defs.where(F.col("start_page") <= F.col("end_page")).select("doc_id", "entry_no", F.explode(F.sequence("start_page", "end_page")).alias("page_num"))
+    entries = defs.select("doc_id", "entry_no", "filename", "start_page", "end_page")
+    joined = in_ranges(pages.select("doc_id", "pos", "page_num", "content"), entries, "doc_id", "page_num", "start_page", "end_page", ["pos"])
+    return renumber(joined.select("doc_id", "entry_no", "filename", "pos", "page_num", "content"), ("doc_id", "entry_no"))
 
 
 def split_gaps(pages: DataFrame, defs: DataFrame) -> DataFrame:
@@ -31,9 +27,7 @@ def split_gaps(pages: DataFrame, defs: DataFrame) -> DataFrame:
     Entries whose start is after their end name nothing.
     """
     asked = defs.where(F.col("start_page") <= F.col("end_page")).select("doc_id", "entry_no", "start_page", "end_page")
-    p, d = pages.select("doc_id", "page_num").distinct().alias("p"), asked.alias("d")
-    on = (F.col("p.doc_id") == F.col("d.doc_id")) & F.col("p.page_num").between(F.col("d.start_page"), F.col("d.end_page"))
-    held = d.join(p, on).select("d.doc_id", "d.entry_no", "p.page_num", "d.end_page")
+    held = in_ranges(pages.select("doc_id", "page_num").distinct(), asked, "doc_id", "page_num", "start_page", "end_page", ["page_num"]).select("doc_id", "entry_no", "page_num", "end_page")
     # What bounds the entry stands one before its start; what follows its last page is one past its end.
     low = asked.select("doc_id", "entry_no", (F.col("start_page").cast("long") - 1).alias("page_num"), "end_page")
     order = Window.partitionBy("doc_id", "entry_no").orderBy("page_num")
@@ -49,10 +43,15 @@ def split_missing(pages: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def split_uncovered(pages: DataFrame, defs: DataFrame) -> DataFrame:
-    """(doc_id, page_num) of the pages in no entry."""
-    p, d = pages.select("doc_id", "page_num").distinct().alias("p"), defs.alias("d")
-    on = (F.col("p.doc_id") == F.col("d.doc_id")) & F.col("p.page_num").between(F.col("d.start_page"), F.col("d.end_page"))
-    return p.join(d, on, "left_anti")
+    """(doc_id, page_num) of the pages in no entry: those after the end of the last of the entries' united ranges that starts before them."""
+    ranges = union(defs, "doc_id", "start_page", "end_page")
+    none = F.lit(None)
+    numbers = pages.select("doc_id", F.col("page_num").cast("long").alias("n"), "page_num", none.cast("long").alias("end_page")).distinct()
+    both = numbers.unionByName(ranges.select("doc_id", F.col("start_page").alias("n"), none.cast("int").alias("page_num"), "end_page"))
+    # At one number a range comes before a page.
+    order = Window.partitionBy("doc_id").orderBy("n", F.asc_nulls_first("page_num")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = both.withColumn("_end", F.last("end_page", True).over(order)).where(F.col("end_page").isNull())
+    return reached.where(F.col("n").isNull() | F.col("_end").isNull() | (F.col("n") > F.col("_end"))).select("doc_id", "page_num")
 
 
 def split_manifest(defs: DataFrame, page_counts: DataFrame) -> DataFrame:
@@ -64,8 +63,9 @@ def split_manifest(defs: DataFrame, page_counts: DataFrame) -> DataFrame:
 
 
 def coverage(defs: DataFrame) -> DataFrame:
-    """(doc_id, covered): distinct pages that entries cover."""
-    return _pages_of(defs).groupBy("doc_id").agg(F.countDistinct("page_num").alias("covered"))
+    """(doc_id, covered): distinct pages that entries cover, by the union of their ranges."""
+    ranges = union(defs, "doc_id", "start_page", "end_page")
+    return ranges.groupBy("doc_id").agg(F.sum(F.col("end_page") - F.col("start_page") + 1).alias("covered"))
 
 
 def pending_pages(target: DataFrame, done: DataFrame) -> DataFrame:

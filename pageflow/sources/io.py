@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.operators.batch import normalize_results
+from pageflow.sources.folders import new_folder, shared_dir  # noqa: F401
 from pageflow.sources.table import Table
 
 #: File kinds and media types by extension. A ``.gif`` has a media type but is no input.
@@ -25,20 +24,6 @@ MEDIA = {
 }
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where it is unset, as in tests, a new temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def read_paged(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of a folder's paged Markdown: ``*_paged.md`` if there are any, else ``*.md``; never merged ones. Not recursive."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), F.col("value").alias("content"))

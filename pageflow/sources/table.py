@@ -1,6 +1,6 @@
-"""Tables of versioned buckets: a commit replaces some buckets for all readers at once, or changes nothing.
+"""Tables of versioned buckets: a commit replaces or extends some buckets for all readers at once, or changes nothing.
 
-Rows lie in ``data/<version>/bucket=<n>``, by a hash of their key. A manifest names the folder of each bucket; a commit writes new folders
+Rows lie in ``data/<version>/_bucket=<n>``, by a hash of their key. A manifest names the folders of each bucket; a commit writes new folders
 beside the old ones and then the next manifest, as one mark. Files that a manifest names are never changed, so a reader that has
 begun goes on with its own version, and a writer that dies leaves the table as it was.
 """
@@ -32,7 +32,7 @@ class Table:
         self.buckets = self.manifest().get("of", buckets)
 
     def manifest(self) -> dict:
-        """What the table is made of: number, schema, buckets (number -> folder below the table's), and tags."""
+        """What the table is made of: number, schema, buckets (number -> folders below the table's), and tags."""
         names = self.ledger.names()
         return self.ledger.get(names[-1]) if names else {"number": 0, "schema": None, "buckets": {}, "tags": {}}
 
@@ -45,9 +45,13 @@ class Table:
         if known["schema"] is None:
             return None
         schema = StructType.fromJson(known["schema"])
-        paths = [f"{self.folder}/{path}" for b, path in known["buckets"].items() if only is None or int(b) in only]
+        paths = [f"{self.folder}/{path}" for b, folders in known["buckets"].items() if only is None or int(b) in only for path in folders]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def touched(self, new: DataFrame) -> set[int]:
+        """Numbers of the buckets that rows fall into: a row a bucket comes to the driver at most."""
+        return {r[0] for r in new.select(self.bucket().alias("b")).distinct().collect()}
+
     def commit(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, tags: dict | None = None, attempts: int = 3) -> int:
         """Put ``new`` into the table; the number of the manifest that has it.
 
@@ -56,17 +60,38 @@ class Table:
         done again on what that one left. ``tags`` are kept in the manifest until a later commit replaces them.
         """
         merge = merge or self._replaced
-        for _ in range(attempts):
-            known = self.manifest()
-            touched = {r[0] for r in new.select(self.bucket().alias("b")).distinct().collect()}  # a row a bucket at most
+
+        def change(known: dict) -> tuple[dict, DataFrame | None]:
+            touched = self.touched(new)
             old = self.read(touched, known)
             rows = new if old is None else merge(old.select(*new.columns), new)
+            return {str(b): [] for b in touched}, rows if touched else None
+
+        return self._put(change, new, tags, attempts)
+
+    def append(self, new: DataFrame, tags: dict | None = None, most: int = 16, attempts: int = 3) -> int:
+        """Add rows without reading any; the number of the manifest that has them. A bucket of more than ``most`` folders is put together into one."""
+
+        def change(known: dict) -> tuple[dict, DataFrame | None]:
+            touched = self.touched(new)
+            held = {str(b): known["buckets"].get(str(b), []) for b in touched}
+            full = {int(b) for b, folders in held.items() if len(folders) >= most}
+            rows = new if not full else new.unionByName(self.read(full, known).select(*new.columns))
+            return {b: [] if int(b) in full else folders for b, folders in held.items()}, rows if touched else None
+
+        return self._put(change, new, tags, attempts)
+
+    def _put(self, change: Callable[[dict], tuple[dict, DataFrame | None]], new: DataFrame, tags: dict | None, attempts: int) -> int:
+        """Write the rows of a change, then the manifest in which each changed bucket has its folders that stay and the new one."""
+        for _ in range(attempts):
+            known = self.manifest()
+            stay, rows = change(known)
             version = f"data/{uuid.uuid4().hex}"
-            if touched:
+            if rows is not None:
                 rows.withColumn("_bucket", self.bucket()).write.partitionBy("_bucket").parquet(f"{self.folder}/{version}")
             after = {
                 "number": known["number"] + 1, "of": self.buckets, "keys": self.keys, "schema": new.schema.jsonValue(), "at": time.time(),
-                "buckets": known["buckets"] | {str(b): f"{version}/_bucket={b}" for b in sorted(touched)}, "tags": known["tags"] | (tags or {}),
+                "buckets": known["buckets"] | {b: [*folders, f"{version}/_bucket={b}"] for b, folders in stay.items()}, "tags": known["tags"] | (tags or {}),
             }
             if self.ledger.put(f"{after['number']:012}.json", after):
                 return after["number"]
@@ -86,7 +111,7 @@ class Table:
         names = self.ledger.names()
         for name in names[:-keep]:
             delete(self.spark, f"{self.ledger.folder}/{name}")
-        named = {path for name in names[-keep:] for path in self.ledger.get(name)["buckets"].values()}
+        named = {path for name in names[-keep:] for folders in self.ledger.get(name)["buckets"].values() for path in folders}
         data, gone = Ledger(self.spark, f"{self.folder}/data"), 0
         for version in data.names():
             if not any(path.startswith(f"data/{version}/") for path in named):
