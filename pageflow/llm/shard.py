@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pageflow.llm.common import cut, running_total
 
-#: Bits of a dimension's value and of the hash that orders equal values; histogram bins of a refinement.
-VALUE_BITS, TIE_BITS, BINS = 20, 20, 4096
+#: Bits of a dimension's value, of what orders equal values, and of these those that part equal rows; histogram bins of a refinement.
+VALUE_BITS, TIE_BITS, COPY_BITS, BINS = 20, 40, 20, 4096
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -24,7 +24,7 @@ def document_size(text: Column) -> Column:
 
 
 def _keys(docs: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Add ``_keys``: for each dimension its value, scaled to VALUE_BITS, followed by TIE_BITS of a row hash.
+    """Add ``_keys``: for each dimension its value, scaled to VALUE_BITS, followed by TIE_BITS: a hash of doc_id and text, then one of the row's place.
 
     Numbers are scaled between the table's least and largest (nulls and NaN lowest), other values by their hash.
     """
@@ -44,7 +44,9 @@ def _keys(docs: DataFrame, dimensions: list[str]) -> DataFrame:
                 values.append(F.coalesce(F.least(F.floor((as_number(d) - low) / (high - low) * (top - 1)), F.lit(top - 1)), F.lit(0)))
         else:
             values.append(F.when(F.col(d).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(d).cast("string")), F.lit(top))))
-    tie = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << TIE_BITS))
+    hashed = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << (TIE_BITS - COPY_BITS)))
+    # Only rows that are equal in all else are told apart by their places, and any of them may go anywhere.
+    tie = hashed * (1 << COPY_BITS) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << COPY_BITS))
     return docs.withColumn("_keys", F.array(*[(v.cast("long") * (1 << TIE_BITS) + tie).cast("long") for v in values]))
 
 
@@ -64,7 +66,7 @@ def _quantiles(rows: DataFrame, nodes: dict[int, dict]) -> dict[int, int]:
         table = [(n, x["dim"], x["lo"], x["hi"], max(1, -(-(x["hi"] - x["lo"] + 1) // BINS)), float(x["want"] - x["base"])) for n, x in open_.items()]
         inside = rows.join(_small(rows, table, "node int, dim int, lo long, hi long, step long, want double"), "node")
         inside = inside.withColumn("_key", F.get("_keys", F.col("dim"))).where(F.col("_key").between(F.col("lo"), F.col("hi")))
-        bins = inside.groupBy("node", "want", F.floor((F.col("_key") - F.col("lo")) / F.col("step")).alias("bin")).agg(F.sum("size").alias("w"))
+        bins = inside.groupBy("node", "want", F.call_function("div", F.col("_key") - F.col("lo"), F.col("step")).alias("bin")).agg(F.sum("size").alias("w"))
         order = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         crossed = bins.withColumn("upto", F.sum("w").over(order)).where(F.col("upto") >= F.col("want"))
         first = crossed.groupBy("node").agg(F.min_by(F.struct("bin", "w", "upto"), "bin").alias("x")).select("node", "x.*").collect()
@@ -92,8 +94,8 @@ def kd_tree(docs: DataFrame, shards: int | None = None, target_bytes: int | None
     """``docs`` with ``size`` and ``shard``, from 0: as many shards as given, or enough for ``target_bytes`` each.
 
     ``docs`` needs doc_id and text; dimensions that it lacks are left out. Any column may hold nulls: they come
-    lowest. Equal values are parted by a hash of the row, so that a value that most rows share doesn't make a
-    shard too large; rows equal in doc_id and text stay together. Texts are never shuffled. Empty tables give
+    lowest. Equal values are parted by a hash of the row, and equal rows by their places in the input, so that neither a value that most rows
+    share nor a row that is there very often makes a shard too large. Texts are never shuffled. Empty tables give
     empty tables, and there may be empty shards where rows are few. Columns named ``size`` and ``shard`` are replaced.
     """
     if (shards is None) == (target_bytes is None) or (shards or target_bytes) < 1:

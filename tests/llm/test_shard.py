@@ -76,3 +76,13 @@ def test_very_long_texts_and_clashing_columns(spark):
     docs = spark.createDataFrame([(i, "y" * (2_000_000 if i == 7 else 10), "own", "own") for i in range(40)], "doc_id long, text string, size string, node string")
     out = shard.kd_tree(docs, shards=4).collect()
     assert len(out) == 40 and {r["shard"] for r in out if r["doc_id"] != 7} <= set(range(4)) and sum(r["size"] for r in out) == 2_000_000 + 390 + 320
+
+
+def test_a_row_that_is_there_very_often(spark):
+    """960 equal rows and 480 others in 24 shards: each within a row of the others."""
+    docs = spark.createDataFrame([(None, "z" * 12, "s", "en")] * 960 + [(i, "z" * 12, f"s{i % 5}", "en") for i in range(480)], "doc_id long, text string, source string, lang string").repartition(5)
+    weight = Counter()
+    for r in shard.kd_tree(docs, shards=24).collect():
+        weight[r["shard"]] += r["size"]
+    assert sum(weight.values()) == 1440 * 20 and set(weight) == set(range(24))
+    assert max(weight.values()) - min(weight.values()) <= 3 * 20
