@@ -161,7 +161,7 @@ def _merge_counts(model: str, buckets: int):
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         keys, counts = _gathered(table, 1)
         write_arrays(model, kind, bucket, keys, counts)
-        rows = [[f"{kind}-total", 0, *[None] * 5, _tally(counts)]]
+        rows = [[f"{kind}-total", bucket, *[None] * 5, _tally(counts)]]
         if kind == "pair":
             plain = unmixed(keys)
             one = np.ones(len(keys), dtype=np.int64)
@@ -178,7 +178,7 @@ def _merge_parts(model: str):
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         keys, *columns = _gathered(table, 4 if kind == "context" else 1)
         write_arrays(model, kind, bucket, keys, *columns)
-        return pa.Table.from_batches([record([[f"{kind}-total", 0, *[None] * 5, _tally(columns[0])]])])
+        return pa.Table.from_batches([record([[f"{kind}-total", bucket, *[None] * 5, _tally(columns[0])]])])
 
     return run
 
@@ -212,8 +212,8 @@ def write_arrays(model: str, kind: str, bucket: int, keys: np.ndarray, *columns:
 class Arrays:
     """A model's sorted arrays, mapped when a bucket is first used. Other stores are copied beside the worker."""
 
-    def __init__(self, model: str, buckets: int):
-        self.model, self.buckets, self.open, self.folder = model, buckets, {}, _place(model)
+    def __init__(self, model: str, buckets: int, present: dict[str, np.ndarray]):
+        self.model, self.buckets, self.present, self.open, self.folder = model, buckets, present, {}, _place(model)
         if self.folder is None:
             self.folder = tempfile.mkdtemp(prefix="lm-")
             atexit.register(shutil.rmtree, self.folder, ignore_errors=True)
@@ -235,7 +235,13 @@ class Arrays:
     def _bucket(self, kind: str, bucket: int, columns: int) -> list[np.ndarray]:
         if (kind, bucket) not in self.open:
             keys = self._array(kind, bucket, 0, (np.uint64,))
-            self.open[kind, bucket] = [keys, *[self._array(kind, bucket, i, (np.uint32, np.int64, len(keys))) for i in range(1, columns + 1)]]
+            held = self.present.get(kind)
+            if not len(keys) and held is not None and bucket >> 6 < len(held) and int(held[bucket >> 6]) >> (bucket & 63) & 1:
+                raise FileNotFoundError(f"{self.model}/{kind}-{bucket}-0 is missing: a model's folder must be shared by all workers, and whole")
+            values = [self._array(kind, bucket, i, (np.uint32, np.int64, len(keys))) for i in range(1, columns + 1)]
+            if any(len(v) != len(keys) for v in values):
+                raise FileNotFoundError(f"{self.model}/{kind}-{bucket}-*: arrays are missing or cut short")
+            self.open[kind, bucket] = [keys, *values]
         return self.open[kind, bucket]
 
     def find(self, kind: str, keys: np.ndarray, columns: int = 1) -> list[np.ndarray]:
@@ -263,10 +269,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Model:
-    """A fitted model: the folder of its arrays and the totals that scoring needs."""
+    """A fitted model: the folder of its arrays, the totals that scoring needs, and a bit for each bucket of a kind that has an array."""
 
-    def __init__(self, folder: str, buckets: int, totals: dict[str, list[int]]):
-        self.folder, self.buckets, self.totals = folder, buckets, totals
+    def __init__(self, folder: str, buckets: int, totals: dict[str, list[int]], present: dict[str, np.ndarray]):
+        self.folder, self.buckets, self.totals, self.present = folder, buckets, totals, present
 
     def scores(self, arrays: Arrays, tokens: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Count, add-one log10 and model log10 probability of each token."""
@@ -301,10 +307,15 @@ def fit(texts: DataFrame) -> Model:
     counted = texts.select("text").mapInArrow(_count(buckets), SCHEMA)
     merged = stored(counted.groupBy("kind", "bucket").applyInArrow(_merge_counts(folder, buckets), SCHEMA), "lm-parts")
     parts = merged.where(F.col("kind").isin("context", "ending")).groupBy("kind", "bucket").applyInArrow(_merge_parts(folder), SCHEMA)
-    last = stored(parts.select("kind", "totals"), "lm-totals")
-    every = merged.where(F.col("totals").isNotNull()).select("kind", "totals").unionByName(last)
+    last = stored(parts.select("kind", "bucket", "totals"), "lm-totals")
+    every = merged.where(F.col("totals").isNotNull()).select("kind", "bucket", "totals").unionByName(last)
     sums = every.groupBy("kind").agg(F.array(*[F.sum(F.col("totals")[i]) for i in range(7)]).alias("totals")).collect()  # a row a kind
-    return Model(folder, buckets, {r["kind"].removesuffix("-total"): list(r["totals"]) for r in sums})
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bucket") % 64).cast("int"))
+    words = every.groupBy("kind", F.floor(F.col("bucket") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # a row for 64 buckets
+    present = {r["kind"]: np.zeros(buckets // 64 + 1, dtype=np.uint64) for r in words}
+    for r in words:
+        present[r["kind"]][r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    return Model(folder, buckets, {r["kind"].removesuffix("-total"): list(r["totals"]) for r in sums}, {k.removesuffix("-total"): v for k, v in present.items()})
 
 
 def score(docs: DataFrame, model: Model, chunk: int = 500_000) -> DataFrame:
@@ -321,7 +332,7 @@ def score(docs: DataFrame, model: Model, chunk: int = 500_000) -> DataFrame:
     train = model.totals.get("word", [0] * 7)[5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, arrays = Hasher(), Arrays(model.folder, model.buckets)
+        hasher, arrays = Hasher(), Arrays(model.folder, model.buckets, model.present)
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
             held: list[np.ndarray] = []

@@ -73,3 +73,20 @@ def test_packing():
     assert (lm.unpack(lm.pack(keys)) == keys).all() and (lm.unmixed(lm.mixed(keys)) == keys).all()
     other = rng.integers(0, 9, 50).astype(np.uint64)
     assert (lm.unpack(lm.pack(other)) == other).all() and len(lm.unpack(lm.pack(keys[:0]))) == 0
+
+
+def test_a_missing_array_is_an_error(spark):
+    """Rather than words that nobody knows."""
+    import os
+
+    docs = spark.createDataFrame([(i, f"some words {i} and more {i % 7}") for i in range(300)], "doc_id long, text string")
+    model = lm.fit(docs)
+    folder = model.folder.removeprefix("file://")
+    lost = next(f for f in sorted(os.listdir(folder)) if f.startswith("pair-") and f.endswith("-0"))
+    os.rename(f"{folder}/{lost}", f"{folder}/.{lost}")
+    with pytest.raises(Exception, match="is missing"):
+        lm.score(docs, model).collect()
+    os.rename(f"{folder}/.{lost}", f"{folder}/{lost}")
+    os.truncate(f"{folder}/{lost[:-1]}1", 0)
+    with pytest.raises(Exception, match="missing or cut short"):
+        lm.score(docs, model).collect()
