@@ -59,3 +59,11 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert {t for _, t, _ in got["language"]} <= {t for _, t in rows if t and t.strip()}
     assert all(s.startswith("own") for name in got for _, _, s in got[name])
     assert sum(len(mix.word_starts(t)) for _, t, _ in got["mixing"]) > 0
+
+
+def test_the_same_of_repeated_rows_stays_in_every_run(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, "en", s) for s in "abcdefgh"] + [(2, words, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {tuple(map(tuple, corpus_pipeline.near_duplicates(spark, docs.repartition(n, "source"), str(tmp_path)).collect())) for n in (1, 3, 8)}
+    assert len(found) == 1 and len(next(iter(found))) == 1
