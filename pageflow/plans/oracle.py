@@ -195,13 +195,14 @@ ORACLE = {
     "rename_plan": f"""WITH {OUTPUTS}, pairs AS (SELECT doc_id, path, base, '/out/' || (doc_id % 50) AS t FROM files WHERE doc_id % 4 <> 0),
         x AS (SELECT path AS source, t || '.pdf' AS target FROM pairs UNION ALL
           SELECT base || s, t || s FROM pairs, (SELECT unnest(['_paged.md', '_ERROR_paged.md', '_merged.md', '_ERROR_merged.md']) AS s) WHERE base || s IN (SELECT path FROM outs))
-        SELECT source, target, count(*) OVER (PARTITION BY target) > 1 AS clash FROM x""",
+        SELECT source, target, count(*) OVER (PARTITION BY target) > 1 OR (target LIKE '%.pdf' AND regexp_extract(target, '[0-9]+')::INTEGER % 5 = 0) OR (target LIKE '%_merged.md' AND target NOT LIKE '%ERROR%' AND regexp_extract(target, '[0-9]+')::INTEGER % 7 = 0) AS clash FROM x""",
     "classify_inputs": f"WITH {FILES}, e AS (SELECT doc_id, path, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS x FROM files) SELECT doc_id, path, coalesce(list_extract(element_at(map {{{', '.join(f'{k!r}: {v!r}' for k, v in KINDS.items())}}}, x), 1), 'unsupported') AS kind, list_extract(element_at(map {{{', '.join(f'{k!r}: {v!r}' for k, v in MEDIA.items())}}}, x), 1) AS media_type FROM e",
     "pending_inputs": f"WITH {FILES} SELECT doc_id, path FROM files WHERE doc_id % 2 <> 0",
     "merged_path": f"WITH {OUTPUTS}, a AS (SELECT path FROM files UNION ALL SELECT path FROM outs) SELECT path, CASE WHEN path LIKE '%\\_paged.md' ESCAPE '\\' THEN path[:-10] || '_merged.md' ELSE regexp_replace(path, '(\\.[^./]*)$', '_merged\\1') END AS merged FROM a",
     "check_split_defs": f"""WITH {DEFS}, x AS (SELECT d, e, CASE WHEN d % 10 = 0 AND e = 1 THEN 'FIELD_MISSING' WHEN d % 10 = 1 AND e = 0 THEN 'NOT_A_NUMBER' WHEN d % 10 = 2 AND e = 0 THEN 'START_AFTER_END' END AS r FROM defs)
         SELECT d AS set_id, e AS entry_no, coalesce(r, CASE WHEN bool_or(r IS NOT NULL) OVER (PARTITION BY d) THEN 'SET_REFUSED' ELSE 'VALID' END) AS reason FROM x""",
-    "request_lines": f"""WITH {BATCHES} SELECT '{{"key":"request-' || b || '","request":{{"n":' || n || '}}}}' AS value, count(*) AS n FROM batches GROUP BY b, batches.n""",
+    "request_lines": f"""WITH {BATCHES}, t AS (SELECT d, b, string_agg({NL} || '### -- Begin Page ' || (i + 1) || ' --' || {NL} || coalesce(nullif(raw, ''), '[未検出]') || {NL} || '### -- End --' || {NL}, '' ORDER BY i) AS t FROM inb GROUP BY d, b)
+        SELECT 'request-' || b AS key, 'Say "yes".' || {NL} || 'Then stop.' AS instruction, md5(t) AS text_md5, false AS broken, count(*) AS n FROM t GROUP BY ALL""",
     "candidate_paths": f"WITH {FILES} SELECT doc_id, concat_ws(',', path, base || '_paged.md', base || '_ERROR_paged.md', base || '_merged.md', base || '_ERROR_merged.md') AS candidates FROM files",
     "order_pages": f"WITH {FAULTY} SELECT d AS doc_id, pos, p AS page_num, row_number() OVER (PARTITION BY d ORDER BY p, pos) AS place FROM pages",
     "infer_valid": f"""WITH {BATCHES}, t AS (SELECT d, b, string_agg({NL} || '### -- Begin Page ' || (i + 1) || ' --' || {NL} || coalesce(nullif(raw, ''), '[未検出]') || {NL} || CASE WHEN i = 0 AND (d + b) % 23 = 0 THEN '' ELSE '### -- End --' END || {NL}, '' ORDER BY i) AS t FROM inb GROUP BY d, b)
@@ -209,4 +210,28 @@ ORACLE = {
     "infer": f"""WITH {BATCHES}, t AS (SELECT d, b, string_agg({NL} || '### -- Begin Page ' || (i + 1) || ' --' || {NL} || coalesce(nullif(raw, ''), '[未検出]') || {NL} || '### -- End --' || {NL}, '' ORDER BY i) AS t FROM inb GROUP BY d, b),
         r AS (SELECT d, b, (d + b) % 19 = 0 AS bad, CASE WHEN (d + b) % 19 <> 0 THEN array_to_string(list_reverse(regexp_extract_all(t, '(?s).')), '') END AS t FROM t)
         SELECT d AS doc_id, b AS batch_no, CASE WHEN bad THEN 'unavailable' END AS error, CASE WHEN bad THEN 2 ELSE 1 END::BIGINT AS round, {md('t', 'text')} FROM r""",
+    "resumable_sets": f"""WITH {BATCHES}, t AS (SELECT d, b, string_agg({NL} || '### -- Begin Page ' || (i + 1) || ' --' || {NL} || coalesce(nullif(raw, ''), '[未検出]') || {NL} || '### -- End --' || {NL}, '' ORDER BY i) AS t FROM inb GROUP BY d, b),
+        s AS (SELECT d, b, ps, t FROM t JOIN batches USING (d, b)),
+        n AS (SELECT d, CASE WHEN d % 5 = 0 AND b = 1 THEN ps || '+' ELSE ps END AS ps, CASE WHEN d % 5 = 1 AND b = 1 THEN t || '!' ELSE t END AS t FROM s WHERE NOT (d % 5 = 2 AND b = 1)),
+        ls AS (SELECT d, list_sort(list(ps || '#' || t)) AS l FROM s GROUP BY d), ln AS (SELECT d, list_sort(list(ps || '#' || t)) AS l FROM n GROUP BY d),
+        x AS (SELECT ls.d, CASE WHEN ls.d % 7 = 0 THEN 'failed' ELSE 'running' END AS state, len(ls.l) = coalesce(len(ln.l), 0) AS c, ls.l = coalesce(ln.l, []) AS e FROM ls LEFT JOIN ln USING (d))
+        SELECT d AS job_id, state, e AND state <> 'failed' AS resumable, c AS count_matches, e AS set_matches FROM x""",
+    "split_far": f"""WITH {DEFS}, every AS (SELECT * FROM defs UNION ALL SELECT d, -1, 3, 2000000000 FROM counts WHERE d % 3 = 0),
+        pg AS (SELECT d, unnest(range(1, n + 1)) AS p FROM counts),
+        held AS (SELECT d, e, row_number() OVER (PARTITION BY d, e ORDER BY p) AS r FROM pg JOIN every USING (d) WHERE p BETWEEN lo AND hi),
+        h AS (SELECT d, count(*) AS n, sum(r)::BIGINT AS numbers FROM held GROUP BY d),
+        free AS (SELECT d, count(*) AS u FROM pg WHERE NOT EXISTS (SELECT 1 FROM every WHERE every.d = pg.d AND pg.p BETWEEN lo AND hi) GROUP BY d),
+        w AS (SELECT d, unnest(range(lo, hi + 1)) AS p FROM defs), near AS (SELECT d, count(DISTINCT p) AS c, count(DISTINCT p) FILTER (p < 3) AS c2 FROM w GROUP BY d)
+        SELECT d AS doc_id, CASE WHEN d % 3 = 0 THEN c2 + 1999999998 ELSE c END AS covered, coalesce(h.n, 0) AS n, coalesce(numbers, 0) AS numbers, coalesce(u, 0) AS uncovered
+        FROM near LEFT JOIN h USING (d) LEFT JOIN free USING (d)""",
+    "block_spans": f"""WITH {LINES} SELECT d AS doc_id, p AS page_num, '右' AS kind, 0::BIGINT AS open_line, 5::BIGINT AS close_line, 1::BIGINT AS depth FROM lines WHERE p % 5 = 0 UNION ALL SELECT d, p, '左', 2, 4, 2 FROM lines WHERE p % 5 = 0
+        UNION ALL SELECT d, p, '左', 0, NULL, 1 FROM lines WHERE p % 5 = 1 UNION ALL SELECT d, p, '中', 1, 3, 1 FROM lines WHERE p % 5 = 2""",
+    "heading_parents": f"""WITH {LINES}, h AS (SELECT d, p, ([1, 2, 3, 6])[p % 5 + 1] AS k, (['article', 'number', 'paren', 'letter'])[p % 5 + 1] AS level, CASE p % 5 WHEN 0 THEN '第' || p || ' 章' WHEN 1 THEN '1 one' WHEN 2 THEN '(' || p || ') x' ELSE 'a b' END AS t FROM lines WHERE p % 5 <> 4)
+        SELECT d AS doc_id, p AS page_num, 0::BIGINT AS line_no, level, t AS heading, pp AS parent_page, CASE WHEN pp IS NOT NULL THEN 0::BIGINT END AS parent_line
+        FROM (SELECT h.*, (SELECT max(g.p) FROM h g WHERE g.d = h.d AND g.p < h.p AND g.k < h.k) AS pp FROM h)""",
+    "write_paged": f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'complete' WHEN doc_id % 3 = 0 THEN 'error' WHEN doc_id % 2 = 0 THEN 'complete' ELSE 'error' END AS status, CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END AS t FROM documents) SELECT doc_id, status, {md('t', 'content')} FROM x""",
+    "office_parts": f"""WITH {LINES} SELECT '/in/' || d || '.pptx' AS path, 'ppt/slides/slide' || p || '.xml' AS part_name, 'slide' AS kind, p AS ordinal, 'text/xml' AS mime, md5(raw) AS data_md5 FROM lines WHERE d % 2 <> 0 AND d % 11 <> 0
+        UNION ALL SELECT '/in/' || doc_id || '.docx', 'word/document.xml', 'main', 0, 'text/xml', md5(text) FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0 AND doc_id % 11 <> 0
+        UNION ALL SELECT '/in/' || doc_id || '.docx', 'word/media/a.png', 'media', 0, 'image/png', md5(doc_id::VARCHAR) FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0 AND doc_id % 11 <> 0
+        UNION ALL SELECT '/in/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.docx' ELSE '.pptx' END, NULL, 'broken', 0, NULL, NULL FROM documents WHERE text IS NOT NULL AND doc_id % 11 = 0""",
 }

@@ -459,10 +459,15 @@ def unique_names_free(spark, sf_dir):
 
 @query
 def rename_plan(spark, sf_dir):
+    """Renames to shared names, some of which exist, as do some outputs beside them."""
     docs = table(spark, sf_dir, "documents")
     files = fx.file_list(docs)
     pairs = files.select("path", F.when(F.col("doc_id") % 4 == 0, F.col("path")).otherwise(F.concat(F.lit("/out/"), (F.col("doc_id") % 50).cast("string"), F.lit(".pdf"))).alias("target"))
-    return naming.rename_plan(pairs, files.select("path").unionByName(fx.existing_outputs(docs)))
+    no = F.col("doc_id") % 50
+    out = lambda base, end: F.concat(F.lit(base), no.cast("string"), F.lit(end))
+    there = F.array(F.when(no % 5 == 0, out("/OUT/", ".PDF")), F.when(no % 7 == 0, out("/out/", "_merged.md")))
+    taken = docs.select(F.explode(F.filter(there, lambda x: x.isNotNull())).alias("path"))
+    return naming.rename_plan(pairs, files.select("path").unionByName(fx.existing_outputs(docs)).unionByName(taken))
 
 
 @query
@@ -497,8 +502,13 @@ def check_split_defs(spark, sf_dir):
 
 @query
 def request_lines(spark, sf_dir):
-    made = batches(spark, sf_dir).select(F.col("batch_no").alias("request_no"), "doc_id", F.concat(F.lit('{"n":'), F.col("num_pages").cast("string"), F.lit("}")).alias("body"))
-    return io.request_lines(made).groupBy("value").agg(F.count("*").alias("n"))
+    """Request files' lines and what is read from them: texts with quotes and line ends in JSON, a line each."""
+    made = batch.request_parts(batch.request_text(batches(spark, sf_dir), fx.page_numbers(documents(spark, sf_dir))), 'Say "yes".\nThen stop.')
+    v = F.try_parse_json("value")
+    get = lambda path: F.try_variant_get(v, path, "string")
+    lines = io.request_lines(made.withColumnRenamed("batch_no", "request_no"))
+    read = lines.select(get("$.key").alias("key"), get("$.request.contents[0].parts[0].text").alias("instruction"), F.md5(get("$.request.contents[0].parts[1].text")).alias("text_md5"), F.col("value").contains("\n").alias("broken"))
+    return read.groupBy("key", "instruction", "text_md5", "broken").agg(F.count("*").alias("n"))
 
 
 @query
@@ -541,3 +551,69 @@ def infer_valid(spark, sf_dir):
     requests = batch.request_text(b, fx.page_numbers(documents(spark, sf_dir)))
     done = batch.infer(requests, shuffled, io.new_folder(spark, "infer"), rounds=2, delay=0, validate=batch.validator(b))
     return number(digest(done, "text", "text"))
+
+
+@query
+def resumable_sets(spark, sf_dir):
+    """Saved requests and those of now: by document, another page, another text, one less, another order, or the same."""
+    d, b = F.col("doc_id"), F.col("batch_no")
+    saved = batch.request_text(batches(spark, sf_dir), fx.page_numbers(documents(spark, sf_dir)))
+    moved = F.transform("pages", lambda p, i: F.when(i == 0, p + 1000).otherwise(p))
+    now = saved.where(~((d % 5 == 2) & (b == 1))).withColumns({
+        "pages": F.when((d % 5 == 0) & (b == 1), moved).otherwise(F.col("pages")), "payload": F.when((d % 5 == 1) & (b == 1), F.concat("payload", F.lit("!"))).otherwise(F.col("payload")),
+        "batch_no": F.when(d % 5 == 3, 1_000_000 - b).otherwise(b),
+    })
+    log = saved.select(d.alias("job_id"), d.alias("event_id"), F.lit(0).alias("ts"), F.when(d % 7 == 0, "failed").otherwise("running").alias("state")).distinct()
+    return number(batch.resume(saved, now, log))
+
+
+@query
+def split_far(spark, sf_dir):
+    """Entries that reach far past the end: pages, pages in no entry, and what is covered."""
+    defs = fx.split_defs(documents(spark, sf_dir))
+    far = defs.where((F.col("entry_no") == 0) & (F.col("doc_id") % 3 == 0)).withColumns({"entry_no": F.lit(-1), "start_page": F.lit(3), "end_page": F.lit(2_000_000_000)})
+    both, pages_ = defs.unionByName(far), parsed(spark, sf_dir)
+    held = split.split_docs(pages_, both).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("page_num").alias("numbers"))
+    free = split.split_uncovered(pages_, both).groupBy("doc_id").agg(F.count("*").alias("uncovered"))
+    rows = split.coverage(both).join(held, "doc_id", "left").join(free, "doc_id", "left")
+    return number(rows.select("doc_id", "covered", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "numbers", "uncovered")]))
+
+
+def one_line(spark, sf_dir, *cases) -> DataFrame:
+    """Pages with a text that is made of the page's line, by the page number."""
+    p, found = F.col("page_num"), None
+    for i, parts in reversed(list(enumerate(cases))):
+        made = F.concat(*[x if isinstance(x, str) and x in ("page_num", "text") else F.lit(x) for x in parts])
+        found = made if found is None else F.when(p % len(cases) == i, made).otherwise(found)
+    return fx.page_numbers(documents(spark, sf_dir)).select("doc_id", F.col("page_num").alias("pos"), "page_num", found.alias("content"))
+
+
+@query
+def block_spans(spark, sf_dir):
+    """Blocks in blocks, one that nothing closes, and a close of nothing."""
+    blocks = one_line(spark, sf_dir, ("### --右\n", "text", "\n### --左\nx\n### --\n### --"), ("### --左\n", "text"), ("### --\n### --中\n", "text", "\n### --"), ("### -- 別紙 --\n", "text"), ("- ", "text"))
+    return number(pages.block_spans(blocks))
+
+
+@query
+def heading_parents(spark, sf_dir):
+    headed = one_line(spark, sf_dir, ("第", "page_num", " 章\n- ", "text"), ("1 one\n- ", "text"), ("(", "page_num", ") x\n- ", "text"), ("a b\n- ", "text"), ("- ", "text"))
+    return number(pages.heading_parents(headed.withColumn("page_num", F.col("page_num").cast("int"))))
+
+
+@query
+def write_paged(spark, sf_dir):
+    """Documents put into a table, some without a status, and some put there again."""
+    docs, d = documents(spark, sf_dir).withColumnRenamed("text", "content"), F.col("doc_id")
+    folder = io.new_folder(spark, "written")
+    io.write_paged(docs.where(d % 3 != 0).select("doc_id", F.when(d % 2 == 0, "complete").otherwise("error").alias("status")), docs, folder, buckets=8)
+    again = docs.where(d % 4 == 0).withColumn("content", F.concat("content", F.lit("!")))
+    io.write_paged(again.select("doc_id", F.lit("complete").alias("status")), again, folder)
+    return number(digest(io.read_written(spark, folder), "content", "content"))
+
+
+@query
+def office_parts(spark, sf_dir):
+    """Parts of office files that are made of the documents."""
+    parts = io.office_parts(fx.office_files(documents(spark, sf_dir)))
+    return number(parts.withColumn("data_md5", F.md5("data")).drop("data"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +126,29 @@ def existing_outputs(documents: DataFrame) -> DataFrame:
         F.when(d % 5 == 0, F.concat(base, F.lit("_merged.md"))), F.when(d % 7 == 0, F.concat(base, F.lit("_ERROR_merged.md"))),
     )
     return documents.select(F.explode(F.filter(made, lambda x: x.isNotNull())).alias("path"))
+
+
+def office_files(documents: DataFrame) -> DataFrame:
+    """(path, content): a word file with a picture for documents of even number, slides of a line each for others; each eleventh is no zip."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents = [], []
+            for doc, text in zip(*((x.as_py() for x in c) for c in batch.columns), strict=True):
+                file = io.BytesIO()
+                if doc % 11 == 0:
+                    file.write(b"no zip")
+                else:
+                    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+                        if doc % 2 == 0:
+                            z.writestr("word/document.xml", text)
+                            z.writestr("word/media/a.png", str(doc))
+                            z.writestr("word/media/b.svg", "left out")
+                        else:
+                            for i, line in enumerate(text.split("\n")):
+                                z.writestr(f"ppt/slides/slide{i + 1}.xml", line)
+                paths.append(f"/in/{doc}.{'docx' if doc % 2 == 0 else 'pptx'}")
+                contents.append(file.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(made, "path string, content binary")
