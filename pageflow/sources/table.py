@@ -61,7 +61,7 @@ class Table:
         """
         merge = merge or self._replaced
 
-        def change(known: dict) -> tuple[dict, DataFrame | None]:
+        def change(known: dict, new: DataFrame) -> tuple[dict, DataFrame | None]:
             touched = self.touched(new)
             old = self.read(touched, known)
             rows = new if old is None else merge(old.select(*new.columns), new)
@@ -72,7 +72,7 @@ class Table:
     def append(self, new: DataFrame, tags: dict | None = None, most: int = 16, attempts: int = 3) -> int:
         """Add rows without reading any; the number of the manifest that has them. A bucket of more than ``most`` folders is put together into one."""
 
-        def change(known: dict) -> tuple[dict, DataFrame | None]:
+        def change(known: dict, new: DataFrame) -> tuple[dict, DataFrame | None]:
             touched = self.touched(new)
             held = {str(b): known["buckets"].get(str(b), []) for b in touched}
             full = {int(b) for b, folders in held.items() if len(folders) >= most}
@@ -81,21 +81,30 @@ class Table:
 
         return self._put(change, new, tags, attempts)
 
-    def _put(self, change: Callable[[dict], tuple[dict, DataFrame | None]], new: DataFrame, tags: dict | None, attempts: int) -> int:
-        """Write the rows of a change, then the manifest in which each changed bucket has its folders that stay and the new one."""
-        for _ in range(attempts):
-            known = self.manifest()
-            stay, rows = change(known)
-            version = f"data/{uuid.uuid4().hex}"
-            if rows is not None:
-                rows.withColumn("_bucket", self.bucket()).write.partitionBy("_bucket").parquet(f"{self.folder}/{version}")
-            after = {
-                "number": known["number"] + 1, "of": self.buckets, "keys": self.keys, "schema": new.schema.jsonValue(), "at": time.time(),
-                "buckets": known["buckets"] | {b: [*folders, f"{version}/_bucket={b}"] for b, folders in stay.items()}, "tags": known["tags"] | (tags or {}),
-            }
-            if self.ledger.put(f"{after['number']:012}.json", after):
-                return after["number"]
-            delete(self.spark, f"{self.folder}/{version}")
+    def _put(self, change: Callable[[dict, DataFrame], tuple[dict, DataFrame | None]], new: DataFrame, tags: dict | None, attempts: int) -> int:
+        """Write the rows of a change, then the manifest in which each changed bucket has its folders that stay and the new one.
+
+        ``new`` is computed once and kept meanwhile: its buckets and its rows must be of one run, and it may be dear.
+        """
+        staged = f"{self.folder}/staged/{uuid.uuid4().hex}"
+        new.write.parquet(staged)
+        try:
+            rows = self.spark.read.schema(new.schema).parquet(staged)
+            for _ in range(attempts):
+                known = self.manifest()
+                stay, made = change(known, rows)
+                version = f"data/{uuid.uuid4().hex}"
+                if made is not None:
+                    made.withColumn("_bucket", self.bucket()).write.partitionBy("_bucket").parquet(f"{self.folder}/{version}")
+                after = {
+                    "number": known["number"] + 1, "of": self.buckets, "keys": self.keys, "schema": new.schema.jsonValue(), "at": time.time(),
+                    "buckets": known["buckets"] | {b: [*folders, f"{version}/_bucket={b}"] for b, folders in stay.items()}, "tags": known["tags"] | (tags or {}),
+                }
+                if self.ledger.put(f"{after['number']:012}.json", after):
+                    return after["number"]
+                delete(self.spark, f"{self.folder}/{version}")
+        finally:
+            delete(self.spark, staged)
         raise Conflict(f"{self.folder}: others have committed first {attempts} times")
 
     def _replaced(self, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -93,11 +93,7 @@ def upsert(stream: DataFrame, folder: str, keys: list[str], order: str, checkpoi
             return
         rest = [c for c in batch.columns if c not in keys]
         last = lambda rows: rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
-        kept = batch.persist()
-        try:
-            table.commit(last(kept), lambda old, new: last(old.unionByName(new)), {checkpoint: number})
-        finally:
-            kept.unpersist()
+        table.commit(last(batch), lambda old, new: last(old.unionByName(new)), {checkpoint: number})
 
     return stream.writeStream.foreachBatch(merge).outputMode(output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -200,3 +200,10 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert t.read().count() == 200
     t.commit(spark.createDataFrame([], "k long, v string"))
     assert t.read().count() == 200 and t.manifest()["tags"] == {"source": "s"}
+
+
+def test_rows_that_differ_from_run_to_run_are_kept_whole(spark, tmp_path):
+    """Buckets and rows of a commit come from one computation."""
+    t = tables.Table(spark, f"{tmp_path}/out", ["k"], 64)
+    t.commit(spark.range(100).select((F.rand() * 1_000_000).cast("long").alias("k"), F.lit("a").alias("v")))
+    assert t.read().count() == 100 and not [p for p in (tmp_path / "out/staged").iterdir() if not p.name.startswith(".")]
