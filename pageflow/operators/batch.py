@@ -190,7 +190,7 @@ def infer(
     A request is tried up to ``attempts`` times, waiting ``delay`` times the number of the attempt; what then
     still fails goes to the next round. ``validate`` gets a round's answers (doc_id, batch_no, text, error) and returns them with
     ``error_code``, as ``validator`` does: an answer with a code isn't good and goes to the next round, too; in the last round the code
-    becomes its error. Filter ``requests`` first: every row is inferred.
+    becomes its error. Filter ``requests`` first: every row is inferred; rows equal in all three columns are one request.
 
     A task has ``concurrency`` requests in flight, in threads: ``fn`` must bear that. With ``tasks`` given, so many tasks at most run, so
     that tasks times concurrency is what a service sees at once.
@@ -225,7 +225,12 @@ def infer(
         """Answers to ``left``: those that marks of this round know, and new ones for the rest."""
         marks = Ledger(spark, f"{folder}/round-{number}/marks")
         parts = [marks.get(name)["part"] for name in marks.names()]
-        known = lambda: spark.read.schema(ANSWERS).parquet(*[f"{folder}/round-{number}/{p}" for p in parts]).dropDuplicates(key)
+
+        def known() -> DataFrame:
+            rows = spark.read.schema(ANSWERS).parquet(*[f"{folder}/round-{number}/{p}" for p in parts])
+            one = rows.groupBy(*key).agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "text", "error")).alias("a"))
+            return one.select(*key, "a.text", "a.error")
+
         for wave in range(waves):
             todo = left.where(F.pmod(F.xxhash64("doc_id", "batch_no", F.lit(number)), F.lit(waves)) == wave) if waves > 1 else left
             if parts:
