@@ -212,22 +212,24 @@ class Mix:
 
         def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, texts = [], []
+                rows, texts, size = [], [], 0
                 for i in range(batch.num_rows):
                     data = batch.column(text_at)[i].as_py()
                     starts = word_starts(data)
                     for p in batch.column(parts_at)[i].as_py():
                         rows.append(i)
                         texts.append(data[starts[p["from_word"]] : starts[p["to_word"]]].rstrip() if p["to_word"] < len(starts) else data[starts[p["from_word"]] :])
-                    if sum(map(len, texts[-4096:])) > 8_000_000:
-                        yield piece_batch(batch, rows, texts)
-                        rows, texts = [], []
+                        size += len(texts[-1])
+                        if size > 4_000_000:
+                            yield piece_batch(batch, rows, texts)
+                            rows, texts, size = [], [], 0
                 if rows:
                     yield piece_batch(batch, rows, texts)
 
         def piece_batch(batch, rows, texts):
-            columns = [c.take(pa.array(rows)) for c in batch.columns[:parts_at]]
-            columns[text_at] = pa.array(texts, pa.string())
+            at = pa.array(rows)
+            # The whole text isn't taken along: it would be copied once a piece.
+            columns = [pa.array(texts, pa.string()) if i == text_at else c.take(at) for i, c in enumerate(batch.columns[:parts_at])]
             if chars_at is not None:
                 columns[chars_at] = pa.array([len(t) for t in texts]).cast(columns[chars_at].type)
             return pa.RecordBatch.from_arrays(columns, names)

@@ -71,6 +71,16 @@ def test_odd_rows(spark):
     assert mix.Mix(spark.createDataFrame([], schema)).documents().count() == 0
 
 
+def test_pieces_of_a_very_long_text(spark):
+    """4 MB of text in more than three thousand pieces: no piece takes the whole text along."""
+    text = " ".join(f"word{i}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, text, "a", 5), (2, "one two", "b", 6)], "doc_id long, text string, source string, n_chars int")
+    out = mix.Mix(docs).documents()
+    sizes = {r["doc_id"]: (r["n"], r["words"]) for r in out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", " "))).alias("words")).collect()}
+    taken = {r["doc_id"]: r["taken"] for r in mix.Mix(docs).taken().collect()}
+    assert sizes[1][0] > 3_000 and {k: v for k, (_, v) in sizes.items()} == {k: v for k, v in taken.items() if v}
+
+
 def test_slots_are_a_plain_draw(spark):
     """Every slot of a source takes the block that its place in the permutation of its epoch says, and words are counted from blocks."""
     docs = spark.createDataFrame([(i, "w " * (1 + i * 37 % 90), "abc"[i % 3]) for i in range(60)], "doc_id long, text string, source string")
