@@ -79,6 +79,18 @@ def reflow(text: Column) -> Column:
     return F.array_join(F.transform(full, lambda x, i: F.concat(F.when(i == 0, "").otherwise(glue(x)), x["line"])), "")
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text as a whole is one JSON value; null gives false.
+
+    Spark's JSON functions stop after the first value and pass over what follows. So the text is read in brackets, where it must be the only
+    element, and in braces, which a text that closes the bracket itself fails.
+    """
+    options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", options)
+    held = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, _bad string", options)
+    return F.coalesce((F.size(listed) == 1) & held["_bad"].isNull(), F.lit(False))
+
+
 def head_tail_text(text: Column, limit: int = 12_000) -> Column:
     """A normalised text, or its first and last halves of ``limit`` characters around a mark if it is longer."""
     text = normalize_ws(text)

@@ -100,7 +100,7 @@ def normalize_results(lines: DataFrame, column: str = "line") -> DataFrame:
     composed = F.when(status.isNotNull() & (status != 200), F.concat(F.lit("HTTP "), status.cast("string")))
     error = F.coalesce(get("$.error.message"), F.when(get("$.error").isNotNull(), get("$.error")), composed, F.when(get("$.code").isNotNull() & get("$.message").isNotNull(), get("$.message")))
     text = F.coalesce(parts("$.response.candidates[0].content.parts"), parts("$.candidates[0].content.parts"), F.when(status == 200, get("$.response.body.choices[0].message.content")))
-    rows = lines.where(t.trim(F.col(column)) != "").withColumn("_v", F.try_parse_json(column))
+    rows = lines.where(t.trim(F.col(column)) != "").withColumn("_v", F.when(t.is_json(t.trim(F.col(column))), F.try_parse_json(column)))
     return (
         rows.withColumn("key", F.coalesce(get("$.key"), get("$.metadata.key"), get("$.custom_id")))
         .withColumn("error", F.when(v.isNull(), "JSON parse failed").otherwise(error))

@@ -46,8 +46,9 @@ def parse_decision(df: DataFrame, run_date: str, column: str = "raw") -> DataFra
     schema = "date string, documentType string, type string, title string, documentTitle string, name string"
     options = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
     out = df.withColumn("_clean", clean).withColumn("_object", F.regexp_extract("_clean", r"(?s)\{.*\}", 0))
-    json = F.coalesce(F.when(F.try_parse_json("_object").isNotNull(), F.col("_object")), F.when(F.try_parse_json("_clean").isNotNull(), F.col("_clean")))
-    out = out.withColumn("_json", json).withColumn("_d", F.from_json("_json", schema, options))
+    json = F.coalesce(F.when(t.is_json(F.col("_object")), F.col("_object")), F.when(t.is_json(F.col("_clean")), F.col("_clean")))
+    # A list has no fields, but would be read as its first element.
+    out = out.withColumn("_json", json).withColumn("_d", F.from_json(F.when(F.col("_json").startswith("{"), F.col("_json")), schema, options))
     kind = F.when(F.col("_d.documentType").isin(*TYPES), F.col("_d.documentType")).when(F.col("_d.type").isin(*TYPES), F.col("_d.type")).otherwise(OTHER)
     first = F.coalesce(*[F.nullif(F.col(f"_d.{c}"), F.lit("")) for c in ("title", "documentTitle", "name")], F.lit(""))
     read = F.col("_json").isNotNull()

@@ -207,3 +207,9 @@ def test_rows_that_differ_from_run_to_run_are_kept_whole(spark, tmp_path):
     t = tables.Table(spark, f"{tmp_path}/out", ["k"], 64)
     t.commit(spark.range(100).select((F.rand() * 1_000_000).cast("long").alias("k"), F.lit("a").alias("v")))
     assert t.read().count() == 100 and not [p for p in (tmp_path / "out/staged").iterdir() if not p.name.startswith(".")]
+
+
+def test_result_lines_are_whole_json(spark):
+    lines = spark.createDataFrame([('{"key":"1","error":"e"}',), ('{"key":"2","error":"e"} more',), (' {"key":"3","error":"e"} ',), ("4 more",)], "line string")
+    got = sorted((r["key"] or "", r["error"]) for r in batch.normalize_results(lines).collect())
+    assert got == [("", "JSON parse failed"), ("", "JSON parse failed"), ("1", "e"), ("3", "e")]

@@ -115,6 +115,14 @@ def test_names(spark):
     assert [(r["date"], r["document_type"], r["title"]) for r in out] == [("2024-05-06", "契約", "n"), ("2000-01-01", "その他", "{'date' '2024-05-06'}"), ("2000-01-01", "その他", "t"), ("2000-01-01", "その他", "just text"), ("2000-01-01", "その他", naming.NO_TITLE)]
 
 
+def test_decisions_are_whole_json(spark):
+    """What follows a JSON value makes it none, as in a first line that starts with a number."""
+    raws = ["4763 Of thnd", '{"title":"a"} {"title":"b"}', '{"title":"a"}}', '[{"title":"a"},{"title":"b"}]', '{"title":"a","title":"b"}', "4763", '1] x [', '"a" b', '1,"v":2', "1} x", 'so {"title":"a"}\nend']
+    out = naming.parse_decision(spark.createDataFrame(enumerate(raws), "i int, raw string"), "2000-01-01").orderBy("i").collect()
+    none = naming.NO_TITLE
+    assert [r["title"] for r in out] == ["4763 Of thnd", "{ title a } { title b }", "{ title a }}", none, "b", none, "1] x [", "a b", "1, v 2", "1} x", "a"]
+
+
 def test_unique_names_with_taken_numbers(spark):
     wanted = spark.createDataFrame([(f"/p{i}", "/d", n, ".pdf") for i, n in enumerate(["A", "a", "A", "A (2)", "B", "b"])], "path string, folder string, name string, ext string")
     taken = spark.createDataFrame([("/d/a (3).PDF",), ("/d/B.pdf",)], "target string")
