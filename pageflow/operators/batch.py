@@ -198,11 +198,21 @@ def infer(
     Answers are written to ``folder`` and a mark then says that they are whole. Run again with the same folder, after a failure or with more
     or changed requests, this asks only what has no answer under a mark: no request of equal payload is inferred twice in a round.
     A round may be dealt to ``waves``, each with its own mark, so that less is lost in the middle of a long one.
+
+    The requests are made once a run and kept in ``folder``, too, as are the answers that a round ends with: what is still to be asked is
+    told by keys, and texts are moved only where they are asked or validated.
     """
     spark = requests.sparkSession
-    left = requests.select("doc_id", "batch_no", "payload").withColumn("request_hash", F.xxhash64(F.coalesce("payload", F.lit("")), F.col("payload").isNull()))
     key = ["doc_id", "batch_no", "request_hash"]
 
+    def kept(rows: DataFrame, path: str) -> DataFrame:
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    hashed = requests.select("doc_id", "batch_no", "payload").withColumn("request_hash", F.xxhash64(F.coalesce("payload", F.lit("")), F.col("payload").isNull()))
+    whole = kept(hashed.dropDuplicates(key), f"{folder}/requests-{uuid.uuid4().hex}")
+    left = whole.select(*key)
+
     def answered(doc: int, no: int, payload: str) -> tuple[str | None, str | None]:
         error = None
         for attempt in range(1, attempts + 1):
@@ -221,34 +231,39 @@ def infer(
             columns = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), batch.column(3), pa.array(texts, pa.string()), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "batch_no", "request_hash", "text", "error"])
 
-    def asked(number: int) -> DataFrame:
-        """Answers to ``left``: those that marks of this round know, and new ones for the rest."""
+    def asked(number: int) -> tuple[DataFrame, bool]:
+        """Answers to ``left``, those that marks of this round know and new ones for the rest, and whether there are known ones."""
         marks = Ledger(spark, f"{folder}/round-{number}/marks")
-        parts = [marks.get(name)["part"] for name in marks.names()]
-
-        def known() -> DataFrame:
-            rows = spark.read.schema(ANSWERS).parquet(*[f"{folder}/round-{number}/{p}" for p in parts])
-            one = rows.groupBy(*key).agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "text", "error")).alias("a"))
-            return one.select(*key, "a.text", "a.error")
+        known = [marks.get(name)["part"] for name in marks.names()]
+        new: list[str] = []
+        rows = lambda parts: spark.read.schema(ANSWERS).parquet(*[f"{folder}/round-{number}/{p}" for p in parts])
 
         for wave in range(waves):
             todo = left.where(F.pmod(F.xxhash64("doc_id", "batch_no", F.lit(number)), F.lit(waves)) == wave) if waves > 1 else left
-            if parts:
-                todo = _with(todo, known(), key, "left_anti")
-                if todo.isEmpty():
-                    continue
+            if known:
+                todo = _with(todo, rows(known), key, "left_anti")
+            if (known or new) and todo.isEmpty():
+                continue
             part = f"part-{uuid.uuid4().hex}"
-            rows = todo.select("doc_id", "batch_no", "payload", "request_hash")
-            (rows.coalesce(tasks) if tasks else rows).mapInArrow(run, ANSWERS).write.parquet(f"{folder}/round-{number}/{part}")
-            parts.append(part)
-            marks.put(f"{len(parts):06}-{part}.json", {"part": part, "round": number, "wave": wave, "waves": waves})
-        return _with(known(), left, key, "left_semi")
+            texts = _with(whole, todo, key, "left_semi").select("doc_id", "batch_no", "payload", "request_hash") if known or waves > 1 or number > 1 else whole
+            (texts.coalesce(tasks) if tasks else texts).mapInArrow(run, ANSWERS).write.parquet(f"{folder}/round-{number}/{part}")
+            new.append(part)
+            marks.put(f"{len(known) + len(new):06}-{part}.json", {"part": part, "round": number, "wave": wave, "waves": waves})
+        # A new part answers just what was asked, each request once; earlier ones may know more than is asked now, and some of it twice.
+        answers = [rows(new)] if new else []
+        if known:
+            one = _with(rows(known), left, key, "left_semi").groupBy(*key).agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "text", "error")).alias("a"))
+            answers.append(one.select(*key, "a.text", "a.error"))
+        return reduce(DataFrame.unionByName, answers), bool(known)
 
     done = None
     for number in range(1, rounds + 1):
-        answers = asked(number).drop("request_hash")
+        answers, resumed = asked(number)
+        answers = answers.drop("request_hash")
         if validate:
             answers = validate(answers).withColumn("error", F.coalesce("error", "error_code")).select("doc_id", "batch_no", "text", "error")
+        if resumed:
+            answers = kept(answers, f"{folder}/round-{number}/answers-{uuid.uuid4().hex}")
         answers = answers.withColumn("round", F.lit(number))
         good = answers.where(F.col("error").isNull())
         last = number == rounds or answers.where(F.col("error").isNotNull()).isEmpty()
