@@ -262,7 +262,7 @@ def infer(
         answers = answers.drop("request_hash")
         if validate:
             answers = validate(answers).withColumn("error", F.coalesce("error", "error_code")).select("doc_id", "batch_no", "text", "error")
-        if resumed:
+        if validate or resumed:
             answers = kept(answers, f"{folder}/round-{number}/answers-{uuid.uuid4().hex}")
         answers = answers.withColumn("round", F.lit(number))
         good = answers.where(F.col("error").isNull())
