@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +11,25 @@ from pyspark.sql import functions as F
 BITS, LEVELS = 6, 5
 
 
+def _bounds(start: Column, end: Column) -> tuple[Callable[[int], Column], Callable[[int], Column]]:
+    """The blocks of a level that lie in the range as a whole: from the first to before the last."""
+    low, high = F.shiftright(start.cast("long"), BITS), F.shiftright(end.cast("long"), BITS) + 1
+    return lambda level: -F.shiftright(-low, BITS * level), lambda level: F.shiftright(high, BITS * level)
+
+
+def top_level(start: Column, end: Column) -> Column:
+    """The highest level in the range's ``cover``, told without making it; null if it is empty."""
+    first, last = _bounds(start, end)
+    return F.when(start <= end, F.coalesce(*[F.when(first(level) < last(level), level) for level in range(LEVELS, -1, -1)]))
+
+
 def cover(start: Column, end: Column) -> Column:
     """Blocks (level, block) that the range from ``start`` to ``end``, ints and both included, lies in; none if it is empty or null.
 
     They are the largest that make up all blocks of the lowest level that the range touches: at most 63 of each level at its start, 63 at its
     end, and what is between on the highest level. No two hold the same number; those at the ends hold numbers outside the range, too.
     """
-    low, high = F.shiftright(start.cast("long"), BITS), F.shiftright(end.cast("long"), BITS) + 1
-    # The blocks of a level that lie in the range as a whole: from the first to before the last.
-    first = lambda level: -F.shiftright(-low, BITS * level)
-    last = lambda level: F.shiftright(high, BITS * level)
+    first, last = _bounds(start, end)
     empty = F.array().cast("array<struct<level:int,block:bigint>>")
 
     def blocks(level: int, a: Column, b: Column) -> Column:
@@ -39,9 +50,8 @@ def in_ranges(points: DataFrame, ranges: DataFrame, by: str, point: str, start:
     or two blocks, or if it is long in some of each level. If any range is, points look for larger blocks, too; then only ``key``, which identifies
     a point, takes part, and other columns are brought to the pairs that were found.
     """
-    dealt = ranges.withColumn("_cover", cover(F.col(start), F.col(end)))
-    top = dealt.agg(F.max(F.array_max(F.transform("_cover", lambda b: b["level"])))).first()[0] or 0
-    blocks = dealt.select("*", F.inline("_cover")).drop("_cover")
+    top = ranges.agg(F.max(top_level(F.col(start), F.col(end)))).first()[0] or 0
+    blocks = ranges.select("*", F.inline(cover(F.col(start), F.col(end))))
     others = [c for c in points.columns if c not in {by, point, *key}]
     slim = points if not top else points.select(*dict.fromkeys([by, *key, point]))
     level = lambda k: F.struct(F.lit(k).alias("level"), F.shiftright(F.col(point).cast("long"), BITS * (k + 1)).alias("block"))

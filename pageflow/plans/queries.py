@@ -44,6 +44,13 @@ def digest(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn(f"{name}_len", F.length(column)).withColumn(f"{name}_md5", F.md5(column)).drop(column)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several steps of a query read, made once."""
+    path = io.new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def joined(column: str):
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",").alias(column)
 
@@ -572,7 +579,7 @@ def split_far(spark, sf_dir):
     """Entries that reach far past the end: pages, pages in no entry, and what is covered."""
     defs = fx.split_defs(documents(spark, sf_dir))
     far = defs.where((F.col("entry_no") == 0) & (F.col("doc_id") % 3 == 0)).withColumns({"entry_no": F.lit(-1), "start_page": F.lit(3), "end_page": F.lit(2_000_000_000)})
-    both, pages_ = defs.unionByName(far), parsed(spark, sf_dir)
+    both, pages_ = kept(defs.unionByName(far), "entries"), kept(parsed(spark, sf_dir), "pages")
     held = split.split_docs(pages_, both).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("page_num").alias("numbers"))
     free = split.split_uncovered(pages_, both).groupBy("doc_id").agg(F.count("*").alias("uncovered"))
     rows = split.coverage(both).join(held, "doc_id", "left").join(free, "doc_id", "left")

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from pageflow.operators import batch, intervals, pages, split
+from pageflow.plans import queries
 from pageflow.sources import fixtures as fx
 
 FAR = 2_000_000_000
@@ -24,6 +25,28 @@ def test_cover_holds_each_number_once(spark):
         assert all(a[1] == b[0] for a, b in zip(blocks[:-1], blocks[1:], strict=True)) and len(blocks) <= 126 * 5 + 64
 
 
+def test_top_level_is_that_of_the_cover(spark):
+    r = random.Random(4)
+    rows = [(a, a + r.choice([-1, 0, 5, 63, 64, 4096, 300_000, 20_000_000, 2_000_000_000])) for a in (r.randint(-100_000, 100_000) for _ in range(300))]
+    rows += [(None, 3), (3, None), (0, 63), (0, 64), (0, 4095), (64, 127), (3, 2_000_000_000)]
+    s, e = F.col("s"), F.col("e")
+    df = spark.createDataFrame(rows, "s int, e int").withColumn("c", F.array_max(F.transform(intervals.cover(s, e), lambda b: b["level"])))
+    assert df.where(~intervals.top_level(s, e).eqNullSafe(F.col("c"))).count() == 0
+
+
+def test_far_split_parses_its_documents_once(spark, sf001, tmp_path, monkeypatch):
+    def seen(batches):
+        for batch_ in batches:
+            for doc in batch_.column(0).to_pylist():
+                (tmp_path / f"{doc}-{time.time_ns()}").touch()
+            yield batch_
+
+    parsed = queries.parsed
+    monkeypatch.setattr(queries, "parsed", lambda *a: parsed(*a).where("page_num = 1").mapInArrow(seen, "doc_id long, pos int, page_num int, content string"))
+    rows = queries.split_far(spark, sf001).collect()
+    assert len(rows) == len(list(tmp_path.iterdir())) == queries.documents(spark, sf001).where("text IS NOT NULL").count()
+
+
 def test_split_of_random_ranges(spark):
     random.seed(4)
     rows = [(d, i + 1, random.randint(0, 400), f"c{i}") for d in range(4) for i in range(150)] + [(9, 1, None, "x")]
