@@ -48,7 +48,7 @@ def in_ranges(points: DataFrame, ranges: DataFrame, by: str, point: str, start:
 
     Points and ranges meet in blocks of numbers, so that a key with very many of both costs no product of them and has many tasks: a range is in one
     or two blocks, or if it is long in some of each level. If any range is, points look for larger blocks, too; then only ``key``, which identifies
-    a point, takes part, and other columns are brought to the pairs that were found.
+    a point, takes part, and other columns are brought to the pairs that were found. Neither side is broadcast.
     """
     top = ranges.agg(F.max(top_level(F.col(start), F.col(end)))).first()[0] or 0
     blocks = ranges.select("*", F.inline(cover(F.col(start), F.col(end))))
@@ -58,7 +58,8 @@ def in_ranges(points: DataFrame, ranges: DataFrame, by: str, point: str, start:
     at = slim.select("*", F.inline(F.array(*[level(k) for k in range(top + 1)])))
     same = [F.col(f"p.{c}") == F.col(f"r.{c}") for c in (by, "level", "block")]
     on = same[0] & same[1] & same[2] & F.col(f"p.{point}").between(F.col(f"r.{start}"), F.col(f"r.{end}"))
-    found = at.alias("p").join(blocks.alias("r"), on).select(*[f"p.{c}" for c in slim.columns], *[f"r.{c}" for c in ranges.columns if c != by])
+    # Blocks are many times as large as what Spark takes their size from, the files that ranges are read from: left to itself it sends them whole through the driver.
+    found = at.alias("p").join(blocks.hint("merge").alias("r"), on).select(*[f"p.{c}" for c in slim.columns], *[f"r.{c}" for c in ranges.columns if c != by])
     if not top or not others:
         return found
     return found.join(points.select(*dict.fromkeys([by, *key, *others])), list(dict.fromkeys([by, *key])))

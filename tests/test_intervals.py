@@ -138,3 +138,13 @@ def test_long_logs_by_ranges(spark):
 def test_page_ranges_of_the_table(spark, sf001):
     docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
     assert split.coverage(fx.split_defs(docs)).count() == docs.where("text is not null").count()
+
+
+def test_blocks_of_ranges_are_not_broadcast(spark, tmp_path):
+    """Ranges that are small as files have many blocks: they don't go through the driver."""
+    ranges = spark.range(50).selectExpr("id % 5 AS doc_id", "cast(id AS int) AS entry_no", "3 AS start_page", "2000000000 - cast(id AS int) AS end_page")
+    ranges.write.parquet(f"{tmp_path}/ranges")
+    points = spark.range(200).selectExpr("id % 5 AS doc_id", "cast(id AS int) AS page_num")
+    found = intervals.in_ranges(points, spark.read.parquet(f"{tmp_path}/ranges"), "doc_id", "page_num", "start_page", "end_page", ["page_num"])
+    assert found.count() == sum(10 for i in range(200) if i >= 3)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
